@@ -163,9 +163,9 @@ def w14(spark, root):
     return keep(ind.volume_totals(bars_d(spark, root)), "obv", "ad_line", "pvt")
 
 
-@query("w15_vwap", "bars_d", f"SELECT symbol, seq, vwap FROM ({_VT})", "vwap", d=3)
+@query("w15_vwap", "bars_b", f"SELECT symbol, seq, vwap FROM ({_VT.replace('bars_d', 'bars_b')})", "vwap", d=5)
 def w15(spark, root):
-    return keep(ind.volume_totals(bars_d(spark, root)), "vwap")
+    return keep(ind.volume_totals(bars_b(spark, root)), "vwap")
 
 
 @query("w16_cmf", "bars_d", f"SELECT symbol, seq, ({g('sum', 'mf', 20)}) / ({g('sum', 'volume', 20)}) AS cmf_20 FROM (SELECT *, {_CLV} * volume AS mf FROM bars_d)", "cmf_20")
