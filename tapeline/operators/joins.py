@@ -69,10 +69,10 @@ def by_regime(returns: DataFrame, regimes: DataFrame, keys=("symbol", "ts")) ->
     j = returns.join(regimes.select(*keys, "regime"), list(keys))
     total = j.groupBy("symbol").agg(F.count(F.lit(1)).alias("_all"))
     g = j.groupBy("symbol", "regime").agg(
-        F.count(F.lit(1)).alias("days"), F.product(1 + F.col("r")).alias("_p"), F.avg("r").alias("avg_return"),
+        F.count(F.lit(1)).alias("days"), F.product(1 + F.col("r")).alias("_p"), F.sum(F.log1p("r")).alias("log_growth"), F.avg("r").alias("avg_return"),
         (F.stddev_samp("r") * 252 ** 0.5).alias("volatility"), F.avg((F.col("r") > 0).cast("double")).alias("win_rate"))
     return g.join(total, "symbol").select("symbol", "regime", "days", (F.col("days") / F.col("_all")).alias("share"),
-                                          (F.col("_p") - 1).alias("total_return"), "avg_return", "volatility", "win_rate")
+                                          (F.col("_p") - 1).alias("total_return"), "log_growth", "avg_return", "volatility", "win_rate")
 
 
 def semi(left: DataFrame, right: DataFrame, keys) -> DataFrame:

@@ -44,12 +44,12 @@ def j03(spark, root):
 
 
 @query("j07_regime_join", "regimes", f"""WITH j AS (SELECT symbol, regime, e AS r FROM (SELECT symbol, seq, ts, close / lag(close) OVER w - 1 AS e FROM bars_d {W}) JOIN (SELECT symbol, ts, regime FROM regimes) USING (symbol, ts) WHERE e IS NOT NULL)
-  SELECT symbol, regime, count(*) AS days, count(*) / (sum(count(*)) OVER (PARTITION BY symbol)) AS share, ln(product(1 + r)) AS log_growth, avg(r) AS avg_return,
+  SELECT symbol, regime, count(*) AS days, count(*) / (sum(count(*)) OVER (PARTITION BY symbol)) AS share, sum(ln(1 + r)) AS log_growth, avg(r) AS avg_return,
   stddev_samp(r) * sqrt(252) AS volatility, avg(CAST(r > 0 AS DOUBLE)) AS win_rate FROM j GROUP BY symbol, regime""", "share log_growth avg_return volatility win_rate")
 def j07(spark, root):
     b = rolled(bars_d(spark, root), lambda h, w: h.withColumn("r", F.try_divide("close", F.lag("close").over(w)) - 1), 1).filter("r IS NOT NULL")
     d = J.by_regime(b.select("symbol", "ts", "r"), D.regimes(spark, root))
-    return d.withColumn("log_growth", F.log1p("total_return")).drop("total_return")
+    return d.drop("total_return")
 
 
 @query("j08_semi_join", "trades regimes", """SELECT regime, count(*) AS trades, avg(net_return) AS mean_pnl FROM (SELECT DISTINCT regime FROM regimes) r,

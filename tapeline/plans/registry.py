@@ -69,7 +69,12 @@ def query(name: str, needs: str = "", sql: str | None = None, nums: str = "", d:
     def register(fn):
         QUERIES[name] = lambda spark, root: tidy(fn(spark, root), nums, d)
         if sql is not None:
-            ORACLES[name] = oracle(needs, sql, nums, d)
+            ORACLES[name] = (needs, sql, nums, d)
         return fn
 
     return register
+
+
+def oracles() -> dict:
+    """Complete statements, built once every CTE is known."""
+    return {name: oracle(*parts) for name, parts in ORACLES.items()}
