@@ -145,8 +145,8 @@ def a32(spark, root):
 
 
 @query("a33_mutual_information", "series", f"""WITH {_LONG}, b AS (SELECT feature, label, CAST(floor((rank() OVER (PARTITION BY feature ORDER BY x) - 1) * 10 / count(*) OVER (PARTITION BY feature)) AS BIGINT) AS bin FROM l),
-  c AS (SELECT feature, label, bin, count(*) AS n, sum(count(*)) OVER (PARTITION BY feature, bin) AS na, sum(count(*)) OVER (PARTITION BY feature, label) AS nb, sum(count(*)) OVER (PARTITION BY feature) AS t FROM b GROUP BY ALL),
-  m AS (SELECT feature, sum(n / t * ln(n * t / (na * nb))) AS mi FROM c GROUP BY feature) SELECT feature, mi, mi / (SELECT max(mi) FROM m) AS score FROM m""", "mi score")
+  c AS (SELECT feature, label, bin, count(*) AS n, sum(count(*)) OVER (PARTITION BY feature, bin) AS na, sum(count(*)) OVER (PARTITION BY feature, label) AS nb, sum(count(*)) OVER (PARTITION BY feature) AS t FROM b GROUP BY feature, label, bin),
+  m AS (SELECT feature, sum(n / t * ln(n * t / (na * nb)::DOUBLE)) AS mi FROM c GROUP BY feature) SELECT feature, mi, mi / (SELECT max(mi) FROM m) AS score FROM m""", "mi score")
 def a33(spark, root):
     return A.mutual_information(A.long_features(series(spark, root))).withColumn("feature", F.col("feature").cast("long"))
 
