@@ -39,13 +39,16 @@ def forward_outcome(events: DataFrame, bars: DataFrame, at: str, horizon: int, c
     return e.withColumn("outcome", fwd).drop("_to", "_last")
 
 
-def first_touch(bars: DataFrame, take: float, stop: float, hold: int, side: Column | None = None, entries: Column | None = None) -> DataFrame:
+def first_touch(bars: DataFrame, take: float, stop: float, hold: int, side: Column | None = None, entries: Column | None = None,
+                basis: Column | None = None, at_end=False) -> DataFrame:
     """Exit of every entry bar: first close past take or stop, else after ``hold`` bars.
 
     The next ``hold`` closes come from a forward frame of the same pass, so no
-    range join and no pair rows are needed.  Entries without an exit are dropped.
+    range join and no pair rows are needed.  ``basis`` is the entry price.  Entries
+    without an exit are dropped, or leave at the last bar when ``at_end``.
     """
     side = F.lit(1) if side is None else side
+    basis = F.col("close") if basis is None else basis
 
     def build(h, w):
         return h.withColumn("_f", F.collect_list("close").over(w.rowsBetween(1, hold)))
@@ -53,14 +56,17 @@ def first_touch(bars: DataFrame, take: float, stop: float, hold: int, side: Colu
     b = rolled(bars, build, 0, hold)
     if entries is not None:
         b = b.filter(entries)
-    b = b.withColumn("_side", side)
-    hits = F.transform("_f", lambda x: (F.col("_side") * (x - F.col("close")) / F.col("close")))
+    b = b.withColumn("_side", side).withColumn("_px", basis)
+    hits = F.transform("_f", lambda x: (F.col("_side") * (x - F.col("_px")) / F.col("_px")))
     b = b.withColumn("_r", hits)
     b = b.withColumn("_k", F.array_position(F.transform("_r", lambda r: (r >= take) | (r <= -stop)), True))
-    k = F.when(F.col("_k") > 0, F.col("_k")).when(F.size("_f") == hold, F.lit(hold)).cast("int")
+    k = F.when(F.col("_k") > 0, F.col("_k")).when(F.size("_f") == hold, F.lit(hold))
+    if at_end:
+        k = k.when(F.size("_f") > 0, F.size("_f"))
+    k = k.cast("int")
     b = b.withColumn("_x", k).filter("_x IS NOT NULL")
     r = F.try_element_at("_r", F.col("_x"))
-    why = F.when(F.col("_k") == 0, "max_holding").when(r >= take, "take_profit").otherwise("stop_loss")
+    why = F.when((F.col("_k") == 0) & (F.col("_x") < hold), "end_of_backtest").when(F.col("_k") == 0, "max_holding").when(r >= take, "take_profit").otherwise("stop_loss")
     return b.select(*bars.columns, (F.col("seq") + F.col("_x")).alias("exit_seq"), F.try_element_at("_f", F.col("_x")).alias("exit_px"), why.alias("reason"))
 
 

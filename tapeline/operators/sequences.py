@@ -5,13 +5,11 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeline.functions import frames
 from tapeline.functions.frames import div, full, number_rows, quantiles, rolled, rstd, run_ids, running
-from tapeline.functions.lineage import cut
+from tapeline.functions.scan import scan
 
 YEAR = 252
 RISK_FREE = 0.02
@@ -142,65 +140,26 @@ def training_sequences(patterns: DataFrame, bars: DataFrame, length=15) -> DataF
                                         (div(F.col("m4"), F.col("m2") * F.col("m2")) - 3).alias("kurt"), "symbol_volatility")
 
 
-# --- parabolic stop line -------------------------------------------------
-
-_STATE = "bull boolean, af double, ep double, sar double"
-
-
-def _sar_chunk(high, low, close, first, bull, af, ep, sar, step, top):
-    """Advance the four-value state over one chunk; returns the line and the last state."""
-    out = np.empty(len(high))
-    start = 0
-    if first:
-        bull, af, ep, sar = True, step, high[0], close[0]
-        out[0] = sar
-        start = 1
-    for i in range(start, len(high)):
-        sar = sar + af * (ep - sar)
-        crossed = low[i] < sar if bull else high[i] > sar
-        if crossed:
-            sar, bull, af = ep, not bull, step
-            ep = high[i] if bull else low[i]
-        elif (bull and high[i] > ep) or (not bull and low[i] < ep):
-            ep = high[i] if bull else low[i]
-            af = min(af + step, top)
-        out[i] = sar
-    return out, (bull, af, ep, sar)
-
-
 def parabolic_sar(bars: DataFrame, step=0.02, top=0.2) -> DataFrame:
-    """Stop line by speculative chunks.
-
-    Every chunk starts from a guessed state; the state at the end of a chunk
-    then becomes the start of the next.  Reversals reset the state, so chunk
-    ends settle after a few rounds; the loop runs until no start changes, which
-    makes the result exact for any data.
-    """
-    key = F.floor(F.col("seq") / F.lit(frames.CHUNK)).alias("c")
-    rows = F.array_sort(F.collect_list(F.struct("seq", "high", "low", "close")))
-    chunks = cut(bars.groupBy("symbol", key).agg(rows.alias("rows")))
-
-    def run(batches):
-        for pdf in batches:
-            lines, ends = [], []
-            for r in pdf.itertuples(index=False):
-                a = np.array([(x["high"], x["low"], x["close"]) for x in r.rows])
-                s = r.start or {}
-                out, end = _sar_chunk(a[:, 0], a[:, 1], a[:, 2], r.c == 0, s.get("bull", True), s.get("af", step), s.get("ep", a[0, 0]), s.get("sar", a[0, 1]), step, top)
-                lines.append([{"seq": x["seq"], "psar": float(v)} for x, v in zip(r.rows, out)])
-                ends.append({"bull": bool(end[0]), "af": float(end[1]), "ep": float(end[2]), "sar": float(end[3])})
-            yield pd.DataFrame({"symbol": pdf["symbol"], "c": pdf["c"], "line": lines, "state": ends})
-
-    schema = f"symbol {bars.schema['symbol'].dataType.simpleString()}, c long, line array<struct<seq:long,psar:double>>, state struct<bull:boolean,af:double,ep:double,sar:double>"
-    nothing = F.lit(None).cast("struct<bull:boolean,af:double,ep:double,sar:double>")
-    done = cut(chunks.withColumn("start", nothing).mapInPandas(run, schema).withColumn("start", nothing))
-    while True:
-        # chunks whose predecessor now ends in another state than they were started from
-        prev = done.select("symbol", (F.col("c") + 1).alias("c"), F.col("state").alias("new"))
-        stale = done.join(prev, ["symbol", "c"]).filter(~F.col("start").eqNullSafe(F.col("new"))).select("symbol", "c", "new")
-        stale = cut(stale)
-        if stale.isEmpty():
-            return done.select("symbol", F.explode("line").alias("x")).select("symbol", "x.seq", "x.psar")
-        fresh = chunks.join(stale, ["symbol", "c"]).withColumnRenamed("new", "start")
-        redone = fresh.mapInPandas(run, schema).join(stale.withColumnRenamed("new", "start"), ["symbol", "c"])
-        done = cut(done.join(stale, ["symbol", "c"], "left_anti").unionByName(redone))
+    """Stop-and-reverse line.  A reversal resets the state, so chunk ends settle quickly."""
+
+    def kernel(a, state):
+        high, low, line = a["high"], a["low"], np.empty(len(a["high"]))
+        i = 0
+        if state is None:
+            bull, af, ep, sar = True, step, high[0], a["close"][0]
+            line[0], i = sar, 1
+        else:
+            bull, af, ep, sar = state["bull"], state["af"], state["ep"], state["sar"]
+        for i in range(i, len(high)):
+            sar = sar + af * (ep - sar)
+            beyond = high[i] if bull else low[i]
+            if (low[i] < sar) if bull else (high[i] > sar):
+                sar, bull, af = ep, not bull, step
+                ep = high[i] if bull else low[i]
+            elif (beyond > ep) if bull else (beyond < ep):
+                ep, af = beyond, min(af + step, top)
+            line[i] = sar
+        return {"psar": line}, {"bull": bool(bull), "af": float(af), "ep": float(ep), "sar": float(sar)}
+
+    return scan(bars, ["high", "low", "close"], kernel, {"psar": "double"}, "struct<bull:boolean,af:double,ep:double,sar:double>")
