@@ -11,6 +11,15 @@ from pyspark.sql import functions as F
 from tapeline.functions.frames import div
 
 
+def hold(df, **columns):
+    """Add columns behind a generator so that later lambdas read a value.
+
+    The optimiser otherwise inlines the defining expression into the lambda and
+    evaluates it once per array element.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
+
+
 def total(v, f=lambda x: x) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda a, x: a + f(x))
 

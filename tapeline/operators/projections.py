@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tapeline.functions import arrays as A
 from tapeline.functions.frames import (
     div, full, number_rows, quantiles, ranked_values, rmax, rmean, rmin, rolled, rstd, running,
 )
@@ -153,18 +154,10 @@ def scale(train: DataFrame, test: DataFrame, by, column: str) -> DataFrame:
         div(x - F.col("_lo"), F.col("_hi") - F.col("_lo")).alias(column + "_minmax"))
 
 
-def array_mean(v) -> Column:
-    return F.aggregate(v, F.lit(0.0), lambda a, x: a + x) / F.size(v)
-
-
-def array_std(v, mean: Column) -> Column:
-    return F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / F.size(v))
-
-
 def normalise(series: DataFrame, eps=1e-8) -> DataFrame:
     """Per-array z-score (zeros for a flat array) and min-max."""
-    d = series.withColumn("_m", array_mean("v"))
-    d = d.withColumn("_s", array_std("v", F.col("_m"))).withColumn("_lo", F.array_min("v")).withColumn("_hi", F.array_max("v"))
+    d = A.hold(series, _m=A.mean("v"))
+    d = A.hold(d, _s=A.std("v", F.col("_m")), _lo=F.array_min("v"), _hi=F.array_max("v"))
     z = F.transform("v", lambda x: F.when(F.col("_s") < eps, F.lit(0.0)).otherwise((x - F.col("_m")) / F.col("_s")))
     mm = F.transform("v", lambda x: F.coalesce(div(x - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0)))
     return d.select(*series.columns, z.alias("z"), mm.alias("minmax"))

@@ -11,9 +11,9 @@ from tapeline.functions.frames import div
 
 def statistics(series: DataFrame) -> DataFrame:
     """Moments, quantiles, slope, extrema counts and difference moments of ``v``."""
-    d = series.withColumn("mean", A.mean("v")).withColumn("_d", A.diffs("v"))
+    d = A.hold(series, mean=A.mean("v"), _d=A.diffs("v"))
     m = F.col("mean")
-    d = d.withColumn("_m2", A.moment("v", m, 2)).withColumn("mean_diff", A.mean("_d"))
+    d = A.hold(d, _m2=A.moment("v", m, 2), mean_diff=A.mean("_d"))
     return d.select(
         *[c for c in series.columns if c != "v"], "mean", F.sqrt("_m2").alias("std"), F.array_min("v").alias("min"), F.array_max("v").alias("max"),
         div(A.moment("v", m, 3), F.pow("_m2", F.lit(1.5))).alias("skew"), (div(A.moment("v", m, 4), F.col("_m2") * F.col("_m2")) - 3).alias("kurt"),
@@ -29,9 +29,9 @@ def ranks(v) -> Column:
 
 def pair_statistics(pairs: DataFrame) -> DataFrame:
     """Distribution, rank, error, shift and trend comparison of arrays ``x`` and ``y`` (cut to equal length)."""
-    n = F.least(F.size("x"), F.size("y"))
-    d = pairs.withColumns({"x": F.slice("x", F.lit(1), n), "y": F.slice("y", F.lit(1), n)})
-    d = d.withColumns({"_n": F.size("x"), "_mx": A.mean("x"), "_my": A.mean("y"), "_e": F.zip_with("x", "y", lambda a, b: a - b), "_dx": A.diffs("x"), "_dy": A.diffs("y"), "_rx": ranks("x"), "_ry": ranks("y")})
+    keep = [c for c in pairs.columns if c not in ("x", "y")]
+    d = A.hold(pairs.withColumnsRenamed({"x": "_x0", "y": "_y0"}), x=F.slice("_x0", F.lit(1), F.least(F.size("_x0"), F.size("_y0"))), y=F.slice("_y0", F.lit(1), F.least(F.size("_x0"), F.size("_y0"))))
+    d = A.hold(d, _n=F.size("x"), _mx=A.mean("x"), _my=A.mean("y"), _e=F.zip_with("x", "y", lambda a, b: a - b), _dx=A.diffs("x"), _dy=A.diffs("y"), _rx=ranks("x"), _ry=ranks("y"))
     n = F.col("_n")
     sx, sy = A.std("x", F.col("_mx")), A.std("y", F.col("_my"))
     cdf = lambda v, t: A.count_where(v, lambda u: u <= t) / n
@@ -44,9 +44,8 @@ def pair_statistics(pairs: DataFrame) -> DataFrame:
     # lag k pairs x[t + k] with y[t]; 'same' mode keeps n lags starting at -floor(n/2)
     lag_dot = lambda k: F.aggregate(idx, F.lit(0.0), lambda a, t: a + F.coalesce(F.when((t + k >= 0) & (t + k < n), F.get("x", t + k) * F.get("y", t)), F.lit(0.0)))
     cc = F.transform(idx, lambda i: lag_dot(i - half))
-    d = d.withColumn("_cc", cc)
+    d = A.hold(d, _cc=cc)
     agree = F.aggregate(F.zip_with("_dx", "_dy", lambda a, b: (F.signum(a) == F.signum(b)).cast("int")), F.lit(0), lambda s, v: s + v)
-    keep = [c for c in pairs.columns if c not in ("x", "y")]
     return d.select(
         *keep, (F.col("_mx") - F.col("_my")).alias("mean_difference"), (sx - sy).alias("std_difference"), (A.quantile("x", 0.5) - A.quantile("y", 0.5)).alias("median_difference"), ks.alias("ks"),
         A.correlation("x", "y").alias("pearson"), A.correlation("_rx", "_ry").alias("spearman"), (tau_num / (n * (n - 1) / 2)).alias("kendall"), F.sqrt(A.total("_e", lambda e: e * e) / n).alias("rmse"),
@@ -57,5 +56,5 @@ def pair_statistics(pairs: DataFrame) -> DataFrame:
 def difference_highlight(pairs: DataFrame) -> DataFrame:
     """Largest aligned difference of ``x`` from reference ``y`` and its position."""
     n = F.least(F.size("x"), F.size("y"))
-    d = pairs.withColumn("_a", F.zip_with(F.slice("x", F.lit(1), n), F.slice("y", F.lit(1), n), lambda a, b: F.abs(a - b)))
+    d = A.hold(pairs, _a=F.zip_with(F.slice("x", F.lit(1), n), F.slice("y", F.lit(1), n), lambda a, b: F.abs(a - b)))
     return d.select(*[c for c in pairs.columns if c not in ("x", "y")], F.array_max("_a").alias("max_value"), (F.array_position("_a", F.array_max("_a")) - 1).alias("max_pos"))

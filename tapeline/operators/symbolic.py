@@ -10,10 +10,11 @@ from tapeline.functions import arrays as A
 
 def sax(series: DataFrame, segments=8, alphabet=4, column="v", eps=1e-8) -> DataFrame:
     """Add the symbol string of array ``column``."""
-    d = series.withColumn("_m", A.mean(column))
-    d = d.withColumn("_s", A.std(column, F.col("_m"))).withColumn("_z", A.znorm(column, F.col("_m"), F.col("_s"), eps))
-    d = d.withColumn("_p", A.segment_means("_z", segments))
-    return d.withColumn("sax", A.symbols("_p", alphabet)).drop("_m", "_s", "_z", "_p")
+    d = A.hold(series, _m=A.mean(column))
+    d = A.hold(d, _s=A.std(column, F.col("_m")))
+    d = A.hold(d, _z=A.znorm(column, F.col("_m"), F.col("_s"), eps))
+    d = A.hold(d, _p=A.segment_means("_z", segments))
+    return A.hold(d, sax=A.symbols("_p", alphabet)).drop("_m", "_s", "_z", "_p")
 
 
 def inverse(words: DataFrame, length: int, alphabet=4) -> DataFrame:
@@ -43,7 +44,7 @@ def padded_similarity(a: Column, b: Column) -> Column:
 
 def features(words: DataFrame) -> DataFrame:
     """Unique symbols, base-2 entropy and transition rate of ``sax``."""
-    d = words.withColumn("_l", A.letters(F.col("sax")))
+    d = A.hold(words, _l=A.letters(F.col("sax")))
     n = F.size("_l")
     moves = F.zip_with(F.slice("_l", 2, n - 1), F.slice("_l", 1, n - 1), lambda x, y: (x != y).cast("int"))
     return d.select(*words.columns, F.size(F.array_distinct("_l")).alias("unique_symbols"), A.entropy(F.col("_l")).alias("symbol_entropy"),
