@@ -28,7 +28,8 @@ def vectors(df: DataFrame, columns, name="features") -> DataFrame:
 
 
 def scaled(df: DataFrame, name="features") -> DataFrame:
-    """Standardised vectors in column ``scaled``."""
+    """Standardised vectors in column ``scaled``; materialised because fits read them many times."""
+    df = cut(df)
     return StandardScaler(inputCol=name, outputCol="scaled", withMean=True, withStd=True).fit(df).transform(df)
 
 
@@ -120,25 +121,31 @@ def regime_features(bars: DataFrame) -> DataFrame:
 
 
 def rule_regime(bars: DataFrame, rows=100) -> DataFrame:
-    """Volatility level, trend direction and market state of the latest row per symbol."""
+    """Volatility level, trend direction and market state over the last ``rows`` rows per symbol."""
     last = bars.groupBy("symbol").agg(F.max("seq").alias("_z"))
-    d = rolled(bars, lambda h, w: h.withColumn("_r", div(C, F.lag(C).over(w)) - 1), 1).join(last, "symbol").filter(F.col("seq") > F.col("_z") - rows)
-    tail = F.col("seq") > F.col("_z") - 20
-    g = d.groupBy("symbol").agg((F.stddev_samp("_r") * math.sqrt(252)).alias("vol"), F.avg(F.when(tail, C)).alias("m20"), F.avg(C).alias("m100"), F.avg("_r").alias("mean"))
-    level = F.when(F.col("vol") > 0.25, "high").when(F.col("vol") > 0.15, "medium").otherwise("low")
-    trend = F.when(F.col("m20") > F.col("m100") * 1.02, "up").when(F.col("m20") < F.col("m100") * 0.98, "down").otherwise("sideways")
-    d = g.withColumns({"volatility_level": level, "trend": trend})
-    state = F.when((F.col("trend") == "up") & (F.col("volatility_level") != "high"), "bull").when((F.col("trend") == "down") & (F.col("volatility_level") == "high"), "crisis").when(F.col("trend") == "down", "bear").otherwise("neutral")
-    return d.select("symbol", "volatility_level", "trend", state.alias("market_state"))
-
-
-# Strategy settings per market state (exposure, stop, holding days).
-STRATEGY = {"bull": (1.0, 0.05, 20), "bear": (0.3, 0.03, 5), "crisis": (0.0, 0.02, 1), "neutral": (0.6, 0.04, 10)}
-
-
-def strategy_parameters(regimes: DataFrame, column="market_state") -> DataFrame:
-    pick = lambda i: F.coalesce(*[F.when(F.col(column) == k, F.lit(v[i])) for k, v in STRATEGY.items()])
-    return regimes.select("*", pick(0).alias("exposure"), pick(1).alias("stop"), pick(2).alias("holding_days"))
+    d = rolled(bars, lambda h, w: h.withColumn("_r", div(C, F.lag(C).over(w)) - 1), 1).join(last, "symbol")
+    d = d.withColumn("_age", F.col("_z") - F.col("seq")).filter(F.col("_age") < rows)
+    d = d.withColumn("_r", F.when(F.col("_age") < rows - 1, F.col("_r")))
+    tail = lambda n, x: F.when(F.col("_age") < n, x)
+    g = d.groupBy("symbol").agg(
+        F.stddev_samp("_r").alias("sd"), F.stddev_samp(tail(20, F.col("_r"))).alias("sd20"), F.avg(tail(20, C)).alias("sma20"), F.avg(tail(50, C)).alias("sma50"), F.max_by(C, "seq").alias("px"),
+        (F.max(H) - F.min(L)).alias("rng"), F.avg(H - L).alias("bar"), F.avg(tail(5, F.col("_r"))).alias("m5"), F.avg(tail(10, F.col("_r"))).alias("m10"))
+    c = F.col
+    level = F.when(c("sd20") < c("sd") * 0.7, "low").when(c("sd20") > c("sd") * 1.3, "high").otherwise("medium")
+    trend = F.when((c("px") > c("sma20")) & (c("sma20") > c("sma50")), "bullish").when((c("px") < c("sma20")) & (c("sma20") < c("sma50")), "bearish").otherwise("neutral")
+    state = F.when(c("rng") < c("bar") * 2, "ranging").when(F.abs("m5") > c("sd") * 2, "breakout").when(c("m10") * c("m5") < 0, "reversal").otherwise("trending")
+    return g.select("symbol", level.alias("volatility_level"), trend.alias("trend_direction"), state.alias("market_state"))
+
+
+def strategy_parameters(r: DataFrame) -> DataFrame:
+    """Position size, stop, target and timeframe for a labelled regime."""
+    high, state = F.col("volatility_level") == "high", F.col("market_state")
+    size = F.when(state == "breakout", 1.5).when(state == "reversal", 0.3).when(high, 0.5).otherwise(1.0)
+    stop = F.when(state == "reversal", 0.015).when(high, 0.03).otherwise(0.02)
+    names = F.array_compact(F.array(F.when(high, "ATR"), *[
+        F.when(state == s, n) for s, pair in {"trending": ("MA_crossover", "ADX"), "ranging": ("RSI", "Bollinger_Bands"), "breakout": ("Volume", "Momentum"), "reversal": ("Divergence", "Support_Resistance")}.items() for n in pair]))
+    return r.select("*", size.alias("position_size"), stop.alias("stop_loss"), F.when(state == "ranging", 0.02).otherwise(0.04).alias("take_profit"),
+                    F.when(state == "trending", "long").otherwise("medium").alias("timeframe"), names.alias("indicators"))
 
 
 def regime_performance(returns: DataFrame) -> DataFrame:
@@ -146,16 +153,18 @@ def regime_performance(returns: DataFrame) -> DataFrame:
     r = F.col("r")
     t = returns.agg(one().alias("_t"))
     g = returns.groupBy("regime").agg(one().alias("n"), F.avg(r).alias("mean"), F.stddev_samp(r).alias("std"), share(r > 0).alias("win_rate"), F.coalesce(F.avg(F.when(r > 0, r)), F.lit(0.0)).alias("avg_win"), F.coalesce(F.avg(F.when(r < 0, r)), F.lit(0.0)).alias("avg_loss"))
-    return g.crossJoin(F.broadcast(t)).select("regime", "n", "mean", "std", F.coalesce(div(F.col("mean") - 0.02 / 252, F.col("std")) * math.sqrt(252), F.lit(0.0)).alias("sharpe"), "win_rate", "avg_win", "avg_loss", (F.col("n") / F.col("_t")).alias("share"))
+    return g.crossJoin(F.broadcast(t)).select("regime", "n", "mean", "std", F.coalesce(div(F.col("mean"), F.col("std")), F.lit(0.0)).alias("sharpe"), "win_rate", "avg_win", "avg_loss", (F.col("n") / F.col("_t")).alias("share"))
 
 
 def volatility_tags(returns: DataFrame) -> DataFrame:
-    """Volatility class by annualised deviation and whether the last 20 rows run hotter than the series."""
+    """Market class by annualised deviation, last-20 against full volatility, and return trend."""
     last = returns.groupBy("symbol").agg(F.max("seq").alias("_z"))
-    g = returns.join(last, "symbol").groupBy("symbol").agg((F.stddev_pop("r") * math.sqrt(252)).alias("vol"), F.stddev_pop(F.when(F.col("seq") > F.col("_z") - 20, F.col("r"))).alias("_s"), F.stddev_pop("r").alias("_f"), F.regr_slope("r", "seq").alias("_t"))
-    tag = F.when(F.col("vol") > 0.25, "high_volatility").when(F.col("vol") < 0.10, "low_volatility").otherwise("normal")
-    trend = F.when(F.col("_t") > 0, "improving").otherwise("declining")
-    return g.select("symbol", "vol", tag.alias("volatility_regime"), div(F.col("_s"), F.col("_f")).alias("recent_ratio"), trend.alias("trend"))
+    g = returns.join(last, "symbol").groupBy("symbol").agg(
+        (F.stddev_pop("r") * math.sqrt(252)).alias("volatility"), (F.stddev_pop(F.when(F.col("seq") > F.col("_z") - 20, F.col("r"))) * math.sqrt(252)).alias("recent"), F.regr_slope("r", "seq").alias("_t"))
+    v, q, t = F.col("volatility"), F.col("recent"), F.col("_t")
+    market = F.when(v > 0.25, "high_volatility").when(v < 0.10, "low_volatility").otherwise("normal_volatility")
+    vol = F.when(q > v * 1.5, "elevated").when(q < v * 0.7, "compressed").otherwise("normal")
+    return g.select("symbol", "volatility", "recent", market.alias("market_regime"), vol.alias("volatility_regime"), F.when(t > 0.001, "upward").when(t < -0.001, "downward").otherwise("sideways").alias("trend"))
 
 
 def walk_forward_splits(rows: DataFrame, train: int, test: int, step: int) -> DataFrame:
@@ -208,14 +217,39 @@ def forecast_tree(matrix: DataFrame, start: DataFrame, depth=3, branch=3, decay=
     return d.drop("_at")
 
 
-# Expected daily effect of each pattern type.
-PATTERN_EFFECT = {"trend_up": 0.02, "trend_down": -0.02, "reversal_top": -0.015, "reversal_bottom": 0.015, "consolidation": 0.0}
-
-
-def price_projection(patterns: DataFrame, horizon=5) -> DataFrame:
-    """Price after ``horizon`` steps from the pattern's expected effect."""
-    eff = F.coalesce(*[F.when(F.col("type") == k, F.lit(v)) for k, v in PATTERN_EFFECT.items()], F.lit(0.0))
-    return patterns.select("symbol", "seq", "type", (F.col("price_end") * (1 + eff * horizon / 5)).alias("projected"))
+# Price effect per step and default successor of each chart pattern.
+PATTERN_EFFECT = {
+    "flag_bull": 0.02,
+    "flag_bear": -0.02,
+    "double_bottom": 0.03,
+    "double_top": -0.03,
+    "triangle_ascending": 0.015,
+    "triangle_descending": -0.015,
+    "wedge_rising": 0.01,
+    "wedge_falling": -0.01,
+    "head_shoulders": -0.025,
+}
+NEXT_PATTERN = {
+    "double_bottom": "flag_bull",
+    "double_top": "flag_bear",
+    "triangle_ascending": "flag_bull",
+    "triangle_descending": "flag_bear",
+    "flag_bull": "wedge_rising",
+    "flag_bear": "wedge_falling",
+    "wedge_rising": "double_top",
+    "wedge_falling": "double_bottom",
+    "head_shoulders": "flag_bear",
+}
+MODEL_FACTOR = {"lstm": 0.9, "gru": 0.95, "transformer": 1.05, "ensemble": 1.0}
+
+
+def price_projection(patterns: DataFrame, horizon=1, kind="type", price="price") -> DataFrame:
+    """Projected price per model factor and the default next pattern."""
+    k = F.col(kind)
+    effect = F.coalesce(*[F.when(k == n, F.lit(v)) for n, v in PATTERN_EFFECT.items()], F.lit(0.0))
+    after = F.coalesce(*[F.when(k == n, F.lit(v)) for n, v in NEXT_PATTERN.items()], F.lit("triangle_ascending"))
+    p = F.col(price)
+    return patterns.select("*", *[(p + p * effect * horizon * f).alias(m) for m, f in MODEL_FACTOR.items()], after.alias("next_pattern"))
 
 
 def history_confidence(scores: DataFrame, n=10) -> DataFrame:
