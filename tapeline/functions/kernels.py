@@ -15,19 +15,22 @@ def dtw(x: np.ndarray, y: np.ndarray, allowed: np.ndarray | None = None) -> np.n
     """
     rows, n = x.shape
     m = y.shape[1]
-    before = np.full((rows, n + 1), np.inf)
-    last = np.full((rows, n + 1), np.inf)
-    before[:, 0] = 0.0
+    # positions first, so that a diagonal is a contiguous slice of each table
+    xt, yt = np.ascontiguousarray(x.T), np.ascontiguousarray(y.T[::-1])
+    before, last, now = (np.full((n + 1, rows), np.inf) for _ in range(3))
+    before[0] = 0.0
     for d in range(n + m - 1):
-        i = np.arange(max(0, d - m + 1), min(n - 1, d) + 1)
-        j = d - i
-        cost = np.abs(x[:, i] - y[:, j])
+        lo, hi = max(0, d - m + 1), min(n - 1, d) + 1
+        cost = np.abs(xt[lo:hi] - yt[m - 1 - d + lo : m - 1 - d + hi])
         if allowed is not None:
-            cost = np.where(allowed[i, j], cost, np.inf)
-        now = np.full((rows, n + 1), np.inf)
-        now[:, i + 1] = cost + np.minimum(np.minimum(last[:, i], last[:, i + 1]), before[:, i])
-        before, last = last, now
-    return last[:, n]
+            i = np.arange(lo, hi)
+            cost[~allowed[i, d - i]] = np.inf
+        best = np.minimum(last[lo:hi], last[lo + 1 : hi + 1])
+        np.minimum(best, before[lo:hi], out=best)
+        now[:] = np.inf
+        np.add(cost, best, out=now[lo + 1 : hi + 1])
+        before, last, now = last, now, before
+    return last[n].copy()
 
 
 def dtw_table(x: np.ndarray, y: np.ndarray, allowed: np.ndarray | None = None) -> np.ndarray:

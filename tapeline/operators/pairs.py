@@ -10,13 +10,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeline.functions import kernels as K
+from tapeline.functions.lineage import cut
 
 
 def block_count(df: DataFrame, size: int) -> int:
     return max(1, math.ceil(df.count() / size))
 
 
-def tiles(left: DataFrame, right: DataFrame | None, kernel, schema: str, size: int = 128) -> DataFrame:
+def tiles(left: DataFrame, right: DataFrame | None, kernel, schema: str, size: int = 64) -> DataFrame:
     """Apply ``kernel(left_block, right_block)`` to every pair of blocks.
 
     Series (id, v, ...) are spread over blocks by hash; a block is copied to
@@ -35,7 +36,8 @@ def tiles(left: DataFrame, right: DataFrame | None, kernel, schema: str, size: i
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
             return kernel(pdf[pdf._b == pdf.p], pdf[pdf._b == pdf.q])
 
-        return x.groupBy("p", "q").applyInPandas(run, schema)
+        # a tile is little data but much work, so the task count is fixed instead of coalesced by size
+        return x.repartition(min(n * (n + 1) // 2, 8192), "p", "q").groupBy("p", "q").applyInPandas(run, schema)
     m = block_count(right, size)
     l = left.withColumn("p", blk(n)).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
     r = right.withColumn("q", blk(m)).withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
@@ -68,8 +70,8 @@ def _distance_kernel(once: bool, allowed=None, limit=None):
                 bound = np.abs(va[gi, 0] - vb[gj, 0]) + (np.abs(va[gi, -1] - vb[gj, -1]) if n > 1 or m > 1 else 0.0)
                 ok = bound <= limit
                 gi, gj = gi[ok], gj[ok]
-            for s in range(0, len(gi), 4096):
-                i, j = gi[s : s + 4096], gj[s : s + 4096]
+            for s in range(0, len(gi), 512):
+                i, j = gi[s : s + 512], gj[s : s + 512]
                 d = K.dtw(va[i], vb[j], mask)
                 x, y = ida[ia[i]], idb[ib[j]]
                 swap = (x > y) if once else np.zeros(len(x), dtype=bool)
@@ -90,6 +92,7 @@ def distance_pairs(series: DataFrame, allowed=None, limit=None) -> DataFrame:
 
 def similarity(pairs: DataFrame) -> DataFrame:
     """similarity = 1 - distance / largest distance."""
+    pairs = cut(pairs)
     top = pairs.agg(F.max("normalized").alias("_mx"))
     return pairs.crossJoin(F.broadcast(top)).withColumn("similarity", 1 - F.try_divide("normalized", "_mx")).drop("_mx")
 

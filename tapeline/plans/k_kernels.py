@@ -4,7 +4,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from tapeline.functions import kernels as K
+from tapeline.functions.lineage import cut
 from tapeline.operators import pairs as PR
 from tapeline.operators import regimes as R
 from tapeline.operators import wavelets as WV
@@ -145,11 +145,11 @@ def d24(spark, root):
 @query("m02_cluster_statistics", nums="intra_mean intra_max intra_std inter_mean silhouette separation")
 def m02(spark, root):
     s = series(spark, root)
-    p = PR.distance_pairs(items(spark, root)).select("a", "b", F.col("normalized").alias("distance"))
+    p = cut(PR.distance_pairs(items(spark, root)).select("a", "b", F.col("normalized").alias("distance")))
     return R.cluster_statistics(p, s.select("id", F.col("label").alias("cluster")))
 
 
 @query("m03_density_clusters")
 def m03(spark, root):
-    p = PR.distance_pairs(items(spark, root)).select("a", "b", F.col("normalized").alias("distance"))
+    p = cut(PR.distance_pairs(items(spark, root)).select("a", "b", F.col("normalized").alias("distance")))
     return R.density(p, items(spark, root).select("id"), 0.035, 5)
