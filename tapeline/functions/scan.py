@@ -15,7 +15,7 @@ def _field(name):
     return lambda row: row[name]
 
 
-def scan(df: DataFrame, columns, kernel, out: dict, state: str, by="symbol", chunk=None) -> DataFrame:
+def scan(df: DataFrame, columns, kernel, out: dict, state: str, by="symbol", chunk=None, rounds=4) -> DataFrame:
     """Run ``kernel(arrays, state) -> (outputs, state)`` along every series.
 
     A recurrence that Spark windows cannot express is cut into chunks.  Every
@@ -33,12 +33,18 @@ def scan(df: DataFrame, columns, kernel, out: dict, state: str, by="symbol", chu
     g = df.groupBy(by, key).agg(rows.alias("rows"))
     chunks = cut(g.select(by, "c", *[F.transform("rows", _field(k)).alias("a_" + k) for k in ("seq", *columns)]))
 
-    def run(batches):
+    def run(batches, serial=False):
+        key, end = None, None
         for pdf in batches:
             res = {by: [], "c": [], "seq": [], "state": [], **{k: [] for k in out}}
             for r in pdf.to_dict("records"):
                 arrays = {k: np.asarray(r["a_" + k]) for k in columns}
-                o, end = kernel(arrays, r["start"] if isinstance(r["start"], dict) else None)
+                if serial:
+                    start = end if r[by] == key else None
+                else:
+                    start = r["start"] if isinstance(r["start"], dict) else None
+                o, end = kernel(arrays, start)
+                key = r[by]
                 res[by].append(r[by])
                 res["c"].append(r["c"])
                 res["seq"].append(r["a_seq"])
@@ -51,11 +57,16 @@ def scan(df: DataFrame, columns, kernel, out: dict, state: str, by="symbol", chu
     schema = f"{by} {kind}, c long, seq array<long>, state {state}, " + ", ".join(f"{k} array<{t}>" for k, t in out.items())
     unknown = F.lit(None).cast(state).alias("start")
     done = cut(chunks.select("*", unknown).mapInPandas(run, schema).select("*", unknown))
-    while True:
+    for turn in range(rounds + 1):
         prev = done.select(by, (F.col("c") + 1).alias("c"), F.col("state").alias("now"))
         stale = cut(done.join(prev, [by, "c"]).filter(~F.col("start").eqNullSafe(F.col("now"))).select(by, "c", F.col("now").alias("start")))
         if stale.isEmpty():
             break
+        if turn == rounds:
+            ordered = chunks.join(stale.select(by).distinct(), by, "left_semi").repartition(by).sortWithinPartitions(by, "c")
+            whole = ordered.mapInPandas(lambda batches: run(batches, True), schema).select("*", unknown)
+            done = done.join(stale.select(by).distinct(), by, "left_anti").unionByName(whole)
+            break
         redone = chunks.join(stale, [by, "c"]).mapInPandas(run, schema).join(stale, [by, "c"])
         done = cut(done.join(stale, [by, "c"], "left_anti").unionByName(redone))
     flat = done.select(by, F.explode(F.arrays_zip("seq", *out)).alias("x"))

@@ -14,7 +14,9 @@ from tapeline.functions import kernels as K
 from tapeline.functions.frames import div, number_rows, rolled, running
 from tapeline.operators.symbolic import sax
 
-C = F.col("close")
+
+def C() -> "F.Column":
+    return F.col("close")
 
 
 def one():
@@ -25,8 +27,8 @@ def extrema(bars: DataFrame, order=5) -> DataFrame:
     """Mark peaks and valleys: strict 3-point extremes that lead their ``order`` neighbourhood."""
     def build(h, w):
         near = w.rowsBetween(-order + 1, order - 1)
-        lo, hi = F.lag(C).over(w), F.lead(C).over(w)
-        return h.select("*", ((C > lo) & (C > hi) & (C == F.max(C).over(near))).alias("peak"), ((C < lo) & (C < hi) & (C == F.min(C).over(near))).alias("valley"))
+        lo, hi = F.lag(C()).over(w), F.lead(C()).over(w)
+        return h.select("*", ((C() > lo) & (C() > hi) & (C() == F.max(C()).over(near))).alias("peak"), ((C() < lo) & (C() < hi) & (C() == F.min(C()).over(near))).alias("valley"))
 
     d = rolled(bars, build, order, order)
     return d.withColumns({"peak": F.coalesce("peak", F.lit(False)), "valley": F.coalesce("valley", F.lit(False))})
@@ -34,7 +36,7 @@ def extrema(bars: DataFrame, order=5) -> DataFrame:
 
 def around(ex: DataFrame) -> DataFrame:
     """Last and next peak and valley (seq, price) seen from every bar, itself included."""
-    at = lambda f: F.when(F.col(f), F.struct(F.col("seq").alias("s"), C.alias("p")))
+    at = lambda f: F.when(F.col(f), F.struct(F.col("seq").alias("s"), C().alias("p")))
     d = running(ex, {"last_peak": (at("peak"), "last"), "last_valley": (at("valley"), "last")})
     return running(d, {"next_peak": (at("peak"), "last"), "next_valley": (at("valley"), "last")}, reverse=True)
 
@@ -60,7 +62,7 @@ def head_shoulders(ex: DataFrame) -> DataFrame:
     d = rolled(d, build, 1, 1)
     l, r = F.col("l"), F.col("r")
     diff = F.abs(l["close"] - r["close"]) / l["close"]
-    ok = (F.col("last_valley.s") > l["at"]) & (F.col("next_valley.s") < r["at"]) & (C > l["close"]) & (C > r["close"]) & (diff < 0.05)
+    ok = (F.col("last_valley.s") > l["at"]) & (F.col("next_valley.s") < r["at"]) & (C() > l["close"]) & (C() > r["close"]) & (diff < 0.05)
     return d.filter(ok).select("symbol", l["at"].alias("left"), F.col("at").alias("head"), r["at"].alias("right"), (0.8 - diff * 2).alias("confidence"))
 
 
@@ -71,8 +73,8 @@ def flags(bars: DataFrame, bearish=False) -> DataFrame:
 
     def build(h, w):
         f = w.rowsBetween(0, 19)
-        pole = div(C - F.lag(C, 20).over(w), F.lag(C, 20).over(w))
-        return h.select("*", pole.alias("pole"), (F.stddev_pop(C).over(f) / F.avg(C).over(f)).alias("cv"), F.regr_slope(C, F.col("seq").cast("double")).over(f).alias("slope"), one().over(f).alias("len"))
+        pole = div(C() - F.lag(C(), 20).over(w), F.lag(C(), 20).over(w))
+        return h.select("*", pole.alias("pole"), (F.stddev_pop(C()).over(f) / F.avg(C()).over(f)).alias("cv"), F.regr_slope(C(), F.col("seq").cast("double")).over(f).alias("slope"), one().over(f).alias("len"))
 
     d = rolled(bars, build, 20, 20).join(size, "symbol").filter(F.col("seq") < F.col("_n") - 20)
     ok = (sign * F.col("pole") > 0.1) & (F.col("len") >= 10) & (F.col("cv") < 0.03) & (sign * F.col("slope") < 0)
@@ -130,7 +132,7 @@ def shapelets(bars: DataFrame, size=16, step=8, segments=4, alphabet=4, least=3,
 
     def build(h, w):
         f = w.rowsBetween(0, size - 1)
-        return h.select("symbol", "seq", "_c", F.collect_list("close").over(f).alias("raw"), F.lead(C, size).over(w).alias("_a"), F.lead(C, size + ahead).over(w).alias("_b"))
+        return h.select("symbol", "seq", "_c", F.collect_list("close").over(f).alias("raw"), F.lead(C(), size).over(w).alias("_a"), F.lead(C(), size + ahead).over(w).alias("_b"))
 
     d = rolled(bars, build, 0, size + ahead).filter((F.size("raw") == size) & (F.col("seq") % step == 0)).join(stats, "symbol")
     d = A.hold(d, v=F.transform("raw", lambda x: (x - F.col("_mu")) / F.col("_sd"))).withColumn("ret", (F.col("_b") - F.col("_a")) / F.col("_a")).drop("raw", "_mu", "_sd", "_a", "_b")

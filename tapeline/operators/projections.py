@@ -12,11 +12,25 @@ from tapeline.functions.frames import (
     div, full, number_rows, quantiles, ranked_values, rmax, rmean, rmin, rolled, rstd, running,
 )
 
-C, H, L, V = F.col("close"), F.col("high"), F.col("low"), F.col("volume")
+
+def C() -> "F.Column":
+    return F.col("close")
+
+
+def H() -> "F.Column":
+    return F.col("high")
+
+
+def L() -> "F.Column":
+    return F.col("low")
+
+
+def V() -> "F.Column":
+    return F.col("volume")
 
 
 def ret(n, w) -> Column:
-    return div(C, F.lag(C, n).over(w)) - 1
+    return div(C(), F.lag(C(), n).over(w)) - 1
 
 
 def with_returns(bars: DataFrame) -> DataFrame:
@@ -27,15 +41,15 @@ def with_returns(bars: DataFrame) -> DataFrame:
 def return_columns(bars: DataFrame) -> DataFrame:
     def build(h, w):
         return h.select("*", *[ret(n, w).alias(f"returns_{n}d") for n in (1, 5, 20)],
-                        *[F.ln(div(C, F.lag(C, n).over(w))).alias(f"log_returns_{n}d") for n in (1, 5)])
+                        *[F.ln(div(C(), F.lag(C(), n).over(w))).alias(f"log_returns_{n}d") for n in (1, 5)])
 
     return rolled(bars, build, 20)
 
 
 def price_position(bars: DataFrame, periods=(20, 50)) -> DataFrame:
     def build(h, w):
-        return h.select("*", div(H, L).alias("high_low_ratio"), div(C, F.col("open")).alias("close_open_ratio"),
-                        *[div(C - rmin(C, n, w), rmax(C, n, w) - rmin(C, n, w)).alias(f"price_position_{n}d") for n in periods])
+        return h.select("*", div(H(), L()).alias("high_low_ratio"), div(C(), F.col("open")).alias("close_open_ratio"),
+                        *[div(C() - rmin(C(), n, w), rmax(C(), n, w) - rmin(C(), n, w)).alias(f"price_position_{n}d") for n in periods])
 
     return rolled(bars, build, max(periods))
 
@@ -69,7 +83,7 @@ def rolling_grid(df: DataFrame, column: str, windows=(5, 10, 20)) -> DataFrame:
 def targets(bars: DataFrame, horizon=5) -> DataFrame:
     """Forward return and its direction; the last rows have no return and direction 0."""
     def build(h, w):
-        fwd = div(F.lead(C, horizon).over(w), C) - 1
+        fwd = div(F.lead(C(), horizon).over(w), C()) - 1
         return h.select("*", fwd.alias("target_return"), F.when(fwd > 0, 1).otherwise(0).alias("target_direction"))
 
     return rolled(bars, build, 0, horizon)
@@ -79,11 +93,11 @@ def condition_labels(bars: DataFrame) -> DataFrame:
     """Ordered market condition label; thresholds are whole-series quantiles."""
     def build(h, w):
         h = h.withColumn("r", ret(1, w))
-        return h.select("*", rstd(F.col("r"), 20, w).alias("vol"), rmean(V, 20, w).alias("vma"))
+        return h.select("*", rstd(F.col("r"), 20, w).alias("vol"), rmean(V(), 20, w).alias("vma"))
 
     b = rolled(bars, build, 21)
     q = quantiles(b, ["symbol"], "vol", {"vq": 0.75}).join(quantiles(b, ["symbol"], "r", {"r80": 0.8, "r20": 0.2}), "symbol")
-    label = (F.when(F.col("seq") < 20, "unknown").when(F.col("vol") > F.col("vq"), "high_volatility").when(V > 2 * F.col("vma"), "high_volume")
+    label = (F.when(F.col("seq") < 20, "unknown").when(F.col("vol") > F.col("vq"), "high_volatility").when(V() > 2 * F.col("vma"), "high_volume")
              .when(F.col("r") > F.col("r80"), "strong_uptrend").when(F.col("r") < F.col("r20"), "strong_downtrend").otherwise("normal"))
     return b.join(q, "symbol").withColumn("condition", label).drop("vma", "vq", "r80", "r20")
 
@@ -92,8 +106,8 @@ def sliding_windows(bars: DataFrame, size: int, horizon: int) -> DataFrame:
     """Array of the ``size`` closes before each bar, with the up/down label at ``horizon``."""
     def build(h, w):
         f = w.rowsBetween(-size, -1)
-        return h.select("*", F.when(F.count(C).over(f) == size, F.collect_list(C).over(f)).alias("window"),
-                        F.when(F.lead(C, horizon).over(w) > C, 1).otherwise(0).alias("label"), F.lead("seq", horizon).over(w).alias("_f"))
+        return h.select("*", F.when(F.count(C()).over(f) == size, F.collect_list(C()).over(f)).alias("window"),
+                        F.when(F.lead(C(), horizon).over(w) > C(), 1).otherwise(0).alias("label"), F.lead("seq", horizon).over(w).alias("_f"))
 
     return rolled(bars, build, size, horizon).filter("window IS NOT NULL AND _f IS NOT NULL").select("symbol", "seq", "window", "label")
 
@@ -102,8 +116,8 @@ def supervised_sequences(bars: DataFrame, size: int, horizon: int) -> DataFrame:
     """Input array of ``size`` rows and the array of the next ``horizon`` values."""
     def build(h, w):
         fin, fout = w.rowsBetween(0, size - 1), w.rowsBetween(size, size + horizon - 1)
-        ok = (F.count(C).over(fin) == size) & (F.count(C).over(fout) == horizon)
-        return h.select("*", F.when(ok, F.collect_list(C).over(fin)).alias("x"), F.collect_list(C).over(fout).alias("y"))
+        ok = (F.count(C()).over(fin) == size) & (F.count(C()).over(fout) == horizon)
+        return h.select("*", F.when(ok, F.collect_list(C()).over(fin)).alias("x"), F.collect_list(C()).over(fout).alias("y"))
 
     return rolled(bars, build, 0, size + horizon).filter("x IS NOT NULL").select("symbol", "seq", "x", "y")
 
@@ -218,7 +232,7 @@ def trend_state(bars: DataFrame) -> DataFrame:
     """+1/-1 by the 20/50 mean crossover and percentile rank of the 20-bar volatility."""
     def build(h, w):
         h = h.withColumn("returns", F.coalesce(ret(1, w), F.lit(0.0)))
-        trend = F.when(rmean(C, 20, w) > rmean(C, 50, w), 1).otherwise(-1)
+        trend = F.when(rmean(C(), 20, w) > rmean(C(), 50, w), 1).otherwise(-1)
         return h.select("*", trend.alias("trend"), rstd(F.col("returns"), 20, w).alias("vol"))
 
     return percent_rank(rolled(bars, build, 50), "vol")

@@ -16,7 +16,21 @@ from tapeline.operators.aggregates import share
 from tapeline.operators.indicators import _rsi, true_range
 from tapeline.operators.selection import top_k
 
-C, H, L, V = F.col("close"), F.col("high"), F.col("low"), F.col("volume")
+
+def C() -> "F.Column":
+    return F.col("close")
+
+
+def H() -> "F.Column":
+    return F.col("high")
+
+
+def L() -> "F.Column":
+    return F.col("low")
+
+
+def V() -> "F.Column":
+    return F.col("volume")
 
 
 def one():
@@ -109,13 +123,13 @@ def cluster_statistics(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 def regime_features(bars: DataFrame) -> DataFrame:
     """20-row return moments, down share, relative volume, position and range, RSI, range ratio and mean gap."""
     def build(h, w):
-        h = h.withColumn("_r", div(C, F.lag(C).over(w)) - 1).withColumn("_d", C - F.lag(C).over(w)).withColumn("_tr", true_range(w))
+        h = h.withColumn("_r", div(C(), F.lag(C()).over(w)) - 1).withColumn("_d", C() - F.lag(C()).over(w)).withColumn("_tr", true_range(w))
         r, f, n = F.col("_r"), w.rowsBetween(-19, 0), 20
-        lo, hi = rmin(C, n, w), rmax(C, n, w)
+        lo, hi = rmin(C(), n, w), rmax(C(), n, w)
         return h.select(
             "symbol", "seq", "_c", rmean(r, n, w).alias("mean"), rstd(r, n, w).alias("std"), (full(F.skewness(r), r, f, n) * math.sqrt(n * (n - 1)) / (n - 2)).alias("skew"),
-            full(F.avg((r < 0).cast("double")), r, f, n).alias("down_share"), div(V, rmean(V, n, w)).alias("relative_volume"), div(C - lo, hi - lo).alias("position"), div(hi - lo, rmean(C, n, w)).alias("range"),
-            _rsi(14, w).alias("rsi"), div(rmean(F.col("_tr"), 14, w), C).alias("atr_ratio"), (div(rmean(C, 20, w), rmean(C, 50, w)) - 1).alias("sma_gap"))
+            full(F.avg((r < 0).cast("double")), r, f, n).alias("down_share"), div(V(), rmean(V(), n, w)).alias("relative_volume"), div(C() - lo, hi - lo).alias("position"), div(hi - lo, rmean(C(), n, w)).alias("range"),
+            _rsi(14, w).alias("rsi"), div(rmean(F.col("_tr"), 14, w), C()).alias("atr_ratio"), (div(rmean(C(), 20, w), rmean(C(), 50, w)) - 1).alias("sma_gap"))
 
     return rolled(bars, build, 51)
 
@@ -123,13 +137,13 @@ def regime_features(bars: DataFrame) -> DataFrame:
 def rule_regime(bars: DataFrame, rows=100) -> DataFrame:
     """Volatility level, trend direction and market state over the last ``rows`` rows per symbol."""
     last = bars.groupBy("symbol").agg(F.max("seq").alias("_z"))
-    d = rolled(bars, lambda h, w: h.withColumn("_r", div(C, F.lag(C).over(w)) - 1), 1).join(last, "symbol")
+    d = rolled(bars, lambda h, w: h.withColumn("_r", div(C(), F.lag(C()).over(w)) - 1), 1).join(last, "symbol")
     d = d.withColumn("_age", F.col("_z") - F.col("seq")).filter(F.col("_age") < rows)
     d = d.withColumn("_r", F.when(F.col("_age") < rows - 1, F.col("_r")))
     tail = lambda n, x: F.when(F.col("_age") < n, x)
     g = d.groupBy("symbol").agg(
-        F.stddev_samp("_r").alias("sd"), F.stddev_samp(tail(20, F.col("_r"))).alias("sd20"), F.avg(tail(20, C)).alias("sma20"), F.avg(tail(50, C)).alias("sma50"), F.max_by(C, "seq").alias("px"),
-        (F.max(H) - F.min(L)).alias("rng"), F.avg(H - L).alias("bar"), F.avg(tail(5, F.col("_r"))).alias("m5"), F.avg(tail(10, F.col("_r"))).alias("m10"))
+        F.stddev_samp("_r").alias("sd"), F.stddev_samp(tail(20, F.col("_r"))).alias("sd20"), F.avg(tail(20, C())).alias("sma20"), F.avg(tail(50, C())).alias("sma50"), F.max_by(C(), "seq").alias("px"),
+        (F.max(H()) - F.min(L())).alias("rng"), F.avg(H() - L()).alias("bar"), F.avg(tail(5, F.col("_r"))).alias("m5"), F.avg(tail(10, F.col("_r"))).alias("m10"))
     c = F.col
     level = F.when(c("sd20") < c("sd") * 0.7, "low").when(c("sd20") > c("sd") * 1.3, "high").otherwise("medium")
     trend = F.when((c("px") > c("sma20")) & (c("sma20") > c("sma50")), "bullish").when((c("px") < c("sma20")) & (c("sma20") < c("sma50")), "bearish").otherwise("neutral")

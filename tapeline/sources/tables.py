@@ -15,7 +15,7 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
-def epoch(ts) -> F.Column:
+def epoch(ts) -> "F.Column":
     return F.unix_timestamp(F.col(ts) if isinstance(ts, str) else ts)
 
 
