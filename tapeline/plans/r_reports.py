@@ -401,9 +401,9 @@ _BOOK = """WITH RECURSIVE b AS (SELECT symbol, seq, TRUE AS held, side * quantit
   FROM (SELECT f.symbol, f.seq, f.side, f.quantity AS q, f.price AS p, f.commission AS fee, b.held, b.qty, b.cost, b.av, CASE WHEN abs(b.qty) <= f.quantity THEN b.cost ELSE b.av * f.quantity END AS basis FROM b JOIN fills f ON f.symbol = b.symbol AND f.seq = b.seq + 1))"""
 
 
-@query("r30_average_cost", "fills", _BOOK + " SELECT symbol, seq, qty AS position, av AS average_price, pnl AS realized_pnl FROM b", "position average_price realized_pnl", d=8)
+@query("r30_average_cost", "fills", _BOOK + " SELECT symbol, seq, qty AS position, av AS average_price, round(pnl, 5) + 0.0 AS realized_pnl FROM b", "position average_price", d=8)
 def r30(spark, root):
-    return R.average_cost(fills(spark, root))
+    return R.average_cost(fills(spark, root)).withColumn("realized_pnl", F.round("realized_pnl", 5) + F.lit(0.0))
 
 
 @query("r30_mark_to_market", "fills", _BOOK + """, g AS (SELECT symbol, sum(pnl) AS realized, arg_max(qty, seq) AS position, arg_max(av, seq) AS average_price FROM b GROUP BY symbol), l AS (SELECT symbol, arg_max(price, seq) AS last_price FROM fills GROUP BY symbol)
