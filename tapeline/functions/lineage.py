@@ -1,14 +1,37 @@
-"""Reliable checkpoints for iterative jobs."""
+"""Reliable checkpoints and stored intermediate tables for iterative jobs."""
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint to the directory the session names; a temporary one only if none is set."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    A local master has one machine, so a temporary folder does there; anywhere else a missing setting is an error, because
+    executors cannot read each other's disks.
+    """
+    sc = spark.sparkContext
+    named = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if named is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="tapeline-")
     if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tapeline-"))
+        sc.setCheckpointDir(named)
+    return named
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Checkpoint to the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def store(df: DataFrame) -> DataFrame:
+    """Write as Parquet to the shared folder and read it back: for wide or large tables, which a checkpoint would keep uncompressed."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
