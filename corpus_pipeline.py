@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tapeline.functions.lineage import store
-from tapeline.llm import line_dedup, quality_rules, simhash
+from tapeline.llm import decontaminate, line_dedup, mixing, quality_rules, simhash
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,7 +23,23 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.keep_one(docs)
 
 
-STAGES = [("quality_rules", quality_stage), ("line_dedup", line_stage), ("simhash_dedup", near_stage)]
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each copy that the mix takes."""
+    return mixing.mixed_documents(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_stage),
+    ("line_dedup", line_stage),
+    ("simhash_dedup", near_stage),
+    ("decontamination", benchmark_stage),
+    ("mixing", mixing_stage),
+]
 
 #: The fingerprints and the dependent rounding have no SQL form; tests/llm compares the stages with brute-force versions.
 ORACLE_SQL = None

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeline.llm import licenses, line_dedup, quality_rules, simhash
+from tapeline.llm import decontaminate, licenses, line_dedup, mixing, quality_rules, simhash
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -28,6 +28,31 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 
+_ITEM_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
+
+@query("op1_decontaminate", sql=rf"""
+WITH item AS (SELECT CAST(item_id AS VARCHAR) AS item, {_ITEM_WORDS} AS w FROM benchmark),
+win AS (SELECT DISTINCT item, n, array_to_string(w[i:i + n - 1], ' ') AS win FROM
+  (SELECT item, w, least(10, len(w)) AS n, unnest(generate_series(1, greatest(len(w) - 9, 1))) AS i FROM item WHERE len(w) > 0)),
+doc AS (SELECT doc_id, {_ITEM_WORDS} AS w FROM documents),
+spot AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS win FROM
+  (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i FROM doc, (SELECT DISTINCT n FROM win) WHERE len(w) >= n)),
+hit AS (SELECT doc_id, i, n, item FROM spot JOIN win USING (n, win)),
+word AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + n - 1)) AS k FROM hit) GROUP BY doc_id),
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AS contaminated FROM doc LEFT JOIN word USING (doc_id) LEFT JOIN named USING (doc_id)""")
+def op1_decontaminate(spark, root):
+    found = decontaminate.find_hits(table(spark, root, "documents"), table(spark, root, "benchmark"))
+    return found.select("row.doc_id", "hits.n_words", "hits.n_hit", F.size("hits.items").cast("long").alias("n_items"), decontaminate.items_digest(F.col("hits.items")).alias("items_sha256"), (F.col("hits.n_hit") > 0).alias("contaminated"))
+
+
+@query("op4_mixing")
+def op4_mixing(spark, root):
+    return mixing.mix(table(spark, root, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
 @query("op6_licenses", sql=None)
 def op6_licenses(spark, root):
     return licenses.scan(table(spark, root, "documents"))
