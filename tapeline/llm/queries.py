@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeline.llm import chat, decontaminate, licenses, line_dedup, mixing, quality_rules, secrets, simhash
+from tapeline.llm import chat, decontaminate, licenses, line_dedup, mixing, quality_rules, secrets, simhash, substrings
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -101,6 +101,21 @@ def op7_simhash(spark, root):
     return simhash.near_duplicates(table(spark, root, "documents")).select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+@query("op8_substring_dedup", sql=rf"""
+WITH doc AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+win AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 34], ' ')) AS h FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 34)) AS i FROM doc WHERE len(w) >= 35)),
+rep AS (SELECT h FROM win GROUP BY h HAVING count(*) > 1),
+hit AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + 34)) AS i FROM win SEMI JOIN rep USING (h)),
+word AS (SELECT doc_id, w[i] AS t, i FROM (SELECT doc_id, w, unnest(generate_series(1, len(w))) AS i FROM doc)),
+rest AS (SELECT doc_id, string_agg(t, ' ' ORDER BY i) AS kept FROM word ANTI JOIN hit USING (doc_id, i) GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n_removed FROM hit GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM doc LEFT JOIN rest USING (doc_id) LEFT JOIN n USING (doc_id)""")
+def op8_substring_dedup(spark, root):
+    cut = substrings.remove_repeats(table(spark, root, "documents").select("doc_id", "text"))
+    return cut.select("rest.doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 _RULE_SQL = " + ".join(f"(CASE WHEN {cond} THEN {1 << i} ELSE 0 END)" for i, cond in enumerate(quality_rules.RULES.values()))
 
 
