@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeline.llm import chat, decontaminate, licenses, line_dedup, mixing, quality_rules, secrets, simhash, substrings
+from tapeline.llm import chat, decontaminate, html_text, licenses, line_dedup, mixing, quality_rules, secrets, simhash, substrings
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -91,7 +91,27 @@ def op4_mixing(spark, root):
     return mixing.mix(table(spark, root, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
-@query("op6_licenses", sql=None)
+@query("op5_html_text")
+def op5_html_text(spark, root):
+    return html_text.main_text(table(spark, root, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+_KNOWN = ", ".join(f"('{s}', {i})" for s, i in licenses.SENTENCES.items())
+_PARTS = lambda mode, units: rf"SELECT doc_id, {mode} AS mode, unnest(p) AS s, generate_subscripts(p, 1) AS i FROM (SELECT doc_id, regexp_split_to_array(t, '[.!?;]+(?:[ \t\r\n]+|$)|{units}') AS p FROM doc)"
+_HOLDS = ", ".join(
+    "CASE WHEN " + " OR ".join(f"contains(',' || ids || ',', ',{','.join(str(licenses.SENTENCES[s]) for s in alt)},')" for alt in licenses.RULES[name]) + f" THEN '{name}' END" for name in sorted(licenses.RULES)
+)
+
+
+@query("op6_licenses", sql=rf"""
+WITH known(s, id) AS (VALUES {_KNOWN}),
+doc AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+part AS ({_PARTS(0, r"\n")} UNION ALL {_PARTS(1, r"\n[ \t\r]*\n")}),
+norm AS (SELECT doc_id, mode, i, trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')) AS s FROM part),
+found AS (SELECT doc_id, mode, count(*) AS n, string_agg(CAST(id AS VARCHAR), ',' ORDER BY i) AS ids FROM norm JOIN known USING (s) GROUP BY doc_id, mode),
+best AS (SELECT doc_id, arg_max(struct_pack(n := n, ids := ids), n * 2 + 1 - mode) AS b FROM found GROUP BY doc_id),
+flat AS (SELECT doc_id, coalesce(b.n, 0) AS n_sentences, coalesce(b.ids, '') AS ids FROM doc LEFT JOIN best USING (doc_id))
+SELECT doc_id, n_sentences, ids AS sentence_ids, concat_ws(',', {_HOLDS}) AS licenses FROM flat""")
 def op6_licenses(spark, root):
     return licenses.scan(table(spark, root, "documents"))
 
