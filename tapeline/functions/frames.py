@@ -26,24 +26,36 @@ def div(a, b) -> Column:
     return F.try_divide(*[x if isinstance(x, (Column, str)) else F.lit(x) for x in (a, b)])
 
 
+def cell(by, at: Column) -> Column:
+    """Key of one bucket or chunk of a series.
+
+    A struct is never NULL itself, and structs with NULL fields are equal: joins on it keep rows whose key or order value is NULL.
+    """
+    return F.struct(*[F.col(c).alias(c) for c in by], at.alias("_at"))
+
+
+def of_cell(by) -> list[Column]:
+    return [F.col(f"_k.{c}") for c in by]
+
+
 def number_rows(df: DataFrame, order, bucket: Column, by=SERIES, name="seq") -> DataFrame:
     """Dense 0-based row number per ``by`` in ``order``.
 
     ``bucket`` must be non-decreasing in ``order``.  Rows are numbered inside
     each bucket and shifted by the number of rows in earlier buckets, so the
-    only per-key window runs over one summary row per bucket.
+    only per-key window runs over one summary row per bucket.  Rows with a NULL
+    key form a series; rows with a NULL order value come first.
     """
-    by = list(by)
-    df = df.withColumn("_b", bucket)
-    sizes = df.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    shift = sizes.select(*by, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    local = F.row_number().over(Window.partitionBy(*by, "_b").orderBy(*order))
+    df = df.withColumn("_k", cell(by, bucket))
+    sizes = df.groupBy("_k").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*of_cell(by)).orderBy("_k._at").rowsBetween(Window.unboundedPreceding, -1)
+    shift = sizes.select("_k", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    local = F.row_number().over(Window.partitionBy("_k").orderBy(*order))
     return (
         df.withColumn("_rn", local)
-        .join(shift, by + ["_b"])
+        .join(shift, "_k")
         .withColumn(name, F.col("_off") + F.col("_rn") - 1)
-        .drop("_b", "_rn", "_off")
+        .drop("_k", "_rn", "_off")
     )
 
 
@@ -112,10 +124,9 @@ def running(df: DataFrame, specs: dict, by=SERIES, reverse=False) -> DataFrame:
     is combined with the carry of all earlier chunks.  ``reverse`` runs from
     the end of the series (used for next-non-null).
     """
-    by = list(by)
     key = F.col("seq").desc() if reverse else F.col("seq").asc()
-    ckey = F.col("_c").desc() if reverse else F.col("_c").asc()
-    df = df.withColumn("_c", F.floor(F.col("seq") / F.lit(CHUNK)))
+    ckey = F.col("_k._at").desc() if reverse else F.col("_k._at").asc()
+    df = df.withColumn("_k", cell(by, F.floor(F.col("seq") / F.lit(CHUNK))))
     for name, (expr, _) in specs.items():
         df = df.withColumn("_x_" + name, expr)
     totals = []
@@ -127,49 +138,75 @@ def running(df: DataFrame, specs: dict, by=SERIES, reverse=False) -> DataFrame:
         else:
             t = _AGG[kind](x)
         totals.append(t.alias("_t_" + name))
-    earlier = Window.partitionBy(*by).orderBy(ckey).rowsBetween(Window.unboundedPreceding, -1)
-    carry = df.groupBy(*by, "_c").agg(*totals).select(
-        *by, "_c", *[_AGG[k](F.col("_t_" + n)).over(earlier).alias("_p_" + n) for n, (_, k) in specs.items()]
-    )
-    so_far = Window.partitionBy(*by, "_c").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy(*of_cell(by)).orderBy(ckey).rowsBetween(Window.unboundedPreceding, -1)
+    carry = df.groupBy("_k").agg(*totals).select("_k", *[_AGG[k](F.col("_t_" + n)).over(earlier).alias("_p_" + n) for n, (_, k) in specs.items()])
+    so_far = Window.partitionBy("_k").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
     for name, (_, kind) in specs.items():
         df = df.withColumn("_x_" + name, _AGG[kind](F.col("_x_" + name)).over(so_far))
-    df = df.join(carry, by + ["_c"])
+    df = df.join(carry, "_k")
     for name, (_, kind) in specs.items():
         df = df.withColumn(name, _COMBINE[kind](F.col("_p_" + name), F.col("_x_" + name)))
-    return df.drop("_c", *["_x_" + n for n in specs], *["_p_" + n for n in specs])
+    return df.drop("_k", *["_x_" + n for n in specs], *["_p_" + n for n in specs])
+
+
+def _slowest_decay(a: float, chunk: int) -> float:
+    """Least decay per row of the weight of the past, over all spacings of values inside a chunk."""
+    q = 1.0 - a
+    return min(-(g * math.log(q) - math.log(q**g + a)) / g for g in range(1, chunk + 1) if q**g > 0)
 
 
 def ewm(df: DataFrame, specs: dict, by=SERIES) -> DataFrame:
     """Exponential mean, ``adjust=False``, seeded with the first value.
 
-    ``specs`` maps a name to (expression, alpha).  Inside a chunk of
-    EMA_CHUNK rows the recurrence is a scaled cumulative sum; the incoming
-    carry is a weighted sum of earlier chunk results, cut where the weight is
-    below 1e-18 of the value.
+    ``specs`` maps a name to (expression, alpha).  A NULL input repeats the
+    mean, and the weight of the past shrinks with the distance to the last
+    value: after a gap of g rows the mean is (q^g y + alpha x) / (q^g + alpha)
+    with q = 1 - alpha.  Leading NULLs give NULL.
+
+    Inside a chunk the recurrence is a scaled cumulative sum; the chunk length
+    keeps the scale within a double for any alpha.  A chunk acts on the mean
+    before it as an affine map, and the maps of as many earlier chunks are
+    applied in order as it takes for older ones to weigh less than 1e-18 of
+    their own value, whatever the spacing of the values.
     """
-    by = list(by)
-    df = df.withColumn("_c", F.floor(F.col("seq") / F.lit(EMA_CHUNK)))
-    k = F.col("seq") - F.col("_c") * EMA_CHUNK
-    so_far = Window.partitionBy(*by, "_c").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    local, ends, carries = df, [], []
-    chain = Window.partitionBy(*by).orderBy("_c")
-    for name, (expr, a) in specs.items():
-        q = 1.0 - a
-        weight = F.when(F.col("seq") == 0, 1.0).otherwise(a)
-        local = local.withColumn("_l_" + name, F.pow(F.lit(q), k) * F.sum(weight * expr * F.pow(F.lit(q), -k)).over(so_far))
-        ends.append(F.max_by("_l_" + name, "seq").alias("_e_" + name))
-        depth = max(1, math.ceil(41.5 / (-math.log(q) * EMA_CHUNK)) + 1)
-        parts = [
-            F.coalesce(F.lag("_e_" + name, j).over(chain), F.lit(0.0)) * q ** (EMA_CHUNK * (j - 1))
-            for j in range(1, depth + 1)
-        ]
-        carries.append(reduce(lambda x, y: x + y, parts).alias("_p_" + name))
-    carry = local.groupBy(*by, "_c").agg(*ends).select(*by, "_c", *carries)
-    out = local.join(carry, by + ["_c"])
-    for name, (_, a) in specs.items():
-        out = out.withColumn(name, F.col("_l_" + name) + F.col("_p_" + name) * F.pow(F.lit(1.0 - a), k + 1))
-    return out.drop("_c", *["_l_" + n for n in specs], *["_p_" + n for n in specs])
+    q_of = {name: max(1.0 - a, 1e-300) for name, (_, a) in specs.items()}
+    chunk = max(1, min(EMA_CHUNK, *(int(575 / -math.log(q)) for q in q_of.values())))
+    df = df.withColumn("_k", cell(by, F.floor(F.col("seq") / F.lit(chunk))))
+    w = Window.partitionBy("_k").orderBy("seq")
+    so_far, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+    key = of_cell(by)
+    earlier = Window.partitionBy(*key).orderBy("_k._at").rowsBetween(Window.unboundedPreceding, -1)
+    ends, chained, linked, outs = [], [], [], []
+    for name, (expr, _) in specs.items():
+        df = df.withColumn("_x_" + name, expr.cast("double"))
+        df = df.withColumn("_s_" + name, F.when(F.col("_x_" + name).isNotNull(), F.col("seq")))
+    df = df.withColumns({"_g_" + n: F.col("_s_" + n) - F.last("_s_" + n, ignorenulls=True).over(ahead) for n in specs})
+    norm = {n: F.pow(F.lit(q_of[n]), F.col("_g_" + n)) + F.lit(a) for n, (_, a) in specs.items()}
+    df = df.withColumns({"_c_" + n: F.coalesce(F.sum(F.col("_g_" + n) * math.log(q_of[n]) - F.ln(norm[n])).over(so_far), F.lit(0.0)) for n in specs})
+    df = df.withColumns({
+        **{"_l_" + n: F.exp("_c_" + n) * F.coalesce(F.sum(F.when(F.col("_g_" + n).isNotNull(), a / norm[n] * F.col("_x_" + n) * F.exp(-F.col("_c_" + n)))).over(so_far), F.lit(0.0)) for n, (_, a) in specs.items()},
+        **{"_f_" + n: F.first("_s_" + n, ignorenulls=True).over(so_far) for n in specs},
+    })
+    for n, (_, a) in specs.items():
+        ends += [F.max_by(c + n, "seq").alias(c + n) for c in ("_c_", "_l_")] + [F.min("_s_" + n).alias("_f_" + n), F.max("_s_" + n).alias("_e_" + n), F.min_by("_x_" + n, "_s_" + n).alias("_v_" + n)]
+        gap = F.pow(F.lit(q_of[n]), F.col("_f_" + n) - F.last("_e_" + n, ignorenulls=True).over(earlier))
+        chained.append((gap / (gap + F.lit(a))).alias("_a_" + n))
+        depth = math.ceil(41.5 / (_slowest_decay(min(a, 1.0 - 1e-15), chunk) * chunk)) + 1
+        scale, tail, v, past = F.exp("_c_" + n), F.col("_l_" + n), F.col("_v_" + n), F.col("_a_" + n)
+        whole = scale * v + tail
+        step = F.struct(F.coalesce(scale * past, F.lit(0.0)).alias("a"), F.coalesce(scale * (1 - past) * v + tail, whole).alias("b"), whole.alias("whole"))
+        recent = Window.partitionBy(*key, F.col("_v_" + n).isNotNull()).orderBy("_k._at").rowsBetween(-depth, 0)
+        fold = F.aggregate(F.collect_list(step).over(recent), F.lit(None).cast("double"), lambda y, m: F.coalesce(m.a * y + m.b, m.whole))
+        linked.append(F.when(v.isNotNull(), fold).alias("_o_" + n))
+    carry = df.groupBy("_k").agg(*ends).select("*", *chained).select("*", *linked)
+    carry = carry.select("_k", *[c for n in specs for c in (F.col("_a_" + n), F.col("_v_" + n), F.last("_o_" + n, ignorenulls=True).over(earlier).alias("_p_" + n))])
+    out = df.join(carry, "_k")
+    for n in specs:
+        past, v, before = F.col("_a_" + n), F.col("_v_" + n), F.col("_p_" + n)
+        start = F.coalesce(past * before + (1 - past) * v, v)
+        outs.append(F.when(F.col("_f_" + n).isNull(), before).otherwise(F.exp("_c_" + n) * start + F.col("_l_" + n)).alias(n))
+    held = [c for c in out.columns if not (c[:1] == "_" and any(c == p + n for p in ("_x_", "_s_", "_g_", "_c_", "_l_", "_f_", "_a_", "_v_", "_p_") for n in specs)) and c != "_k" and c not in specs]
+    return out.select(*held, *outs)
 
 
 def span(n: float) -> float:
@@ -190,34 +227,37 @@ def run_ids(df: DataFrame, state: Column, by=SERIES, name="run") -> DataFrame:
     return running(flagged, {name: (F.col("_chg"), "sum")}, by).drop("_s", "_chg")
 
 
-def ranked_values(df: DataFrame, by, value: str, buckets: int = 64) -> DataFrame:
+def ranked_values(df: DataFrame, by, value: str, buckets: int | None = None) -> DataFrame:
     """Distinct values per key with ``below`` (rows smaller), ``n`` and ``total``.
 
     Rows are first reduced to distinct values, then split into value ranges by
-    an approximate histogram so that a hot key spreads over ``buckets`` tasks;
-    the counts stay exact.
+    an approximate histogram so that a hot key spreads over ``buckets`` tasks
+    (as many as the session has shuffle partitions, if not given); the counts
+    stay exact.  NULL keys are a group, NULL values are not ranked.
     """
     by = list(by)
+    buckets = buckets or max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     d = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
-    cuts = F.percentile_approx(value, [i / buckets for i in range(1, buckets)], F.lit(1000)).alias("_cuts")
-    summary = d.groupBy(*by).agg(cuts) if by else d.agg(cuts)
-    d = d.join(summary, by) if by else d.crossJoin(F.broadcast(summary))
-    d = d.withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
-    sizes = d.groupBy(*by, "_b").agg(F.sum("n").alias("_bn"))
-    earlier = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*by)
-    shift = sizes.select(
-        *by, "_b", F.coalesce(F.sum("_bn").over(earlier), F.lit(0)).alias("_off"), F.sum("_bn").over(whole).alias("total")
-    )
-    inner = Window.partitionBy(*by, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    cuts = F.percentile_approx(value, [i / buckets for i in range(1, buckets)], F.lit(max(1000, 10 * buckets))).alias("_cuts")
+    if by:
+        summary = d.groupBy(F.struct(*by).alias("_g")).agg(cuts)
+        d = d.withColumn("_g", F.struct(*by)).join(summary, "_g").drop("_g")
+    else:
+        d = d.crossJoin(F.broadcast(d.agg(cuts)))
+    d = d.withColumn("_k", cell(by, F.size(F.filter("_cuts", lambda c: c < F.col(value))))).drop("_cuts")
+    sizes = d.groupBy("_k").agg(F.sum("n").alias("_bn"))
+    earlier = Window.partitionBy(*of_cell(by)).orderBy("_k._at").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*of_cell(by))
+    shift = sizes.select("_k", F.coalesce(F.sum("_bn").over(earlier), F.lit(0)).alias("_off"), F.sum("_bn").over(whole).alias("total"))
+    inner = Window.partitionBy("_k").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     return (
         d.withColumn("_in", F.coalesce(F.sum("n").over(inner), F.lit(0)))
-        .join(shift, by + ["_b"])
+        .join(shift, "_k")
         .select(*by, value, (F.col("_off") + F.col("_in")).alias("below"), "n", "total")
     )
 
 
-def quantiles(df: DataFrame, by, value: str, probs: dict, buckets: int = 64) -> DataFrame:
+def quantiles(df: DataFrame, by, value: str, probs: dict, buckets: int | None = None) -> DataFrame:
     """Exact linearly interpolated quantiles; ``probs`` maps name -> probability."""
     by = list(by)
     r = ranked_values(df, by, value, buckets)

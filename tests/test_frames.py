@@ -89,3 +89,27 @@ def test_scan_matches_serial_loop(spark, data):
             elif not bull and l[i] < ep:
                 ep, af = l[i], min(af + 0.02, 0.2)
         np.testing.assert_allclose(out[out.symbol == s].psar, line)
+
+
+def test_nulls_stay(spark):
+    """Rows with a NULL key or order value are numbered, cumulated and ranked like others."""
+    df = spark.createDataFrame([("a", 3), ("a", None), (None, 1), (None, 2), ("a", 1), (None, None)], "symbol string, t long")
+    out = number_rows(df, ["t"], F.floor(F.col("t") / 2))
+    assert sorted((tuple(r) for r in out.collect()), key=repr) == sorted([("a", None, 0), ("a", 1, 1), ("a", 3, 2), (None, None, 0), (None, 1, 1), (None, 2, 2)], key=repr)
+    total = running(out, {"s": (F.col("t"), "sum")})
+    assert {(r.symbol, r.seq): r.s for r in total.collect()} == {("a", 0): 0, ("a", 1): 1, ("a", 2): 4, (None, 0): 0, (None, 1): 1, (None, 2): 3}
+    assert {r.symbol: r.m for r in quantiles(out, ["symbol"], "t", {"m": 0.5}).collect()} == {"a": 2.0, None: 1.5}
+
+
+@pytest.mark.parametrize("alpha", [0.01, span(12), 0.5, 0.97, 1.0])
+@pytest.mark.parametrize("every", [1, 3, 90, 333])
+def test_ewm_gaps(spark, data, monkeypatch, alpha, every):
+    """NULL runs of all lengths, leading ones and whole chunks included, against the pandas recurrence."""
+    monkeypatch.setattr(frames, "EMA_CHUNK", 64)
+    pdf, _ = data
+    pdf = pdf.copy()
+    pdf["x"] = pdf.close.where((pdf.seq + 2) % every == 0) if every > 1 else pdf.close.where(~pdf.seq.between(0, 3) & ~pdf.seq.between(200, 420))
+    rows = [(s, int(q), None if np.isnan(x) else float(x)) for s, q, x in zip(pdf.symbol, pdf.seq, pdf.x)]
+    got = back(ewm(spark.createDataFrame(rows, "symbol string, seq long, x double"), {"e": (F.col("x"), alpha)}))
+    want = pdf.sort_values(["symbol", "seq"]).groupby("symbol").x.transform(lambda x: x.ewm(alpha=alpha, adjust=False).mean())
+    np.testing.assert_allclose(got.e.to_numpy(float), want.to_numpy(), rtol=1e-9)
