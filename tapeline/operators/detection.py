@@ -23,17 +23,6 @@ def one():
     return F.count(F.lit(1))
 
 
-def extrema(bars: DataFrame, order=5) -> DataFrame:
-    """Mark peaks and valleys: strict 3-point extremes that lead their ``order`` neighbourhood."""
-    def build(h, w):
-        near = w.rowsBetween(-order + 1, order - 1)
-        lo, hi = F.lag(C()).over(w), F.lead(C()).over(w)
-        return h.select("*", ((C() > lo) & (C() > hi) & (C() == F.max(C()).over(near))).alias("peak"), ((C() < lo) & (C() < hi) & (C() == F.min(C()).over(near))).alias("valley"))
-
-    d = rolled(bars, build, order, order)
-    return d.withColumns({"peak": F.coalesce("peak", F.lit(False)), "valley": F.coalesce("valley", F.lit(False))})
-
-
 def around(ex: DataFrame) -> DataFrame:
     """Last and next peak and valley (seq, price) seen from every bar, itself included."""
     at = lambda f: F.when(F.col(f), F.struct(F.col("seq").alias("s"), C().alias("p")))

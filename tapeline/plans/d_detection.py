@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from tapeline.functions.lineage import store
 from tapeline.operators import detection as DT
+from tapeline.operators import formations as FM
 from tapeline.operators import joins as J
 from tapeline.operators import patterns as PT
 from tapeline.plans.derived_sql import window_sql
@@ -18,28 +20,35 @@ def d01(spark, root):
     return PT.window_patterns(bars_h(spark, root))
 
 
-cte("ex", f"""SELECT *, last_value(CASE WHEN pk THEN seq END IGNORE NULLS) OVER a AS lps, last_value(CASE WHEN pk THEN close END IGNORE NULLS) OVER a AS lpp, last_value(CASE WHEN vl THEN seq END IGNORE NULLS) OVER a AS lvs, last_value(CASE WHEN vl THEN close END IGNORE NULLS) OVER a AS lvp,
+_N = "(PARTITION BY symbol, side ORDER BY at_ RANGE BETWEEN 4 PRECEDING AND 4 FOLLOWING)"
+cte("flat_runs", """SELECT symbol, run, min(seq) AS s, max(seq) AS e, min(close) AS p FROM (SELECT *, sum(chg) OVER (PARTITION BY symbol ORDER BY seq) AS run FROM (
+  SELECT symbol, seq, close, CASE WHEN close = lag(close) OVER (PARTITION BY symbol ORDER BY seq) THEN 0 ELSE 1 END AS chg FROM bars_b)) GROUP BY symbol, run""", "bars_b")
+cte("turns", """SELECT symbol, side, (s + e) // 2 AS at_, side * p AS h FROM (SELECT *, lag(p) OVER w AS l, lead(p) OVER w AS r FROM flat_runs WINDOW w AS (PARTITION BY symbol ORDER BY run)), (VALUES (1), (-1)) t(side)
+  WHERE side * p > side * l AND side * p > side * r""", "flat_runs")
+# rounds: whoever leads its neighbourhood stays and removes the rest of it, until nobody is undecided
+cte("rounds", f"""SELECT symbol, side, at_, h, 0 AS kept FROM turns UNION ALL SELECT symbol, side, at_, h, best AS kept FROM (SELECT *, max(best) OVER {_N} AS near FROM (
+  SELECT symbol, side, at_, h, CASE WHEN max((h, at_)) OVER {_N} = (h, at_) THEN 1 ELSE 0 END AS best FROM rounds WHERE kept = 0)) WHERE best = 1 OR near = 0""", "turns")
+cte("ex", """SELECT *, last_value(CASE WHEN pk THEN seq END IGNORE NULLS) OVER a AS lps, last_value(CASE WHEN pk THEN close END IGNORE NULLS) OVER a AS lpp, last_value(CASE WHEN vl THEN seq END IGNORE NULLS) OVER a AS lvs, last_value(CASE WHEN vl THEN close END IGNORE NULLS) OVER a AS lvp,
   first_value(CASE WHEN pk THEN seq END IGNORE NULLS) OVER b AS nps, first_value(CASE WHEN pk THEN close END IGNORE NULLS) OVER b AS npp, first_value(CASE WHEN vl THEN seq END IGNORE NULLS) OVER b AS nvs, first_value(CASE WHEN vl THEN close END IGNORE NULLS) OVER b AS nvp
-  FROM (SELECT symbol, seq, close, coalesce(close > lag(close) OVER w AND close > lead(close) OVER w AND close = max(close) OVER n, FALSE) AS pk, coalesce(close < lag(close) OVER w AND close < lead(close) OVER w AND close = min(close) OVER n, FALSE) AS vl FROM bars_b
-   WINDOW w AS (PARTITION BY symbol ORDER BY seq), n AS (PARTITION BY symbol ORDER BY seq ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING))
-  WINDOW a AS (PARTITION BY symbol ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), b AS (PARTITION BY symbol ORDER BY seq ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)""", "bars_b")
+  FROM (SELECT symbol, seq, close, coalesce(p.kept = 1, FALSE) AS pk, coalesce(v.kept = 1, FALSE) AS vl FROM bars_b b LEFT JOIN (SELECT symbol, at_ AS seq, kept FROM rounds WHERE kept = 1 AND side = 1) p USING (symbol, seq) LEFT JOIN (SELECT symbol, at_ AS seq, kept FROM rounds WHERE kept = 1 AND side = -1) v USING (symbol, seq))
+  WINDOW a AS (PARTITION BY symbol ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), b AS (PARTITION BY symbol ORDER BY seq ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)""", "rounds")
 
 
 @query("f17_extrema", "ex", "SELECT symbol, seq, pk AS peak, vl AS valley FROM ex WHERE pk OR vl")
 def f17(spark, root):
-    return keep(DT.extrema(bars_b(spark, root)).filter("peak OR valley"), "peak", "valley")
+    return keep(FM.extrema(bars_b(spark, root)).filter("peak OR valley"), "peak", "valley")
 
 
 @query("d02_head_shoulders", "ex", """SELECT symbol, ls AS "left", seq AS head, rs AS "right", 0.8 - abs(lp - rp) / lp * 2 AS confidence FROM (SELECT *, lag(seq) OVER w AS ls, lead(seq) OVER w AS rs, lag(close) OVER w AS lp, lead(close) OVER w AS rp FROM ex WHERE pk """ + W + """)
   WHERE lvs > ls AND nvs < rs AND close > lp AND close > rp AND abs(lp - rp) / lp < 0.05""", "confidence")
 def d02(spark, root):
-    return DT.head_shoulders(DT.extrema(bars_b(spark, root)))
+    return DT.head_shoulders(store(FM.extrema(bars_b(spark, root))))
 
 
 @query("d03_double_top", "ex", """SELECT 'top' AS kind, symbol, lps AS start, seq AS middle, nps AS "end", 0.85 - abs(lpp - npp) / lpp * 5 AS confidence FROM ex WHERE vl AND abs(lpp - npp) / lpp < 0.03 UNION ALL
   SELECT 'bottom', symbol, lvs, seq, nvs, 0.85 - abs(lvp - nvp) / lvp * 5 FROM ex WHERE pk AND abs(lvp - nvp) / lvp < 0.03""", "confidence")
 def d03(spark, root):
-    ex = DT.extrema(bars_b(spark, root))
+    ex = store(FM.extrema(bars_b(spark, root)))
     t, b = DT.double_tops(ex), DT.double_tops(ex, bottom=True)
     return t.select(F.lit("top").alias("kind"), "*").unionByName(b.select(F.lit("bottom").alias("kind"), "*"))
 
@@ -59,6 +68,16 @@ _FLAG = """SELECT symbol, seq - 20 AS start, seq + len - 1 AS "end", 0.7 + least
   count(*) OVER (PARTITION BY symbol) AS n FROM calm WINDOW w AS (PARTITION BY symbol ORDER BY seq), f AS (PARTITION BY symbol ORDER BY seq ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)) WHERE seq < n - 20 AND len >= 10 AND cv < 0.03 AND pole > 0.1 AND sl < 0"""
 
 
+@query("d04_triangles", nums="confidence")
+def d04(spark, root):
+    return FM.sliding_formations(bars_b(spark, root)).filter(F.col("kind").endswith("triangle"))
+
+
+@query("d06_wedges", nums="confidence")
+def d06(spark, root):
+    return FM.sliding_formations(bars_b(spark, root)).filter(F.col("kind").endswith("wedge"))
+
+
 @query("d05_flags", "calm", f'SELECT symbol, start, "end", confidence, pole FROM ({_FLAG})', "confidence pole")
 def d05(spark, root):
     return DT.flags(calm(spark, root))
@@ -76,6 +95,42 @@ def d09(spark, root):
     return D.patterns(spark, root).groupBy(F.col("symbol").alias("category")).agg(DT.one().alias("n"), F.countDistinct("type").alias("types"), F.avg("strength").alias("mean_threshold"))
 
 
+_NEAR = lambda pos, spots: f"CASE WHEN len({spots}) > 0 THEN v[list_min([{{'d': abs(i - 1 - {pos}), 'i': i}} for i in {spots}]).i] ELSE v[{pos} + 1] END"
+_AT = lambda p: f"CAST(floor({p} * 49) AS INT)"
+_DIFF = lambda a, b, f, tol: f"1 - least(1.0, abs({a} - {b}) / {f}({a}, {b}) / {tol})"
+_KINDS = f"""WITH w AS (SELECT symbol, seq, list(close) OVER (PARTITION BY symbol ORDER BY seq ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING) AS v FROM bars_h QUALIFY len(v) = 50),
+  t AS (SELECT symbol, seq, v, [i for i in range(2, 50) if v[i] > v[i - 1] AND v[i] > v[i + 1]] AS pk, [i for i in range(2, 50) if v[i] < v[i - 1] AND v[i] < v[i + 1]] AS vl FROM w WHERE seq % 10 = 0),
+  k AS (SELECT *, {_NEAR(_AT(0.2), "pk")} AS ls, {_NEAR(_AT(0.5), "pk")} AS hd, {_NEAR(_AT(0.8), "pk")} AS rs, [v[{_AT(0.25)} + 1], v[{_AT(0.5)} + 1], v[{_AT(0.75)} + 1]] AS res, {_NEAR(_AT(0.25), "vl")} AS b1, {_NEAR(_AT(0.75), "vl")} AS b2 FROM t),
+  s AS (SELECT *, ((CASE WHEN hd > ls AND hd > rs THEN least(1.0, least(hd / ls, hd / rs) - 1) ELSE 0 END) + ({_DIFF("ls", "rs", "greatest", 0.1)}) + 1.0) / 4 AS c1, (1 - least(1.0, list_stddev_pop(res) / list_avg(res) / 0.02) + 1.5) / 4 AS c2, (({_DIFF("b1", "b2", "least", 0.02)}) + 1.5) / 4 AS c4 FROM k),
+  best AS (SELECT *, list_max([x for x in [{{'c': c1, 'n': 'Head and Shoulders'}}, {{'c': c2, 'n': 'Ascending Triangle'}}, {{'c': c4, 'n': 'Double Bottom'}}] if x.c >= 0.7 - 1e-12]) AS b FROM s),
+  m AS (SELECT *, len(pk) AS np, len(vl) AS nv, list_avg(v) AS mu, list_stddev_pop(v) AS sd, v[1:25] AS h1, v[26:50] AS h2 FROM best),
+  r AS (SELECT *, [h1[CAST(floor(k * 24 / 99) AS INT) + 1] + (coalesce(h1[CAST(floor(k * 24 / 99) AS INT) + 2], 0) - h1[CAST(floor(k * 24 / 99) AS INT) + 1]) * (k * 24 / 99 - floor(k * 24 / 99)) for k in range(100)] AS a,
+    [h2[CAST(floor(k * 24 / 99) AS INT) + 1] + (coalesce(h2[CAST(floor(k * 24 / 99) AS INT) + 2], 0) - h2[CAST(floor(k * 24 / 99) AS INT) + 1]) * (k * 24 / 99 - floor(k * 24 / 99)) for k in range(100)] AS z FROM m),
+  g AS (SELECT *, list_dot_product([x - list_avg(a) for x in a], [x - list_avg(z) for x in z]) / 100 / list_stddev_pop(a) / list_stddev_pop(z) AS corr, CAST(np >= 3 AND nv >= 3 AS INT) + CAST(abs(list_avg([((x - mu) / sd) ** 3 for x in v])) > 1.5 AS INT) + CAST(list_avg([((x - mu) / sd) ** 4 for x in v]) - 3 > 3 AS INT) + CAST(np / (nv + 1) < 0.5 OR np / (nv + 1) > 2 AS INT) AS odd FROM r)
+  SELECT symbol, seq, coalesce(b.n, CASE WHEN abs(corr) > 0.7 THEN 'Fractal Pattern' WHEN odd >= 2 THEN 'Shapelet' END) AS name, CASE WHEN b.n IS NOT NULL THEN 'traditional' WHEN abs(corr) > 0.7 THEN 'fractal' WHEN odd >= 2 THEN 'shapelet' END AS category, coalesce(b.c, CASE WHEN abs(corr) > 0.7 THEN 0.8 WHEN odd >= 2 THEN 0.75 END) AS confidence FROM g WHERE name IS NOT NULL"""
+
+
+def classified_windows(spark, root):
+    return DT.windows(bars_h(spark, root), 50).filter(F.col("seq") % 10 == 0)
+
+
+@query("d08_rule_classifier", "bars_h", _KINDS, "confidence")
+def d08(spark, root):
+    return FM.classify(classified_windows(spark, root), FM.definitions(spark))
+
+
+#: a user's definition: two similar lows near the ends, nothing else asked
+CUSTOM = {"Wide Bottom": ("custom", [(0.1, "first_bottom"), (0.9, "second_bottom")], [("bottoms_similar", 0.5)])}
+
+
+@query("x05_custom_definition", "bars_h", f"""WITH w AS (SELECT symbol, seq, list(close) OVER (PARTITION BY symbol ORDER BY seq ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING) AS v FROM bars_h QUALIFY len(v) = 50),
+  t AS (SELECT symbol, seq, v, [i for i in range(2, 50) if v[i] < v[i - 1] AND v[i] < v[i + 1]] AS vl FROM w WHERE seq % 10 = 0), k AS (SELECT *, {_NEAR(_AT(0.1), "vl")} AS b1, {_NEAR(_AT(0.9), "vl")} AS b2 FROM t)
+  SELECT symbol, seq, 'Wide Bottom' AS name, {_DIFF("b1", "b2", "least", 0.5)} AS confidence FROM k WHERE {_DIFF("b1", "b2", "least", 0.5)} >= 0.7""", "confidence")
+def x05(spark, root):
+    library = FM.definitions(spark, CUSTOM)
+    return FM.classify(classified_windows(spark, root), library.filter("category = 'custom'")).filter("category = 'custom'").select("symbol", "seq", "name", "confidence")
+
+
 @query("d10_subsequence_search", "bars_h series", """WITH l AS (SELECT label AS pid, list(m ORDER BY k) AS p FROM (SELECT label, k, avg(v[k]) AS m FROM series, range(1, 17) t(k) GROUP BY ALL) GROUP BY label), lz AS (SELECT pid, [(x - list_avg(p)) / list_stddev_pop(p) for x in p] AS z FROM l),
   w AS (SELECT symbol, seq, list(close) OVER (PARTITION BY symbol ORDER BY seq ROWS BETWEEN CURRENT ROW AND 15 FOLLOWING) AS v FROM bars_h), wz AS (SELECT symbol, seq, [(x - list_avg(v)) / list_stddev_pop(v) for x in v] AS z FROM w WHERE len(v) = 16),
   s AS (SELECT symbol, seq, pid, list_dot_product(wz.z, lz.z) / 16 AS c FROM wz, lz), r AS (SELECT symbol, seq, pid, (0.6 * c + 0.2 / (1 + sqrt(greatest(32 * (1 - c), 0)))) / 0.8 AS score FROM s) SELECT * FROM r WHERE score >= 0.5 ORDER BY score DESC, symbol, seq, pid LIMIT 200""", "score")

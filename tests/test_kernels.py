@@ -62,3 +62,30 @@ def test_distance_tiles(spark):
     assert {(r.a, r.b) for r in near} == {k for k, d in got.items() if d <= 5.0}
     top = pairs.nearest(df, df, 2).collect()
     assert all(r.a == r.b for r in top if r["rank"] == 1)
+
+
+def test_formations_by_matrix():
+    """The matrix form against a plain loop over windows with the greedy kernel."""
+    from tapeline.operators.formations import _shapes_of
+
+    rng = np.random.default_rng(4)
+    x = np.round(100 + rng.normal(0, 1, 160).cumsum(), 1)  # rounding makes flat tops
+    line = lambda p, y: np.polyfit(p, y[p], 1)[0]
+    fit = lambda p, y: np.corrcoef(p, y[p])[0, 1] if y[p].std() > 0 else 0.0
+    for size in (10, 17, 33):
+        got = {(int(i), kind) for at, kind, _ in _shapes_of(x, size, 3) for i in at}
+        want = set()
+        for s in range(len(x) - size + 1):
+            w = x[s : s + size]
+            p, v = K.peaks(w, 3), K.peaks(-w, 3)
+            if len(set(w[p])) < len(p) or len(set(w[v])) < len(v):
+                got = {g for g in got if g[0] != s}  # the order of equal extremes is free in the loop
+                continue
+            if len(p) < 2 or len(v) < 2:
+                continue
+            ps, vs, pr, vr = line(p, w), line(v, w), abs(fit(p, w)), abs(fit(v, w))
+            want |= {(s, "ascending_triangle")} if w[p].std() / w[p].mean() < 0.02 and vs > 0 and vr > 0.8 else set()
+            want |= {(s, "descending_triangle")} if w[v].std() / w[v].mean() < 0.02 and ps < 0 and pr > 0.8 else set()
+            want |= {(s, "rising_wedge")} if pr > 0.8 and vr > 0.8 and ps > 0 and vs > ps else set()
+            want |= {(s, "falling_wedge")} if pr > 0.8 and vr > 0.8 and ps < 0 and vs < ps else set()
+        assert want and got == want
