@@ -20,8 +20,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, IntegralType, LongType, StructField, StructType
 
 from tapeline.functions.lineage import store
@@ -33,6 +35,18 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 _PIECE = 1 << 19  # windows handled at once
 
 
+@arrow_udf(BinaryType())
+def _packed(text: pa.Array) -> pa.Array:
+    """Texts as they travel through shuffles: each compressed on its own."""
+    pack = zstandard.ZstdCompressor(level=1).compress
+    return pa.array([pack(t) for t in raw(text)], pa.binary())
+
+
+def _unpacked(column: pa.Array) -> list[bytes]:
+    unpack = zstandard.ZstdDecompressor().decompress
+    return [unpack(t) for t in column.to_pylist()]
+
+
 def _rolling(x: np.ndarray, n: int) -> np.ndarray:
     key = np.zeros(len(x) - n + 1, np.uint64)
     for j in range(n):
@@ -91,7 +105,7 @@ def _edge_rows(batches, length):
     """Digests of the windows of the listed segments of each text; ``weight`` 2 for a segment that is repeated as it stands."""
     for batch in batches:
         digests, owner, place, weight = [], [], [], []
-        for i, (text, paths) in enumerate(zip(raw(batch.column("text")), batch.column("paths").to_pylist(), strict=True)):
+        for i, (text, paths) in enumerate(zip(_unpacked(batch.column("text")), batch.column("paths").to_pylist(), strict=True)):
             words = text.split()
             line, at = b" ".join(words), _offsets(words)
             for p in paths:
@@ -127,7 +141,7 @@ def _covers(keyed: DataFrame, length: int) -> DataFrame:
     contents = store(contents)
     whole = branching.join(contents.filter("c > 1").select("anchor", "content"), ["anchor", "content"])
     paths = contents.select("at.doc", "at.body", F.struct("at.first", "at.n", F.least("c", F.lit(2)).cast("int").alias("weight")).alias("p")).groupBy("doc", "body").agg(F.collect_list("p").alias("paths"))
-    expanded = keyed.select("doc", "body", "text").join(paths, ["doc", "body"]).mapInArrow(lambda b: _edge_rows(b, length), f"w1 long, w2 long, doc {key_type}, body int, first int, weight int")
+    expanded = keyed.select("doc", "body", _packed("text").alias("text")).join(paths, ["doc", "body"]).mapInArrow(lambda b: _edge_rows(b, length), f"w1 long, w2 long, doc {key_type}, body int, first int, weight int")
     edges = store(expanded)
     repeated = edges.groupBy("w1", "w2").agg(F.sum("weight").alias("c")).filter("c > 1").select("w1", "w2")
     lone = edges.filter("weight = 1").join(repeated, ["w1", "w2"]).select("doc", "body", "first", (F.col("first") + length).alias("stop"))
@@ -138,7 +152,7 @@ def _covers(keyed: DataFrame, length: int) -> DataFrame:
 def _cut_rows(batches):
     for batch in batches:
         n_words, n_removed, starts, stops, text = [], [], [], [], []
-        for t, ranges in zip(raw(batch.column("text")), batch.column("ranges").to_pylist(), strict=True):
+        for t, ranges in zip(_unpacked(batch.column("text")), batch.column("ranges").to_pylist(), strict=True):
             words = t.split()
             gone = np.zeros(len(words) + 1, np.int8)
             edge = np.zeros(len(words) + 1, np.int64)
@@ -164,7 +178,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     keyed = _keyed(docs, id_col, text_col)
     ranges = _covers(keyed, length).groupBy("doc", "body").agg(F.collect_set(F.struct("first", "stop")).alias("ranges"))
-    joined = keyed.join(ranges, ["doc", "body"], "left").select("rest", "text", "ranges")
+    joined = keyed.withColumn("text", _packed("text")).join(ranges, ["doc", "body"], "left").select("rest", "text", "ranges")
     spans = ArrayType(IntegerType())
     out = [keyed.schema["rest"], *[StructField(n, LongType()) for n in ("n_words", "n_removed")], *[StructField(n, spans) for n in ("starts", "stops")], StructField("kept", BinaryType())]
     cut = joined.mapInArrow(_cut_rows, StructType(out))
