@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 
 
-def dtw(x: np.ndarray, y: np.ndarray, allowed: np.ndarray | None = None) -> np.ndarray:
-    """Absolute-difference DTW of row k of ``x`` with row k of ``y``, all rows at once.
+def dtw(x: np.ndarray, y: np.ndarray, allowed: np.ndarray | None = None, square: bool = False) -> np.ndarray:
+    """Absolute- (or squared-) difference DTW of row k of ``x`` with row k of ``y``, all rows at once.
 
     The cost table is swept by anti-diagonals, so only two previous diagonals
     are held.  ``allowed`` is an (n, m) mask of usable cells.
@@ -22,6 +23,8 @@ def dtw(x: np.ndarray, y: np.ndarray, allowed: np.ndarray | None = None) -> np.n
     for d in range(n + m - 1):
         lo, hi = max(0, d - m + 1), min(n - 1, d) + 1
         cost = np.abs(xt[lo:hi] - yt[m - 1 - d + lo : m - 1 - d + hi])
+        if square:
+            cost *= cost
         if allowed is not None:
             i = np.arange(lo, hi)
             cost[~allowed[i, d - i]] = np.inf
@@ -111,6 +114,7 @@ def daubechies(moments: int) -> np.ndarray:
     return taps * math.sqrt(2) / taps.sum()
 
 
+@lru_cache(maxsize=None)
 def filters(moments: int):
     """(low, high) analysis filters; synthesis uses the reversed ones."""
     rec = daubechies(moments)
@@ -119,23 +123,33 @@ def filters(moments: int):
     return low, high
 
 
+def _slide(x: np.ndarray, taps: np.ndarray, before: int, mode: str) -> np.ndarray:
+    """Convolution of the rows of ``x``, padded by ``before`` on both sides, where the taps fit."""
+    ext = np.pad(x, [(0, 0)] * (x.ndim - 1) + [(before, before)], mode=mode)
+    return np.lib.stride_tricks.sliding_window_view(ext, len(taps), axis=-1) @ taps[::-1]
+
+
 def dwt_step(x: np.ndarray, moments: int):
+    """One level for a series or for every row of a matrix."""
     low, high = filters(moments)
-    w = len(low)
-    ext = np.pad(x, w - 1, mode="symmetric")
-    return np.convolve(ext, low, "valid")[1::2], np.convolve(ext, high, "valid")[1::2]
+    return tuple(_slide(x, f, len(f) - 1, "symmetric")[..., 1::2] for f in (low, high))
 
 
 def idwt_step(approx: np.ndarray, detail: np.ndarray, moments: int) -> np.ndarray:
+    n, w = detail.shape[-1], 2 * moments
+
+    def up(c, f):
+        wide = np.zeros((*c.shape[:-1], 2 * n - 1))
+        wide[..., ::2] = c[..., :n]
+        return _slide(wide, f[::-1], w - 1, "constant")
+
     low, high = filters(moments)
-    w, n = len(low), len(detail)
-    up = lambda c, f: np.convolve(np.insert(np.asarray(c[:n], float), np.arange(1, n), 0.0), f[::-1], "full")
-    return (up(approx, low) + up(detail, high))[w - 2 : w - 2 + 2 * n - w + 2]
+    return (up(approx, low) + up(detail, high))[..., w - 2 : w - 2 + 2 * n - w + 2]
 
 
 def wavedec(x: np.ndarray, moments: int = 4, level: int | None = None) -> list:
     """[approximation, coarsest detail, ..., finest detail]."""
-    top = int(np.log2(max(len(x) / (2 * moments - 1), 1)))
+    top = int(np.log2(max(np.shape(x)[-1] / (2 * moments - 1), 1)))
     out, a = [], np.asarray(x, float)
     for _ in range(top if level is None else level):
         a, d = dwt_step(a, moments)
@@ -151,13 +165,14 @@ def waverec(coeffs: list, moments: int = 4) -> np.ndarray:
 
 
 def denoise(x: np.ndarray, moments: int = 4, level: int | None = None, hard: bool = False) -> np.ndarray:
-    """Universal-threshold shrinkage of the detail coefficients."""
+    """Universal-threshold shrinkage of the detail coefficients, of a series or of every row of a matrix."""
     c = wavedec(x, moments, level)
     if len(c) == 1:
         return np.asarray(x, float)
-    t = np.median(np.abs(c[-1])) / 0.6745 * math.sqrt(2 * math.log(len(x)))
+    size = np.shape(x)[-1]
+    t = np.median(np.abs(c[-1]), axis=-1, keepdims=True) / 0.6745 * math.sqrt(2 * math.log(size))
     cut = (lambda d: np.where(np.abs(d) > t, d, 0.0)) if hard else (lambda d: np.sign(d) * np.maximum(np.abs(d) - t, 0.0))
-    return waverec([c[0], *[cut(d) for d in c[1:]]], moments)[: len(x)]
+    return waverec([c[0], *[cut(d) for d in c[1:]]], moments)[..., :size]
 
 
 def spectrum(v: np.ndarray) -> dict:

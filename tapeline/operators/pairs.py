@@ -186,13 +186,19 @@ def spectra(series: DataFrame) -> DataFrame:
     return row_kernel(series.select("id", "v"), fn, "id long, " + ", ".join(f"{c} double" for c in names))
 
 
+def stacked_rows(pdf: pd.DataFrame, column="v"):
+    """(rows, matrix) for the equal-length arrays of a batch."""
+    for _, g in pdf.groupby(pdf[column].map(len)):
+        yield g, np.stack(g[column].to_list()).astype(float)
+
+
 def wavelet_levels(series: DataFrame, moments=4, level=None) -> DataFrame:
     """Long table (id, level, pos, coef); level 0 is the approximation."""
     def fn(pdf):
         rows = []
-        for i, v in zip(pdf.id, pdf.v):
-            for lv, c in enumerate(K.wavedec(np.asarray(v, float), moments, level)):
-                rows.append(pd.DataFrame({"id": i, "level": lv, "pos": np.arange(len(c)), "coef": c}))
+        for g, v in stacked_rows(pdf):
+            for lv, c in enumerate(K.wavedec(v, moments, level)):
+                rows.append(pd.DataFrame({"id": np.repeat(g.id.to_numpy(), c.shape[1]), "level": lv, "pos": np.tile(np.arange(c.shape[1]), len(c)), "coef": c.ravel()}))
         return pd.concat(rows)
 
     return row_kernel(series.select("id", "v"), fn, "id long, level int, pos int, coef double")
@@ -209,6 +215,6 @@ def energy_distribution(levels: DataFrame) -> DataFrame:
 
 def denoised(series: DataFrame, moments=4, level=None, hard=False) -> DataFrame:
     def fn(pdf):
-        return pd.DataFrame({"id": pdf.id, "v": [K.denoise(np.asarray(v, float), moments, level, hard) for v in pdf.v]})
+        return pd.concat([pd.DataFrame({"id": g.id.to_numpy(), "v": list(K.denoise(v, moments, level, hard))}) for g, v in stacked_rows(pdf)])
 
     return row_kernel(series.select("id", "v"), fn, "id long, v array<double>")

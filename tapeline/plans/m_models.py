@@ -120,11 +120,6 @@ def m15(spark, root):
     return R.combine(ensemble(spark, root), "id")
 
 
-@query("f29_timeframe_merge", "predictions", f"SELECT id, sum(weight * prediction) / sum(weight) AS weighted_mean, quantile_cont(prediction, 0.5) AS median, arg_max(prediction, abs(prediction)) AS strongest FROM {_ENS} GROUP BY id", "weighted_mean median strongest")
-def f29(spark, root):
-    return R.combine(ensemble(spark, root), "id")
-
-
 @query("m15_stacking")
 def m15b(spark, root):
     e = ensemble(spark, root).groupBy("id", "y_true").pivot("model", ["last", "shrunk", "scored"]).agg(F.first("prediction"))
