@@ -23,15 +23,20 @@ def shared_folder(spark: SparkSession) -> str:
     return named
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint to the shared folder."""
+def parts_for(rows: int, each: int = 500_000) -> int:
+    """Files for a table of at most so many narrow rows."""
+    return max(1, -(-rows // each))
+
+
+def cut(df: DataFrame, parts: int | None = None) -> DataFrame:
+    """Checkpoint to the shared folder, in at most ``parts`` files if the caller knows how little there is."""
     shared_folder(df.sparkSession)
-    return df.checkpoint()
+    return (df.coalesce(parts) if parts else df).checkpoint()
 
 
-def store(df: DataFrame) -> DataFrame:
+def store(df: DataFrame, parts: int | None = None) -> DataFrame:
     """Write as Parquet to the shared folder and read it back: for wide or large tables, which a checkpoint would keep uncompressed."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.coalesce(parts) if parts else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

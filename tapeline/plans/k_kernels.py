@@ -22,6 +22,25 @@ def library(spark, root):
     return rows.groupBy(F.col("label").cast("long").alias("id")).agg(F.transform(arr, lambda r: r.x).alias("v"))
 
 
+def dtw_cte(name: str, source: str, needs: str, n: int, ok: str = "TRUE", cost: str = "abs(x[i] - y[j])") -> None:
+    """CTE (id, rid, distance, steps) of warping distances: the table is filled cell by cell, the last row of it is carried.
+
+    Predecessors are tried up, left, diagonal, the first of the cheapest is taken, as the path does.
+    """
+    cte(name, f"""WITH RECURSIVE pair AS (SELECT id, rid, x, y FROM ({source})), cell AS (SELECT id, rid, x, y, 0 AS k, []::DOUBLE[] AS d, []::BIGINT[] AS s FROM pair UNION ALL
+  SELECT id, rid, x, y, k + 1, list_append(d[greatest(1, len(d) - {n}):], c + CASE WHEN k = 0 THEN 0 ELSE coalesce(least(u, l, g), 'inf'::DOUBLE) END),
+   list_append(s[greatest(1, len(s) - {n}):], 1 + CASE WHEN k = 0 THEN 0 WHEN u <= coalesce(l, 'inf'::DOUBLE) AND u <= coalesce(g, 'inf'::DOUBLE) THEN s[len(s) - {n - 1}] WHEN l <= coalesce(g, 'inf'::DOUBLE) THEN s[len(s)] ELSE s[len(s) - {n}] END)
+  FROM (SELECT *, CASE WHEN {ok} THEN {cost} ELSE 'inf'::DOUBLE END AS c, CASE WHEN i > 1 THEN d[len(d) - {n - 1}] END AS u, CASE WHEN j > 1 THEN d[len(d)] END AS l, CASE WHEN i > 1 AND j > 1 THEN d[len(d) - {n}] END AS g
+   FROM (SELECT *, k // {n} + 1 AS i, k % {n} + 1 AS j FROM cell WHERE k < {n * n})))
+  SELECT id, rid, d[len(d)] AS distance, s[len(s)] AS steps FROM cell WHERE k = {n * n}""", needs)
+
+
+dtw_cte("dtw_ref", "SELECT * FROM toref", "toref", 64)
+dtw_cte("dtw_band", "SELECT * FROM toref", "toref", 64, "abs(i - j) <= 6")
+cte("label_means", "SELECT CAST(label AS BIGINT) AS rid, list(m ORDER BY k) AS y FROM (SELECT label, k, avg(v[k]) AS m FROM series, range(1, 65) t(k) GROUP BY ALL) GROUP BY label", "series")
+dtw_cte("dtw_lib", "SELECT id, rid, v AS x, y FROM series, label_means", "series label_means", 64)
+
+
 def items(spark, root):
     return series(spark, root).select("id", "v")
 
@@ -49,12 +68,12 @@ def s15(spark, root):
     return p.join(lab.select(F.col("id").alias("a"), F.col("label").alias("label_a")), "a").join(lab.select(F.col("id").alias("b"), F.col("label").alias("label_b")), "b").select("a", "b", "label_a", "label_b", "distance")
 
 
-@query("j05_nearest_references", nums="normalized")
+@query("j05_nearest_references", "dtw_lib", "SELECT * FROM (SELECT id AS a, rid AS b, distance / 128 AS normalized, row_number() OVER (PARTITION BY id ORDER BY distance, rid) AS rank FROM dtw_lib) WHERE rank <= 3", "normalized")
 def j05(spark, root):
     return PR.nearest(items(spark, root), library(spark, root), 3).select("a", "b", "normalized", "rank")
 
 
-@query("j06_cross_similarity", nums="normalized similarity")
+@query("j06_cross_similarity", "dtw_lib", "SELECT id AS a, rid AS b, distance / 128 AS normalized, 1 - distance / max(distance) OVER () AS similarity FROM dtw_lib", "normalized similarity")
 def j06(spark, root):
     return PR.similarity(PR.cross_distances(items(spark, root), library(spark, root))).select("a", "b", "normalized", "similarity")
 
@@ -65,12 +84,12 @@ def j15(spark, root):
     return PR.correlated_edges(items(spark, root), 0.4)
 
 
-@query("f18_dtw", nums="distance")
+@query("f18_dtw", "dtw_ref", "SELECT * FROM dtw_ref", "distance")
 def f18(spark, root):
     return PR.alignments(to_reference(spark, root)).select("id", "rid", "distance", "steps")
 
 
-@query("f19_dtw_band", nums="distance")
+@query("f19_dtw_band", "dtw_band", "SELECT * FROM dtw_band", "distance")
 def f19(spark, root):
     return PR.alignments(to_reference(spark, root), "band", width=6).select("id", "rid", "distance", "steps")
 

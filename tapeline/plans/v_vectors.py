@@ -6,7 +6,7 @@ from tapeline.functions.lineage import store
 from tapeline.operators import pairs as PR
 from tapeline.operators import vectors as V
 from tapeline.plans.f_arrays import to_reference
-from tapeline.plans.k_kernels import library
+from tapeline.plans.k_kernels import dtw_cte, library
 from tapeline.plans.registry import query
 from tapeline.sources.tables import series
 
@@ -34,7 +34,11 @@ def f15(spark, root):
     return V.pattern_vector(series(spark, root), ("temporal", "amplitude"))
 
 
-@query("f23_similarity_set", nums="dtw_distance correlation euclidean cosine_similarity")
+dtw_cte("dtw_square", "SELECT * FROM toref WHERE id <> rid", "toref", 64, cost="(x[i] - y[j]) ** 2")
+
+
+@query("f23_similarity_set", "dtw_square", """SELECT id, rid, sqrt(distance) AS dtw_distance, list_dot_product([a - list_avg(x) for a in x], [b - list_avg(y) for b in y]) / 64 / list_stddev_pop(x) / list_stddev_pop(y) AS correlation, list_distance(x, y) AS euclidean, list_cosine_similarity(x, y) AS cosine_similarity
+  FROM dtw_square JOIN toref USING (id, rid)""", "dtw_distance correlation euclidean cosine_similarity")
 def f23(spark, root):
     return V.pair_measures(to_reference(spark, root).filter("id <> rid"))
 
