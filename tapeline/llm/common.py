@@ -12,18 +12,24 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, body, text, row): ``body`` is a hash of the text, ``row`` the whole input row as a struct."""
-    text = F.col(text_col).cast("string")
-    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("body"), text.alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    """(doc_id, body, row): ``body`` is a hash of the text, ``row`` the whole input row as a struct."""
+    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("body"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+
+def text_of(text_col: str) -> Column:
+    """Text of a packed row; it travels inside ``row`` only."""
+    return F.col("row").getField(text_col).cast("string")
+
+
+def key_of(*names: str) -> Column:
+    """Join key of the named columns: a struct is never null, and structs with null fields are equal."""
+    return F.struct(*names)
 
 
 def join_same(left: DataFrame, right: DataFrame, names: list[str], how: str = "inner") -> DataFrame:
     """Equi-join on the named columns with null equal to null; they appear once in the result."""
-    other = right.withColumnsRenamed({n: f"{n}__right" for n in names})
-    cond = F.lit(True)
-    for n in names:
-        cond = cond & F.col(n).eqNullSafe(F.col(f"{n}__right"))
-    return left.join(other, cond, how).drop(*[f"{n}__right" for n in names])
+    other = right.withColumn("_key", key_of(*names)).drop(*names)
+    return left.withColumn("_key", key_of(*names)).join(other, "_key", how).drop("_key")
 
 
 def unpack(df: DataFrame, columns: list[str], **replaced: Column) -> list[Column]:

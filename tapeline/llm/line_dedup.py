@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeline.llm.common import BLANK, join_same, keyed, unpack
+from tapeline.llm.common import BLANK, join_same, keyed, text_of, unpack
 
 SIZE = 3
 
@@ -20,7 +20,7 @@ def _held(column: Column) -> Column:
 
 
 def windows(docs: DataFrame, size: int = SIZE) -> DataFrame:
-    """(doc_id, body, at, first_line, last_line, h1, h2) of each window; two 64-bit hashes stand for its lines."""
+    """Of (doc_id, body, text): (doc_id, body, at, first_line, last_line, h1, h2) of each window; two 64-bit hashes stand for its lines."""
     line = lambda x, i: F.struct(i.alias("line"), F.btrim(x, F.lit(BLANK)).alias("t"))
     full = F.filter(F.transform(F.split("text", "\n", -1), line), lambda x: x.t != "")
     hashed = F.transform(full, lambda x: F.struct(x.line.alias("line"), F.xxhash64(x.t).alias("h1"), F.xxhash64(F.lit("second"), x.t).alias("h2")))
@@ -55,8 +55,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     changed; repeated rows (equal id and text) are one document; a document all of whose lines go has the empty text.
     """
     packed = keyed(docs, id_col, text_col)
-    ranges = removed_ranges(packed, size)
-    joined = join_same(packed, ranges, ["doc_id", "body"], "left").select("doc_id", "row", "text", "ranges", F.explode_outer(F.array(F.split("text", "\n", -1))).alias("lines"))
+    ranges = removed_ranges(packed.select("doc_id", "body", text_of(text_col).alias("text")), size)
+    joined = join_same(packed, ranges, ["doc_id", "body"], "left").withColumn("text", text_of(text_col)).select("doc_id", "row", "text", "ranges", F.explode_outer(F.array(F.split("text", "\n", -1))).alias("lines"))
     last = F.size("ranges")
     edge = lambda i: F.when(i == 0, 0).otherwise(F.get(F.col("ranges"), i - 1).stop)
     piece = lambda i: F.slice("lines", edge(i) + 1, F.coalesce(F.get(F.col("ranges"), i).start, F.size("lines")) - edge(i))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeline.functions.lineage import store
-from tapeline.llm.common import WORD, join_same, keyed, unpack, word_count
+from tapeline.llm.common import WORD, join_same, key_of, keyed, text_of, unpack, word_count
 
 WEIGHTS = (1, 2, 3)
 MOST = 3
@@ -81,7 +81,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     ``copies`` whole copies and ``part`` further words make ``taken`` words. Null and empty texts have size 0 and take nothing; a null source is a source;
     repeated rows (equal id and text) are told apart by ``nth`` and rounded on their own; draws are hashes, so reruns agree.
     """
-    packed = keyed(docs, id_col, text_col).select("doc_id", "body", F.col("row").getField(source_col).alias("source"), word_count(F.col("text")).alias("size"))
+    packed = keyed(docs, id_col, text_col).select("doc_id", "body", F.col("row").getField(source_col).alias("source"), word_count(text_of(text_col)).alias("size"))
     numbered = packed.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "body").orderBy("source")).cast("long"))
     sized = store(numbered.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "body", "nth")))
     wanted = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs")), weights, most)
@@ -110,11 +110,13 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     The one open document of a source gives a last copy of its first ``part`` words, joined by one space.
     """
-    packed = keyed(docs, id_col, text_col).withColumn("source", F.col("row").getField(source_col))
-    packed = packed.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "body").orderBy("source")).cast("long"))
-    plan = mix(docs, id_col, text_col, source_col, **params).filter("taken > 0").select("doc_id", "body", "nth", "size", "copies", "part")
+    key = key_of("doc_id", "body").alias("key")
+    packed = keyed(docs, id_col, text_col).select(key, "row").withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy(F.col("row").getField(source_col))))
+    plan = mix(docs, id_col, text_col, source_col, **params).filter("taken > 0").select(key, F.col("nth").alias("wanted"), "size", "copies", "part")
     n = F.col("copies") + (F.col("part") > 0).cast("long")
-    rows = join_same(packed.drop("source"), plan, ["doc_id", "body", "nth"]).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), n)))
+    # the number is a condition beside the key, so that the rows stay where the window has put them
+    pairs = packed.join(plan, "key").filter(F.col("nth") - F.col("wanted") == 0)
+    rows = pairs.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), n))).withColumn("text", text_of(text_col))
     short = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 1, F.col("part").cast("int")), " ")
     whole = F.col("copy") <= F.col("copies")
     text = F.when(whole, F.col("text")).otherwise(short)

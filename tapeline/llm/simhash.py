@@ -25,7 +25,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import LongType
 
 from tapeline.functions.lineage import cut, store
-from tapeline.llm.common import join_same, unpack
+from tapeline.llm.common import join_same, key_of, keyed, unpack
 from tapeline.llm.graph import components
 
 SHINGLE = 3
@@ -211,7 +211,8 @@ def hex_fingerprint(fp: Column) -> Column:
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each component: the smallest doc_id, and of repeated ids the smallest text hash."""
     groups = near_duplicates(docs, id_col, text_col).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    packed = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("body"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    chosen = join_same(packed, groups, ["doc_id"], "left_semi")
-    first = chosen.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("body")))
-    return first.filter("nth = 1").select(*unpack(first, docs.columns))
+    packed = keyed(docs, id_col, text_col)
+    first = join_same(packed.select("doc_id", "body"), groups, ["doc_id"]).groupBy("doc_id").agg(F.min("body").alias("body")).select(key_of("doc_id", "body").alias("key"))
+    chosen = packed.select(key_of("doc_id", "body").alias("key"), "row").join(first, "key", "left_semi")
+    numbered = chosen.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy(F.lit(0))))
+    return numbered.filter("nth = 1").select(*unpack(numbered, docs.columns))
