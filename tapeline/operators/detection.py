@@ -15,6 +15,10 @@ from tapeline.functions.frames import div, number_rows, rolled, running
 from tapeline.operators.symbolic import sax
 
 
+#: Patterns of one search: the bound of its broadcast.
+MOST_PATTERNS = 10_000
+
+
 def C() -> "F.Column":
     return F.col("close")
 
@@ -93,14 +97,25 @@ def z(df: DataFrame, column="v", name="z") -> DataFrame:
 def search(bars: DataFrame, library: DataFrame, size: int, threshold: float, top: int) -> DataFrame:
     """Best windows for a bounded library of z-scored patterns (pid, z).
 
-    Score = (0.3 correlation + 0.2 euclidean + 0.3 cosine) / 0.8.  On z-scores
-    all three follow from one dot product.
+    Score = 0.3 correlation + 0.2 euclidean + 0.3 cosine + 0.2 warping, a distance d counting 1 / (1 + d).  On z-scores
+    the first three follow from one dot product; the warping distance is only computed, in batches, where the score can
+    still reach the threshold.  A library of more rows than ``MOST_PATTERNS`` is refused: split it and search in turn.
     """
+    n = library.limit(MOST_PATTERNS + 1).count()
+    if n > MOST_PATTERNS:
+        raise ValueError(f"more than {MOST_PATTERNS} patterns; search them in parts")
     w = z(windows(bars, size)).drop("v")
     m = A.hold(w.crossJoin(F.broadcast(library.select("pid", F.col("z").alias("_p")))), corr=A.dot("z", "_p") / size)
     dist = F.sqrt(F.greatest(2 * size * (1 - F.col("corr")), F.lit(0.0)))
-    score = (0.6 * F.col("corr") + 0.2 / (1 + dist)) / 0.8
-    d = m.select("symbol", "seq", "pid", score.alias("score")).filter(F.col("score") >= threshold)
+    near = m.withColumn("part", 0.6 * F.col("corr") + 0.2 / (1 + dist)).filter(F.col("part") + 0.2 >= threshold)
+
+    def warp(batches):
+        for pdf in batches:
+            x, y = (np.stack(pdf[c].to_list()) if len(pdf) else np.zeros((0, size)) for c in ("z", "_p"))
+            d = np.concatenate([K.dtw(x[i : i + 512], y[i : i + 512]) for i in range(0, len(x), 512)]) if len(x) else np.zeros(0)
+            yield pd.DataFrame({"symbol": pdf.symbol, "seq": pdf.seq, "pid": pdf.pid, "score": pdf.part + 0.2 / (1 + d)})
+
+    d = near.select("symbol", "seq", "pid", "part", "z", "_p").mapInPandas(warp, "symbol string, seq long, pid long, score double").filter(F.col("score") >= threshold)
     return d.orderBy(F.col("score").desc(), "symbol", "seq", "pid").limit(top)
 
 
@@ -147,13 +162,15 @@ def closest_positions(series: DataFrame, shapes: DataFrame) -> DataFrame:
 
     def kernel(a, b):
         out = []
+        stacks = {n: (g.id.to_numpy(), np.stack(g.v.to_list()).astype(float)) for n, g in b.groupby(b.v.map(len))}  # shapes by length, one matrix each
         for i, v in zip(a.id, a.v):
             v = np.asarray(v, float)
-            for j, s in zip(b.id, b.v):
-                w = np.lib.stride_tricks.sliding_window_view(v, len(s))
-                d = K.nearest_windows(np.asarray(s, float)[None, :], w)[0]
-                out.append((i, j, float(d.min()), int(d.argmin())))
-        return pd.DataFrame(out, columns=["id", "shapelet", "distance", "pos"])
+            for n, (ids, s) in stacks.items():
+                if len(v) < n:
+                    continue
+                d = K.nearest_windows(s, np.lib.stride_tricks.sliding_window_view(v, n))
+                out.append(pd.DataFrame({"id": i, "shapelet": ids, "distance": d.min(1), "pos": d.argmin(1)}))
+        return pd.concat(out) if out else pd.DataFrame({"id": [], "shapelet": [], "distance": [], "pos": []})
 
     return tiles(series.select("id", "v"), shapes.select("id", "v"), kernel, "id long, shapelet long, distance double, pos int")
 

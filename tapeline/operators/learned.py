@@ -25,19 +25,19 @@ def next_pattern_features(patterns: DataFrame, types, window=5) -> DataFrame:
     return cut(vectors(d, [c for c in d.columns if c not in ("symbol", "seq", "next")]).select("symbol", "seq", "next", "features"))
 
 
-def next_pattern(train: DataFrame, test: DataFrame, seed=42) -> DataFrame:
+def next_pattern(train: DataFrame, test: DataFrame, trees=100, depth=10, rounds=100, boosted_depth=5, seed=42) -> DataFrame:
     """Forest and one-vs-rest boosted trees; the forest probability is averaged with the boosted vote."""
     ix = StringIndexer(inputCol="next", outputCol="label", handleInvalid="skip").fit(train)
     a, b = ix.transform(train), ix.transform(test)
-    rf = RandomForestClassifier(numTrees=20, maxDepth=5, seed=seed, probabilityCol="_rf").fit(a)
-    gb = OneVsRest(classifier=GBTClassifier(maxIter=3, maxDepth=2, seed=seed), predictionCol="_gb").fit(a)
+    rf = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, probabilityCol="_rf").fit(a)
+    gb = OneVsRest(classifier=GBTClassifier(maxIter=rounds, maxDepth=boosted_depth, seed=seed), predictionCol="_gb").fit(a)
     d = gb.transform(rf.transform(b).drop("prediction", "rawPrediction"))
     p = F.transform(vector_to_array("_rf"), lambda x, i: (x + (F.col("_gb") == i).cast("double")) / 2)
     best = F.array_position(p, F.array_max(p)) - 1
     return d.withColumn("_p", p).select("symbol", "seq", "next", F.element_at(F.array(*[F.lit(x) for x in ix.labels]), best.cast("int") + 1).alias("predicted"), F.array_max("_p").alias("confidence"))
 
 
-def boosted_folds(df: DataFrame, target: str, folds: int, gap: int, depths=(2, 3), seed=42) -> DataFrame:
+def boosted_folds(df: DataFrame, target: str, folds: int, gap: int, depths=(2, 3), rounds=100, seed=42) -> DataFrame:
     """Expanding-window folds on ``seq`` with a gap; RMSE for every fold and depth."""
     df = cut(df)
     top = df.agg(F.max("seq")).first()[0] + 1
@@ -45,14 +45,14 @@ def boosted_folds(df: DataFrame, target: str, folds: int, gap: int, depths=(2, 3
     for k in range(1, folds + 1):
         train, test = df.filter(F.col("seq") < size * k - gap), df.filter((F.col("seq") >= size * k) & (F.col("seq") < size * (k + 1)))
         for depth in depths:
-            m = GBTRegressor(labelCol=target, maxIter=5, maxDepth=depth, seed=seed).fit(train)
+            m = GBTRegressor(labelCol=target, maxIter=rounds, maxDepth=depth, seed=seed).fit(train)
             r = m.transform(test).agg(F.sqrt(F.avg(F.pow(F.col("prediction") - F.col(target), 2))).alias("rmse")).select(F.lit(k).alias("fold"), F.lit(depth).alias("depth"), "rmse")
             out = r if out is None else out.unionByName(r)
     return out
 
 
-def forest_importance(df: DataFrame, names, label="label", seed=42) -> DataFrame:
-    m = RandomForestClassifier(labelCol=label, numTrees=20, maxDepth=5, seed=seed).fit(df)
+def forest_importance(df: DataFrame, names, label="label", trees=100, depth=10, seed=42) -> DataFrame:
+    m = RandomForestClassifier(labelCol=label, numTrees=trees, maxDepth=depth, seed=seed).fit(df)
     return df.sparkSession.createDataFrame([(n, float(v)) for n, v in zip(names, m.featureImportances.toArray())], "feature string, importance double")
 
 
@@ -60,7 +60,7 @@ def recursive_elimination(df: DataFrame, names, keep: int, label="label", seed=4
     """Drop the weakest half of the surplus features until ``keep`` remain."""
     names = list(names)
     while len(names) > keep:
-        imp = {r.feature: r.importance for r in forest_importance(vectors(df, names), names, label, seed).collect()}
+        imp = {r.feature: r.importance for r in forest_importance(vectors(df, names), names, label, seed=seed).collect()}
         names = sorted(names, key=imp.get, reverse=True)[: max(keep, len(names) - max(1, (len(names) - keep) // 2))]
     return names
 

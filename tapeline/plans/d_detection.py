@@ -7,8 +7,9 @@ from tapeline.operators import detection as DT
 from tapeline.operators import formations as FM
 from tapeline.operators import joins as J
 from tapeline.operators import patterns as PT
+from tapeline.operators import vectors as V
 from tapeline.plans.derived_sql import window_sql
-from tapeline.plans.k_kernels import library
+from tapeline.plans.k_kernels import dtw_cte, library
 from tapeline.plans.registry import cte, query
 from tapeline.plans.w_indicators import W, keep
 from tapeline.sources import derived as D
@@ -131,12 +132,18 @@ def x05(spark, root):
     return FM.classify(classified_windows(spark, root), library.filter("category = 'custom'")).filter("category = 'custom'").select("symbol", "seq", "name", "confidence")
 
 
-@query("d10_subsequence_search", "bars_h series", """WITH l AS (SELECT label AS pid, list(m ORDER BY k) AS p FROM (SELECT label, k, avg(v[k]) AS m FROM series, range(1, 17) t(k) GROUP BY ALL) GROUP BY label), lz AS (SELECT pid, [(x - list_avg(p)) / list_stddev_pop(p) for x in p] AS z FROM l),
-  w AS (SELECT symbol, seq, list(close) OVER (PARTITION BY symbol ORDER BY seq ROWS BETWEEN CURRENT ROW AND 15 FOLLOWING) AS v FROM bars_h), wz AS (SELECT symbol, seq, [(x - list_avg(v)) / list_stddev_pop(v) for x in v] AS z FROM w WHERE len(v) = 16),
-  s AS (SELECT symbol, seq, pid, list_dot_product(wz.z, lz.z) / 16 AS c FROM wz, lz), r AS (SELECT symbol, seq, pid, (0.6 * c + 0.2 / (1 + sqrt(greatest(32 * (1 - c), 0)))) / 0.8 AS score FROM s) SELECT * FROM r WHERE score >= 0.5 ORDER BY score DESC, symbol, seq, pid LIMIT 200""", "score")
+# all 16-point parts of the label means
+cte("parts", "SELECT rid * 4096 + st AS pid, y[st + 1:st + 16] AS v FROM label_means, (VALUES (0), (16), (32), (48)) t(st)", "label_means")
+cte("parts_z", "SELECT pid, [(x - list_avg(v)) / list_stddev_pop(v) for x in v] AS z FROM parts", "parts")
+cte("near_parts", """WITH w AS (SELECT symbol, seq, list(close) OVER (PARTITION BY symbol ORDER BY seq ROWS BETWEEN CURRENT ROW AND 15 FOLLOWING) AS v FROM bars_h), wz AS (SELECT symbol, seq, [(x - list_avg(v)) / list_stddev_pop(v) for x in v] AS z FROM w WHERE len(v) = 16),
+  s AS (SELECT symbol, seq, pid, wz.z AS x, p.z AS y, list_dot_product(wz.z, p.z) / 16 AS c FROM wz, parts_z p), r AS (SELECT *, 0.6 * c + 0.2 / (1 + sqrt(greatest(32 * (1 - c), 0))) AS part FROM s)
+  SELECT *, symbol || '-' || seq AS id, pid AS rid FROM r WHERE part >= 0.3""", "bars_h parts_z")
+dtw_cte("dtw_parts", "SELECT * FROM near_parts", "near_parts", 16)
+
+
+@query("d10_subsequence_search", "dtw_parts", """SELECT symbol, seq, pid, part + 0.2 / (1 + distance) AS score FROM near_parts JOIN dtw_parts USING (id, rid) WHERE part + 0.2 / (1 + distance) >= 0.5 ORDER BY score DESC, symbol, seq, pid LIMIT 200""", "score")
 def d10(spark, root):
-    lib = DT.z(library(spark, root).select(F.col("id").cast("int").alias("pid"), F.slice("v", 1, 16).alias("v"))).select("pid", "z")
-    return DT.search(bars_h(spark, root), lib, 16, 0.5, 200)
+    return DT.search(bars_h(spark, root), DT.z(shapes(spark, root).select(F.col("id").alias("pid"), "v")).select("pid", "z"), 16, 0.5, 200)
 
 
 cte("outcomes", "SELECT p.type, p.symbol || '-' || p.seq AS id, (b.close - a.close) / a.close AS x, p.strength AS weight FROM patterns p JOIN bars_d a ON a.symbol = p.symbol AND a.seq = p.end_seq JOIN bars_d b ON b.symbol = p.symbol AND b.seq = p.end_seq + 5", "patterns")
@@ -176,10 +183,12 @@ def a29(spark, root):
 
 
 def shapes(spark, root):
-    return library(spark, root).select("id", F.slice("v", 1, 16).alias("v"))
+    """All 16-point parts of the label means, side by side."""
+    return V.strided(library(spark, root), 16, 16).select(F.col("sid").alias("id"), "v")
 
 
-@query("d17_shapelet_transform", nums="distance")
+@query("d17_shapelet_transform", "series parts_z", """WITH w AS (SELECT id, p, v[p + 1:p + 16] AS w FROM series, range(49) t(p)), z AS (SELECT id, p, [(x - list_avg(w)) / list_stddev_pop(w) for x in w] AS z FROM w)
+  SELECT id, pid AS shapelet, min(list_distance(z.z, s.z)) AS distance, CAST(arg_min(p, list_distance(z.z, s.z)) AS INT) AS pos FROM z, parts_z s GROUP BY id, pid""", "distance")
 def d17(spark, root):
     return DT.closest_positions(series(spark, root), shapes(spark, root))
 

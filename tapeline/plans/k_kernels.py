@@ -4,7 +4,8 @@ import math
 
 from pyspark.sql import functions as F
 
-from tapeline.functions.lineage import cut
+from tapeline.functions.lineage import cut, store
+from tapeline.operators import cross as CX
 from tapeline.operators import pairs as PR
 from tapeline.operators import regimes as R
 from tapeline.operators import wavelets as WV
@@ -161,6 +162,20 @@ def d24(spark, root):
     return WV.coefficient_patterns(cwt(spark, root))
 
 
+_GAUSS = ", ".join(f"({k}, {w!r}::DOUBLE)" for k, w in zip(range(-4, 5), CX.gauss().tolist()))
+cte("crossed", f"""WITH p AS (SELECT a.seq, CAST(log2(a.scale) AS INT) - 1 AS s, a.coef AS x, b.coef AS y FROM cwt a JOIN cwt b ON a.seq = b.seq AND a.scale = b.scale AND a.symbol = 'click' AND b.symbol = 'purchase'), n AS (SELECT max(seq) + 1 AS n FROM p), g(k, w) AS (VALUES {_GAUSS}),
+  q AS (SELECT p.seq, p.s, sum(gs.w * gt.w * abs(o.x * o.y)) AS xy, sum(gs.w * gt.w * o.x * o.x) AS xx, sum(gs.w * gt.w * o.y * o.y) AS yy FROM p, n, g gs, g gt, p o WHERE o.s = CASE WHEN (p.s + gs.k + 8) % 8 < 4 THEN (p.s + gs.k + 8) % 8 ELSE 7 - (p.s + gs.k + 8) % 8 END
+   AND o.seq = CASE WHEN p.seq + gt.k < 0 THEN -1 - (p.seq + gt.k) WHEN p.seq + gt.k >= n THEN 2 * n - 1 - (p.seq + gt.k) ELSE p.seq + gt.k END GROUP BY p.seq, p.s)
+  SELECT seq, 2.0 ** (s + 1) AS scale, x * y AS cross_power, (x * y) ** 2 AS power, xy / sqrt(xx * yy) AS coherence, CASE WHEN x * y < 0 THEN pi() ELSE 0 END AS phase FROM p JOIN q USING (seq, s)""", "cwt")
+
+
+@query("f12_cross_wavelet", "crossed", "SELECT * FROM crossed", "cross_power power coherence phase")
+def f12(spark, root):
+    c = store(cwt(spark, root))
+    one = lambda name: c.filter(F.col("symbol") == name).select(F.lit("click-purchase").alias("pair"), "seq", "scale", "coef")
+    return CX.coherence(one("click"), one("purchase"), SCALES).drop("pair").withColumnRenamed("cross", "cross_power")
+
+
 @query("m02_cluster_statistics", nums="intra_mean intra_max intra_std inter_mean silhouette separation")
 def m02(spark, root):
     s = series(spark, root)

@@ -90,13 +90,13 @@ def m12(spark, root):
     f = ML.next_pattern_features(D.patterns(spark, root), A.PATTERN_TYPES)
     mid = f.groupBy("symbol").agg((F.max("seq") * 0.8).alias("_cut"))
     f = f.join(mid, "symbol")
-    return ML.next_pattern(f.filter("seq < _cut").drop("_cut"), f.filter("seq >= _cut").drop("_cut"))
+    return ML.next_pattern(f.filter("seq < _cut").drop("_cut"), f.filter("seq >= _cut").drop("_cut"), rounds=10)
 
 
 @query("m13_boosted_folds")
 def m13(spark, root):
     d = R.regime_features(bars_d(spark, root)).dropna().withColumn("target", F.col("mean") * 100)
-    return ML.boosted_folds(R.vectors(d, ["std", "down_share", "position", "rsi"]), "target", 2, 10)
+    return ML.boosted_folds(R.vectors(d, ["std", "down_share", "position", "rsi"]), "target", 2, 10, rounds=20)
 
 
 @query("m14_walk_forward_splits", "bars_b", """WITH n AS (SELECT symbol, count(*) AS n FROM bars_b GROUP BY symbol), f AS (SELECT symbol, unnest(range(0, CAST(floor((n - 315) / 126.0) AS BIGINT) + 1)) AS fold FROM n WHERE n >= 315)
@@ -184,18 +184,19 @@ def m22(spark, root):
     return d.select("id", F.abs("pc1").alias("pc1"), F.abs("pc2").alias("pc2"))
 
 
+DIMENSIONS = [f"x{i}" for i in range(64)]  # the length of the given vectors
+
+
 def labelled(spark, root):
     s = series(spark, root)
-    return s.select("id", "label", *[F.col("v")[i].alias(f"x{i}") for i in range(16)])
+    return s.select("id", "label", *[F.col("v")[i].alias(n) for i, n in enumerate(DIMENSIONS)])
 
 
 @query("a34_forest_importance")
 def a34(spark, root):
-    names = [f"x{i}" for i in range(16)]
-    return ML.forest_importance(R.vectors(labelled(spark, root), names), names)
+    return ML.forest_importance(R.vectors(labelled(spark, root), DIMENSIONS), DIMENSIONS)
 
 
 @query("a35_l1_importance")
 def a35(spark, root):
-    names = [f"x{i}" for i in range(16)]
-    return ML.l1_importance(R.vectors(labelled(spark, root), names), names)
+    return ML.l1_importance(R.vectors(labelled(spark, root), DIMENSIONS), DIMENSIONS)
