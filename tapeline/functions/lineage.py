@@ -38,5 +38,5 @@ def store(df: DataFrame, parts: int | None = None) -> DataFrame:
     """Write as Parquet to the shared folder and read it back: for wide or large tables, which a checkpoint would keep uncompressed."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    (df.coalesce(parts) if parts else df).write.parquet(path)
+    (df.coalesce(parts) if parts else df).write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
