@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeline.functions.frames import rolled
+from tapeline.functions.frames import rolled, running
 
 RADIUS = 4
 
@@ -64,3 +64,32 @@ def coherence(first: DataFrame, second: DataFrame, scales) -> DataFrame:
     scale = F.get(F.array(*[F.lit(float(x)) for x in scales]), F.col("s"))
     out = smooth.select("pair", "seq", "s", "_xy", "_xx", "_yy").join(d.select("pair", "seq", "s", "cross"), ["pair", "seq", "s"])
     return out.select("pair", "seq", scale.alias("scale"), "cross", (F.col("cross") * F.col("cross")).alias("power"), (F.col("_xy") / F.sqrt(F.col("_xx") * F.col("_yy"))).alias("coherence"), F.when(F.col("cross") < 0, float(np.pi)).otherwise(0.0).alias("phase"))
+
+
+PATTERN_COLUMNS = ["pattern_strength", "pattern_change", "bars_since_pattern", "chance_up", "transition_entropy"]
+
+
+def chain_summary(chain: DataFrame, up: str = "trend_up") -> DataFrame:
+    """(type, chance_up, transition_entropy) from transition rows (from, to, p); as many rows as there are types."""
+    p = F.col("p")
+    return chain.groupBy(F.col("from").alias("type")).agg(F.coalesce(F.sum(F.when(F.col("to") == up, p)), F.lit(0.0)).alias("chance_up"), (-F.sum(p * F.ln(p))).alias("transition_entropy"))
+
+
+def with_patterns(features: DataFrame, patterns: DataFrame, chain: DataFrame) -> DataFrame:
+    """Adds to every bar the newest pattern that has ended (symbol, end_seq, type, strength, price_change) and the outlook of its type."""
+    mark = F.struct("type", "strength", "price_change", F.col("end_seq").alias("at"))
+    marks = patterns.select("symbol", F.col("end_seq").alias("seq"), mark.alias("_mark"))
+    d = running(features.join(marks, ["symbol", "seq"], "left"), {"_last": (F.col("_mark"), "last")}).drop("_mark")
+    d = d.select("*", F.col("_last.type").alias("type"), F.col("_last.strength").alias("pattern_strength"), F.col("_last.price_change").alias("pattern_change"), (F.col("seq") - F.col("_last.at")).cast("double").alias("bars_since_pattern"))
+    return d.join(F.broadcast(chain_summary(chain)), "type", "left").drop("_last", "type")
+
+
+def imputed_scaled(features: DataFrame, columns) -> DataFrame:
+    """NULLs become the mean of their symbol (0 if it has none), then every column is scaled to mean 0 and deviation 1.
+
+    Two aggregations: one row per symbol, and from the filled columns one row in all.
+    """
+    means = features.groupBy("symbol").agg(*[F.avg(c).alias(f"_{c}") for c in columns])
+    filled = features.join(means, "symbol").select("symbol", "seq", *[F.coalesce(F.col(c).cast("double"), F.col(f"_{c}"), F.lit(0.0)).alias(c) for c in columns])
+    stats = filled.agg(*[F.struct(F.avg(c).alias("m"), F.stddev_pop(c).alias("s")).alias(f"_{c}") for c in columns])
+    return filled.crossJoin(F.broadcast(stats)).select("symbol", "seq", *[((F.col(c) - F.col(f"_{c}.m")) / F.when(F.col(f"_{c}.s") > 0, F.col(f"_{c}.s")).otherwise(1.0)).alias(c) for c in columns])
