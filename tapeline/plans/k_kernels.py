@@ -4,6 +4,7 @@ import math
 
 from pyspark.sql import functions as F
 
+from tapeline.functions import kernels as K
 from tapeline.functions.lineage import cut, store
 from tapeline.operators import cross as CX
 from tapeline.operators import pairs as PR
@@ -105,12 +106,23 @@ def f21(spark, root):
     return PR.alignments(to_reference(spark, root)).select("id", "rid", F.posexplode("path").alias("step", "p")).select("id", "rid", "step", "p.i", "p.j")
 
 
-@query("f13_spectra", nums="dominant_power total_power power_std centroid bandwidth high_ratio")
+@query("f13_spectra", "series", """WITH c AS (SELECT id, k, list_sum([v[j + 1] * cos(2 * pi() * k * j / 64) for j in range(64)]) AS re, list_sum([v[j + 1] * sin(2 * pi() * k * j / 64) for j in range(64)]) AS im FROM series, range(64) t(k)),
+  p AS (SELECT id, k, re * re + im * im AS p, k / 64 AS f FROM c), g AS (SELECT id, arg_max(f, p) FILTER (k BETWEEN 1 AND 31) AS dominant_frequency, max(p) FILTER (k BETWEEN 1 AND 31) AS dominant_power, sum(p) AS total_power, stddev_pop(p) AS power_std,
+   sum(sqrt(p) * f) FILTER (k < 32) / sum(sqrt(p)) FILTER (k < 32) AS centroid, sum(p) FILTER (k BETWEEN 16 AND 31) / sum(p) FILTER (k < 32) AS high_ratio FROM p GROUP BY id)
+  SELECT g.*, b.bandwidth FROM g JOIN (SELECT p.id, sqrt(sum((f - centroid) ** 2 * sqrt(p)) / sum(sqrt(p))) AS bandwidth FROM p JOIN g USING (id) WHERE k < 32 GROUP BY p.id) b USING (id)""", "dominant_power total_power power_std centroid bandwidth high_ratio")
 def f13(spark, root):
     return PR.spectra(series(spark, root))
 
 
-@query("f10_wavelet_levels", nums="coef")
+_TAPS = ", ".join(f"({i}, {lo!r}::DOUBLE, {hi!r}::DOUBLE)" for i, (lo, hi) in enumerate(zip(*(f.tolist() for f in K.filters(4)))))
+# one level: position p of the output is the sum over the eight taps at 2p + 1 - i, the ends mirrored
+_STEP = lambda src, n: f"SELECT id, p, sum(lo * x) AS a, sum(hi * x) AS d FROM (SELECT id, p, lo, hi, v[CASE WHEN q < 0 THEN -q WHEN q >= {n} THEN 2 * {n} - q ELSE q + 1 END] AS x FROM (SELECT id, v, p, lo, hi, 2 * p + 1 - i AS q FROM {src}, range({(n + 7) // 2}) t(p), taps)) GROUP BY id, p"
+_PACK = "SELECT id, list(a ORDER BY p) AS v FROM"
+cte("dwt", f"""WITH taps(i, lo, hi) AS (VALUES {_TAPS}), l1 AS MATERIALIZED ({_STEP("series", 64)}), s1 AS ({_PACK} l1 GROUP BY id), l2 AS MATERIALIZED ({_STEP("s1", 35)}), s2 AS ({_PACK} l2 GROUP BY id), l3 AS MATERIALIZED ({_STEP("s2", 21)})
+  SELECT id, 0 AS level, CAST(p AS INT) AS pos, a AS coef FROM l3 UNION ALL SELECT id, 1, CAST(p AS INT), d FROM l3 UNION ALL SELECT id, 2, CAST(p AS INT), d FROM l2 UNION ALL SELECT id, 3, CAST(p AS INT), d FROM l1""", "series")
+
+
+@query("f10_wavelet_levels", "dwt", "SELECT * FROM dwt", "coef")
 def f10(spark, root):
     return PR.wavelet_levels(series(spark, root))
 
@@ -120,7 +132,8 @@ def f11(spark, root):
     return PR.denoised(series(spark, root)).select("id", F.posexplode("v").alias("pos", "value"))
 
 
-@query("d32_energy_distribution", nums="energy share entropy")
+@query("d32_energy_distribution", "dwt", """WITH e AS (SELECT id, level, sum(coef * coef) AS energy FROM dwt GROUP BY ALL), s AS (SELECT *, energy / sum(energy) OVER (PARTITION BY id) AS share FROM e)
+  SELECT s.*, g.entropy, g.dominant FROM s JOIN (SELECT id, -sum(share * log2(share + 1e-10)) AS entropy, arg_max(level, energy) AS dominant FROM s GROUP BY id) g USING (id)""", "energy share entropy")
 def d32(spark, root):
     return PR.energy_distribution(PR.wavelet_levels(series(spark, root)))
 

@@ -7,7 +7,7 @@ from tapeline.operators import pairs as PR
 from tapeline.operators import vectors as V
 from tapeline.plans.f_arrays import to_reference
 from tapeline.plans.k_kernels import dtw_cte, library
-from tapeline.plans.registry import query
+from tapeline.plans.registry import cte, query
 from tapeline.sources.tables import series
 
 _ALL = [n for names in V.NAMES.values() for n in names]
@@ -88,17 +88,27 @@ def sub_distances(spark, root):
     return store(parts.select("id", "sid", "start").join(d.select(F.col("a").alias("sid"), F.col("b").alias("rid"), F.col("normalized").alias("d")), "sid").drop("sid"))
 
 
-@query("d27_reference_features", nums="dtw_min_distance dtw_mean_distance dtw_std_distance dtw_median_distance dtw_top1_mean dtw_top3_mean dtw_top5_mean distance_ratio")
+cte("sub_pairs", "SELECT id || '-' || st AS id, rid, s.id AS sid, st, v[st + 1:st + 16] AS x, y[1:16] AS y FROM series s, (VALUES (0), (8), (16), (24), (32), (40), (48)) t(st), label_means", "series label_means")
+dtw_cte("sub_dtw", "SELECT * FROM sub_pairs", "sub_pairs", 16)
+cte("sub_dist", "SELECT p.sid AS id, p.st AS start, p.rid, d.distance / 32 AS d FROM sub_pairs p JOIN sub_dtw d USING (id, rid)", "sub_dtw")
+cte("sub_near", "SELECT id, start, arg_min(rid, (d, rid)) AS rid FROM sub_dist GROUP BY id, start", "sub_dist")
+
+
+@query("d27_reference_features", "sub_dist", """WITH b AS (SELECT id, rid, min(d) AS d FROM sub_dist GROUP BY id, rid), l AS (SELECT id, list(d ORDER BY d) AS l, arg_min(rid, (d, rid)) AS nearest FROM b GROUP BY id)
+  SELECT id, l[1] AS dtw_min_distance, list_avg(l) AS dtw_mean_distance, list_stddev_pop(l) AS dtw_std_distance, list_median(l) AS dtw_median_distance, nearest, l[1] AS dtw_top1_mean, list_avg(l[1:3]) AS dtw_top3_mean, list_avg(l[1:5]) AS dtw_top5_mean, l[1] / list_avg(l) AS distance_ratio FROM l""",
+       "dtw_min_distance dtw_mean_distance dtw_std_distance dtw_median_distance dtw_top1_mean dtw_top3_mean dtw_top5_mean distance_ratio")
 def d27(spark, root):
     return V.reference_features(sub_distances(spark, root))
 
 
-@query("d27_sequence_features", nums="stability dominant_share diversity trend_slope trend_r2")
+@query("d27_sequence_features", "sub_near", """WITH m AS (SELECT *, rid <> lag(rid) OVER (PARTITION BY id ORDER BY start) AS moved FROM sub_near), c AS (SELECT id, rid, count(*) AS c FROM sub_near GROUP BY id, rid), t AS (SELECT id, arg_max(rid, (c, -rid)) AS dominant, max(c) AS c FROM c GROUP BY id)
+  SELECT id, coalesce(sum(CAST(moved AS BIGINT)), 0)::BIGINT AS transitions, 1 - coalesce(sum(CAST(moved AS BIGINT)), 0) / greatest(count(*) - 1, 1) AS stability, any_value(dominant) AS dominant, any_value(c) / count(*) AS dominant_share, count(DISTINCT rid) / 10 AS diversity, regr_slope(rid, start / 64) AS trend_slope, regr_r2(rid, start / 64) AS trend_r2
+  FROM m JOIN t USING (id) GROUP BY id""", "stability dominant_share diversity trend_slope trend_r2")
 def d27_sequence(spark, root):
     return V.sequence_features(V.nearest_reference(sub_distances(spark, root)), 64, 10)
 
 
-@query("d28_reference_sequence")
+@query("d28_reference_sequence", "sub_near", "SELECT id, string_agg(CAST(rid AS VARCHAR), '-' ORDER BY start) AS sequence FROM sub_near GROUP BY id")
 def d28(spark, root):
     n = V.nearest_reference(sub_distances(spark, root))
     s = F.array_sort(F.collect_list(F.struct("start", "rid")))
