@@ -157,3 +157,8 @@ def entropy(items: Column) -> Column:
     n = F.size(items)
     share = lambda u: F.size(F.filter(items, lambda x: x == u)) / n
     return -F.aggregate(F.transform(F.array_distinct(items), lambda u: share(u) * F.log2(share(u) + 1e-10)), F.lit(0.0), lambda a, x: a + x)
+
+
+def key_below(keys, share: float) -> Column:
+    """True for the given share of keys: the first 32 bits of the MD5 of the keys, joined by a bar, as hexadecimal text."""
+    return F.substring(F.md5(F.concat_ws("|", *[F.col(k).cast("string") if isinstance(k, str) else k.cast("string") for k in keys])), 1, 8) < f"{int(share * 2**32):08x}"

@@ -175,9 +175,9 @@ def closest_positions(series: DataFrame, shapes: DataFrame) -> DataFrame:
     return tiles(series.select("id", "v"), shapes.select("id", "v"), kernel, "id long, shapelet long, distance double, pos int")
 
 
-def information_gain(dist: DataFrame, labels: DataFrame) -> DataFrame:
-    """Best one-against-rest split of each shapelet's distances: threshold and entropy gain."""
-    d = number_rows(dist.join(labels, "id").select("shapelet", "id", "distance", (F.col("label") == F.col("shapelet")).cast("int").alias("own")), ["distance", "id"], F.floor(F.col("distance") * 16), ["shapelet"])
+def information_gain(dist: DataFrame, labels: DataFrame, owner: Column) -> DataFrame:
+    """Best split of each shapelet's distances, its class (``owner``, from the shapelet id) against the rest: threshold and entropy gain."""
+    d = number_rows(dist.join(labels, "id").select("shapelet", "id", "distance", (F.col("label") == owner).cast("int").alias("own")), ["distance", "id"], F.floor(F.col("distance") * 16), ["shapelet"])
     d = running(d, {"k": (F.col("own"), "sum")}, ["shapelet"])
     t = d.groupBy("shapelet").agg(one().alias("n"), F.sum("own").alias("total"))
     d = rolled(d, lambda h, w: h.withColumn("_next", F.lead("distance").over(w)), 0, 1, ("shapelet",)).join(t, "shapelet")

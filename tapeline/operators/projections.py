@@ -219,7 +219,7 @@ def head_tail(df: DataFrame, n=10) -> DataFrame:
 
 def sample_rows(df: DataFrame, fraction: float, seed=42) -> DataFrame:
     """Repeatable sample by hash of the series key, independent of partitioning."""
-    return df.filter(F.pmod(F.xxhash64("symbol", "seq", F.lit(seed)), F.lit(1_000_000)) < int(fraction * 1_000_000))
+    return df.filter(A.key_below(["symbol", "seq", F.lit(seed)], fraction))
 
 
 def percent_rank(df: DataFrame, column: str, by=("symbol",)) -> DataFrame:

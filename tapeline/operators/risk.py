@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapeline.functions import arrays as A
 from tapeline.functions.frames import div, number_rows, quantiles, ranked_values, rolled, run_ids, running
 from tapeline.functions.scan import scan
 from tapeline.operators.aggregates import cut_bin, share
@@ -348,8 +349,8 @@ def horizon_accuracy(p: DataFrame, horizons=(1, 3, 5)) -> DataFrame:
 
 
 def hash_split(df: DataFrame, keys, test_percent=20, name="part") -> DataFrame:
-    """Deterministic train/test tag from the key hash; independent of partitioning."""
-    return df.withColumn(name, F.when(F.pmod(F.xxhash64(*keys), F.lit(100)) < test_percent, "test").otherwise("train"))
+    """Deterministic train/test tag from the key digest; independent of partitioning and engine."""
+    return df.withColumn(name, F.when(A.key_below(keys, test_percent / 100), "test").otherwise("train"))
 
 
 def cost_report(trades: DataFrame) -> DataFrame:

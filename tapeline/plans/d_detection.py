@@ -193,10 +193,17 @@ def d17(spark, root):
     return DT.closest_positions(series(spark, root), shapes(spark, root))
 
 
-@query("d16_information_gain", nums="gain threshold")
+_H = lambda k, n: f"CASE WHEN {k} > 0 AND {k} < {n} THEN -({k} / {n} * log2({k} / {n}) + (1 - {k} / {n}) * log2(1 - {k} / {n})) ELSE 0 END"
+
+
+@query("d16_information_gain", "series parts_z", f"""WITH w AS (SELECT id, p, v[p + 1:p + 16] AS w FROM series, range(49) t(p)), z AS (SELECT id, [(x - list_avg(w)) / list_stddev_pop(w) for x in w] AS z FROM w),
+  d AS (SELECT id, pid, min(list_distance(z.z, s.z)) AS d FROM z, parts_z s GROUP BY id, pid), o AS (SELECT pid, id, d, CAST(label = pid // 4096 AS INT) AS own FROM d JOIN (SELECT id, label FROM series) USING (id)),
+  c AS (SELECT pid, d, lead(d) OVER r AS nx, row_number() OVER r AS i, sum(own) OVER (PARTITION BY pid ORDER BY d, id ROWS UNBOUNDED PRECEDING) AS k, sum(own) OVER (PARTITION BY pid) AS t, count(*) OVER (PARTITION BY pid) AS n FROM o WINDOW r AS (PARTITION BY pid ORDER BY d, id)),
+  g AS (SELECT *, {_H("t", "n")} - i / n * ({_H("k", "i")}) - (n - i) / n * ({_H("(t - k)", "(n - i)")}) AS gain FROM c WHERE nx > d)
+  SELECT pid AS shapelet, max(gain) AS gain, arg_max((d + nx) / 2, (gain, -i)) AS threshold FROM g GROUP BY pid""", "gain threshold")
 def d16(spark, root):
     s = series(spark, root)
-    return DT.information_gain(DT.closest_positions(s, shapes(spark, root)), s.select("id", "label"))
+    return DT.information_gain(store(DT.closest_positions(s, shapes(spark, root))), s.select("id", "label"), F.floor(F.col("shapelet") / 4096))
 
 
 cte("profile", """WITH w AS (SELECT symbol, seq, list(close) OVER (PARTITION BY symbol ORDER BY seq ROWS BETWEEN CURRENT ROW AND 15 FOLLOWING) AS v FROM bars_h), z AS MATERIALIZED (SELECT symbol, seq, [(x - list_avg(v)) / list_stddev_pop(v) for x in v] AS z FROM w WHERE len(v) = 16)

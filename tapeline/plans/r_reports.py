@@ -347,7 +347,7 @@ def r26(spark, root):
     return R.horizon_accuracy(D.predictions(spark, root))
 
 
-@query("r27_split", "", None)
+@query("r27_split", "patterns", f"SELECT symbol, CASE WHEN md5(symbol || '|' || seq)[1:8] < '{int(0.2 * 2**32):08x}' THEN 'test' ELSE 'train' END AS part, count(*) AS n FROM patterns GROUP BY ALL")
 def r27(spark, root):
     return R.hash_split(D.patterns(spark, root), ["symbol", "seq"]).groupBy("symbol", "part").agg(R.one().alias("n"))
 
