@@ -12,8 +12,13 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, body, row): ``body`` is a hash of the text, ``row`` the whole input row as a struct."""
-    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("body"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    """(doc_id, body, row): ``body`` is a hash of the text, ``row`` the whole input row as a struct.
+
+    The hash is declared nullable, as it is after a table was stored: keys of both sides then have one type, and a join needs no cast that would
+    hide how its input is partitioned.
+    """
+    body = F.nullif(F.xxhash64(F.col(text_col).cast("string")), F.lit(None).cast("long"))
+    return docs.select(F.col(id_col).alias("doc_id"), body.alias("body"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
 
 
 def text_of(text_col: str) -> Column:

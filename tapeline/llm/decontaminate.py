@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
-from tapeline.functions.lineage import store
+from tapeline.functions.lineage import parts_for, store
 from tapeline.llm.common import unpack
 
 WIDTH = 10
@@ -123,7 +123,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", blo
     need no care. An empty benchmark hits nothing.
     """
     spark = docs.sparkSession
-    rows = store(item_windows(benchmark))
+    rows = store(item_windows(benchmark), parts_for(benchmark.count(), 5_000))
     blocks = max(1, -(-rows.count() // block))
     part = F.pmod(F.xxhash64("window"), F.lit(blocks))
     done = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).cast("binary").alias("text"), F.lit(None).cast(HITS).alias("hits"))

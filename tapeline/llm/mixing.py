@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeline.functions.lineage import store
+from tapeline.functions.lineage import parts_for, store
 from tapeline.llm.common import WORD, join_same, key_of, keyed, text_of, unpack, word_count
 
 WEIGHTS = (1, 2, 3)
@@ -90,13 +90,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rows = join_same(sized, wanted, ["source"]).withColumn("copies", whole).withColumn("frac", F.greatest(x - whole, F.lit(0.0)))
     buckets = F.greatest(F.ceil(F.col("n_docs") / leaf), F.lit(1)).cast("long")
     rows = rows.withColumn("frac", F.when(F.col("frac") < _SNAP, 0.0).otherwise(F.col("frac"))).withColumn("bucket", F.pmod("h", buckets)).withColumn("n_docs", buckets)
-    settled, level = [], store(rows.groupBy("source", "bucket").applyInArrow(_round_group, rows.schema))
+    parts = parts_for(sized.count(), 100_000)
+    settled, level = [], store(rows.groupBy("source", "bucket").applyInArrow(_round_group, rows.schema), parts)
     n = level.agg(F.max("n_docs")).first()[0] or 1
     is_open = (F.col("frac") > 0) & (F.col("frac") < 1)
     while n > 1:
         settled.append(level.filter(~is_open))
         again = level.filter(is_open).withColumn("bucket", F.floor(F.col("bucket") / fan).cast("long"))
-        level, n = store(again.groupBy("source", "bucket").applyInArrow(_round_group, again.schema)), -(-n // fan)
+        level, n = store(again.groupBy("source", "bucket").applyInArrow(_round_group, again.schema), parts), -(-n // fan)
     every = level
     for part in settled:
         every = every.unionByName(part)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import LongType
 
-from tapeline.functions.lineage import cut, store
+from tapeline.functions.lineage import cut, parts_for, store
 from tapeline.llm.common import join_same, key_of, keyed, unpack
 from tapeline.llm.graph import components
 
@@ -199,7 +199,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     marked = store(fingerprints(docs, id_col, text_col))
     fps = marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     roots = components(links(fps, block)).withColumnRenamed("node", "fp")
-    classes = cut(fps.join(roots, "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root")))
+    classes = cut(fps.join(roots, "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root")), parts_for(marked.count()))
     named = classes.join(classes.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("fp", "component_id")
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
