@@ -11,6 +11,7 @@ HEADLINE = [
     "flagship_band_signal", "s02_bar_builder", "w01_sma", "w02_ema", "w04_rsi", "w10_bollinger", "w17_adx", "w21_supertrend", "w23_catalogue", "w25_equity",
     "p18_trend_state", "j01_asof", "j03_first_touch", "a14_transition_matrix", "a25_conditional_features", "a32_f_score", "r01_risk_metrics", "r07_covariance",
     "r15_signal_ledger", "r19_regression_report", "r30_average_cost", "f01_sax", "f06_cwt", "f13_spectra", "a28_pair_summary", "j05_nearest_references", "m05_regime_features", "m18_forecast_tree",
+    "d01_window_patterns", "d10_subsequence_search", "d14_sax_shapelets", "d17_shapelet_transform", "d29_feature_table", "f14_pattern_vector", "f20_fast_dtw",
 ]
 
 
