@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeline.functions.frames import div, number_rows, quantiles, ranked_values, rolled, running
+from tapeline.operators.selection import top_k
 
 # The five window pattern types.
 PATTERN_TYPES = ["trend_up", "trend_down", "reversal_top", "reversal_bottom", "consolidation"]
@@ -197,5 +198,5 @@ def position_band(series: DataFrame) -> DataFrame:
 def prediction_log(p: DataFrame, last=10) -> DataFrame:
     """Use and confidence per model, with the mean of the last ten."""
     g = p.groupBy("model").agg(one().alias("n"), F.avg("prob").alias("mean_confidence"), F.max("ts").alias("last_seen"))
-    tail = number_rows(p.select("model", "ts", "id", "prob"), [F.col("ts").desc(), F.col("id").desc()], -F.floor(F.unix_timestamp("ts") / 86400), by=["model"]).filter(F.col("seq") < last)
+    tail = top_k(p.select("model", "ts", "id", "prob"), ["model"], [F.col("ts").desc(), F.col("id").desc()], last)
     return g.join(tail.groupBy("model").agg(F.avg("prob").alias("recent_confidence")), "model")

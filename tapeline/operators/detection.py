@@ -212,7 +212,9 @@ def matrix_profile(bars: DataFrame, m: int, block=256) -> DataFrame:
         return out[np.isfinite(out.distance)]
 
     kind = bars.schema["symbol"].dataType.simpleString()
-    t = w.repartition(64, "symbol", "p", "q").groupBy("symbol", "p", "q").applyInPandas(tile, f"symbol {kind}, seq long, nn long, distance double")
+    # little data, much work: an explicit count keeps adaptive execution from merging the tasks
+    tasks = max(64, int(bars.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    t = w.repartition(tasks, "symbol", "p", "q").groupBy("symbol", "p", "q").applyInPandas(tile, f"symbol {kind}, seq long, nn long, distance double")
     return t.groupBy("symbol", "seq").agg(F.min("distance").alias("distance"), F.min_by("nn", F.struct("distance", "nn")).alias("nn"))
 
 

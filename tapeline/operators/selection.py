@@ -11,13 +11,15 @@ from tapeline.functions import arrays as A
 from tapeline.functions.lineage import cut
 
 
-def top_k(df: DataFrame, by, order, k: int, salt: int = 32, rank="rank") -> DataFrame:
+def top_k(df: DataFrame, by, order, k: int, salt: int | None = None, rank="rank") -> DataFrame:
     """Exact top-k per group.
 
-    Each group is first cut to k rows inside ``salt`` sub-groups, so a hot
-    group sends at most salt*k rows to its final window.
+    Each group is first cut to k rows inside ``salt`` sub-groups (as many as
+    the session has shuffle partitions, if not given), so a hot group spreads
+    over all tasks and sends at most salt*k rows to its final window.
     """
     by = list(by)
+    salt = salt or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     d = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salt)))
     first = Window.partitionBy(*by, "_salt").orderBy(*order)
     d = d.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= k).drop("_r", "_salt")

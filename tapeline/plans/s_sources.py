@@ -1,11 +1,12 @@
 """Scan, source and sink queries.  Sinks write to a fresh folder and read back."""
 
 import json
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tapeline.functions.lineage import shared_folder
 from tapeline.operators import projections as P
 from tapeline.operators import transitions as TR
 from tapeline.plans.a_transitions import states
@@ -17,12 +18,8 @@ from tapeline.sources.tables import DAY, bars_b, bars_d, bars_h, build_bars, epo
 
 
 def folder(spark):
-    """A fresh output folder in the shared checkpoint folder, or a local one in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        return tempfile.mkdtemp(prefix="tapeline-out-")
-    import uuid
-    return f"{base}/out-{uuid.uuid4().hex}"
+    """A fresh output folder inside the shared one."""
+    return f"{shared_folder(spark)}/out-{uuid.uuid4().hex}"
 
 
 @query("s01_bar_scan", "bars_h", f"SELECT symbol, seq, open, high, low, close, volume, coalesce(close / lag(close) OVER w - 1, 0) AS returns FROM bars_h {W}", "returns")
