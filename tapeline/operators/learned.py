@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import StringIndexer
 from pyspark.ml.functions import vector_to_array
@@ -73,7 +75,11 @@ def l1_importance(df: DataFrame, names, label="label", strength=0.01) -> DataFra
     return df.sparkSession.createDataFrame([(n, float(v / top)) for n, v in zip(names, w)], "feature string, importance double")
 
 
-def stacked(df: DataFrame, columns, target: str) -> DataFrame:
-    """Linear stacking of base predictions."""
-    d = vectors(df, columns)
-    return LinearRegression(labelCol=target, regParam=0.0).fit(d).transform(d).withColumnRenamed("prediction", "stacked").drop("features")
+def stacked(df: DataFrame, columns, target: str, key: str = "id", folds: int = 5) -> DataFrame:
+    """Linear stacking of base predictions, out of fold: a row is scored by the fit on the other folds (``key`` decides the fold)."""
+    d = cut(vectors(df, columns).withColumn("_fold", F.pmod(F.xxhash64(key), F.lit(folds)).cast("int")))
+    parts = []
+    for k in range(folds):
+        fit = LinearRegression(labelCol=target, regParam=0.0).fit(d.filter(F.col("_fold") != k))
+        parts.append(fit.transform(d.filter(F.col("_fold") == k)).withColumnRenamed("prediction", "stacked").drop("features", "_fold"))
+    return reduce(DataFrame.unionByName, parts)

@@ -83,3 +83,20 @@ def test_reference_sequence(spark):
     assert (s.transitions, s.dominant, s.dominant_share, s.diversity) == (2, 2, 0.5, 1.0) and np.isclose(s.stability, 1 / 3)
     f = V.reference_features(d).first()
     assert f.dtw_min_distance == 0 and f.dtw_top3_mean == 0
+
+
+def test_stacking_is_out_of_fold(spark):
+    from pyspark.sql import functions as F
+
+    from tapeline.operators import learned
+
+    x = rng.normal(0, 1, (300, 2))
+    y = x @ [2.0, -1.0] + rng.normal(0, 0.3, 300)
+    df = spark.createDataFrame([(i, float(a), float(b), float(t)) for i, ((a, b), t) in enumerate(zip(x, y))], "id long, a double, b double, y double")
+    got = {r.id: r.stacked for r in learned.stacked(df, ["a", "b"], "y").collect()}
+    fold = {r.id: r.k for r in df.select("id", F.pmod(F.xxhash64("id"), F.lit(5)).alias("k")).collect()}
+    k = np.array([fold[i] for i in range(300)])
+    design = np.column_stack([x, np.ones(300)])
+    for f in range(5):
+        w = np.linalg.lstsq(design[k != f], y[k != f], rcond=None)[0]
+        assert np.allclose([got[i] for i in np.flatnonzero(k == f)], design[k == f] @ w, atol=1e-6)
