@@ -134,8 +134,9 @@ def _covers(keyed: DataFrame, length: int) -> DataFrame:
     """(doc, body, first, stop): repeated word ranges at their source coordinates, not merged."""
     key_type = keyed.schema["doc"].dataType.simpleString()
     seg = keyed.select("doc", "body", "text").mapInArrow(lambda b: _segment_rows(b, length), f"anchor long, content long, doc {key_type}, body int, first int, n int")
+    # stored, so that both sides of the join are plain shuffles and a hot anchor can be split
     nodes = seg.groupBy("anchor").agg(F.count("*").alias("c"), F.min("content").alias("low"), F.max("content").alias("high")).filter("c > 1").select("anchor", (F.col("low") != F.col("high")).alias("branching"))
-    met = store(seg.join(nodes, "anchor"))
+    met = store(seg.join(store(nodes), "anchor"))
     branching = met.filter("branching")
     contents = branching.groupBy("anchor", "content").agg(F.count("*").alias("c"), F.min(F.struct("doc", "body", "first", "n")).alias("at"))
     contents = store(contents)
@@ -144,7 +145,7 @@ def _covers(keyed: DataFrame, length: int) -> DataFrame:
     expanded = keyed.select("doc", "body", _packed("text").alias("text")).join(paths, ["doc", "body"]).mapInArrow(lambda b: _edge_rows(b, length), f"w1 long, w2 long, doc {key_type}, body int, first int, weight int")
     edges = store(expanded)
     repeated = edges.groupBy("w1", "w2").agg(F.sum("weight").alias("c")).filter("c > 1").select("w1", "w2")
-    lone = edges.filter("weight = 1").join(repeated, ["w1", "w2"]).select("doc", "body", "first", (F.col("first") + length).alias("stop"))
+    lone = edges.filter("weight = 1").join(store(repeated), ["w1", "w2"]).select("doc", "body", "first", (F.col("first") + length).alias("stop"))
     span = lambda df: df.select("doc", "body", "first", (F.col("first") + F.col("n") + (length - 1)).alias("stop"))
     return span(met.filter("not branching")).unionByName(span(whole)).unionByName(lone)
 
