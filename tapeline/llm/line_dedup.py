@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapeline.functions.lineage import store
 from tapeline.llm.common import BLANK, join_same, keyed, text_of, unpack
 
 SIZE = 3
@@ -38,7 +39,8 @@ def removed_ranges(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """(doc_id, body, ranges array<struct<start, stop>>): merged line ranges that go, stop exclusive, in order."""
     found = windows(docs, size)
     place = F.struct("doc_id", "body", "first_line")
-    first = found.groupBy("h1", "h2").agg(F.min(place).alias("kept_at"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    # stored, so that both sides of the join are plain shuffles and a very common window can be split
+    first = store(found.groupBy("h1", "h2").agg(F.min(place).alias("kept_at"), F.count("*").alias("n")).filter("n > 1").drop("n"))
     later = found.join(first, ["h1", "h2"]).filter(~place.eqNullSafe(F.col("kept_at")))
     of_doc = Window.partitionBy("doc_id", "body").orderBy("first_line")
     cover = later.select("doc_id", "body", "first_line", (F.col("last_line") + 1).alias("stop")).distinct()
