@@ -92,7 +92,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner:
     marked = store(docs.select(F.monotonically_increasing_id().alias("row_no"), F.col(id_col).alias("doc_id"), owner.alias("owner"), repository.alias("repository"), _candidates(F.col(text_col).cast("string")).alias("found")))
     each = marked.select("row_no", "owner", "repository", F.explode("found").alias("c")).select("row_no", "owner", "repository", "c.*")
     verdict = F.when(F.col("owners") >= example_owners, "example").when(F.col("live"), "live").otherwise("plain")
-    judged = each.join(ownership(each), "value").withColumn("verdict", verdict).filter((F.col("kind") < 3) | (F.col("verdict") == "live"))
+    judged = each.join(store(ownership(each)), "value").withColumn("verdict", verdict).filter((F.col("kind") < 3) | (F.col("verdict") == "live"))
     spans = judged.groupBy("row_no").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "stop", "verdict", "owners", "repositories"))).alias("spans"))
     return marked.select("row_no", "doc_id").join(spans, "row_no", "left").select("doc_id", "spans")
 
