@@ -35,7 +35,7 @@ def cell(by, at: Column) -> Column:
 
 
 def of_cell(by) -> list[Column]:
-    return [F.col(f"_k.{c}") for c in by]
+    return [F.col(f"_cell.{c}") for c in by]
 
 
 def number_rows(df: DataFrame, order, bucket: Column, by=SERIES, name="seq") -> DataFrame:
@@ -46,16 +46,16 @@ def number_rows(df: DataFrame, order, bucket: Column, by=SERIES, name="seq") ->
     only per-key window runs over one summary row per bucket.  Rows with a NULL
     key form a series; rows with a NULL order value come first.
     """
-    df = df.withColumn("_k", cell(by, bucket))
-    sizes = df.groupBy("_k").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*of_cell(by)).orderBy("_k._at").rowsBetween(Window.unboundedPreceding, -1)
-    shift = sizes.select("_k", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    local = F.row_number().over(Window.partitionBy("_k").orderBy(*order))
+    df = df.withColumn("_cell", cell(by, bucket))
+    sizes = df.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*of_cell(by)).orderBy("_cell._at").rowsBetween(Window.unboundedPreceding, -1)
+    shift = sizes.select("_cell", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    local = F.row_number().over(Window.partitionBy("_cell").orderBy(*order))
     return (
         df.withColumn("_rn", local)
-        .join(shift, "_k")
+        .join(shift, "_cell")
         .withColumn(name, F.col("_off") + F.col("_rn") - 1)
-        .drop("_k", "_rn", "_off")
+        .drop("_cell", "_rn", "_off")
     )
 
 
@@ -125,8 +125,8 @@ def running(df: DataFrame, specs: dict, by=SERIES, reverse=False) -> DataFrame:
     the end of the series (used for next-non-null).
     """
     key = F.col("seq").desc() if reverse else F.col("seq").asc()
-    ckey = F.col("_k._at").desc() if reverse else F.col("_k._at").asc()
-    df = df.withColumn("_k", cell(by, F.floor(F.col("seq") / F.lit(CHUNK))))
+    ckey = F.col("_cell._at").desc() if reverse else F.col("_cell._at").asc()
+    df = df.withColumn("_cell", cell(by, F.floor(F.col("seq") / F.lit(CHUNK))))
     for name, (expr, _) in specs.items():
         df = df.withColumn("_x_" + name, expr)
     totals = []
@@ -139,14 +139,14 @@ def running(df: DataFrame, specs: dict, by=SERIES, reverse=False) -> DataFrame:
             t = _AGG[kind](x)
         totals.append(t.alias("_t_" + name))
     earlier = Window.partitionBy(*of_cell(by)).orderBy(ckey).rowsBetween(Window.unboundedPreceding, -1)
-    carry = df.groupBy("_k").agg(*totals).select("_k", *[_AGG[k](F.col("_t_" + n)).over(earlier).alias("_p_" + n) for n, (_, k) in specs.items()])
-    so_far = Window.partitionBy("_k").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
+    carry = df.groupBy("_cell").agg(*totals).select("_cell", *[_AGG[k](F.col("_t_" + n)).over(earlier).alias("_p_" + n) for n, (_, k) in specs.items()])
+    so_far = Window.partitionBy("_cell").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
     for name, (_, kind) in specs.items():
         df = df.withColumn("_x_" + name, _AGG[kind](F.col("_x_" + name)).over(so_far))
-    df = df.join(carry, "_k")
+    df = df.join(carry, "_cell")
     for name, (_, kind) in specs.items():
         df = df.withColumn(name, _COMBINE[kind](F.col("_p_" + name), F.col("_x_" + name)))
-    return df.drop("_k", *["_x_" + n for n in specs], *["_p_" + n for n in specs])
+    return df.drop("_cell", *["_x_" + n for n in specs], *["_p_" + n for n in specs])
 
 
 def _slowest_decay(a: float, chunk: int) -> float:
@@ -171,11 +171,11 @@ def ewm(df: DataFrame, specs: dict, by=SERIES) -> DataFrame:
     """
     q_of = {name: max(1.0 - a, 1e-300) for name, (_, a) in specs.items()}
     chunk = max(1, min(EMA_CHUNK, *(int(575 / -math.log(q)) for q in q_of.values())))
-    df = df.withColumn("_k", cell(by, F.floor(F.col("seq") / F.lit(chunk))))
-    w = Window.partitionBy("_k").orderBy("seq")
+    df = df.withColumn("_cell", cell(by, F.floor(F.col("seq") / F.lit(chunk))))
+    w = Window.partitionBy("_cell").orderBy("seq")
     so_far, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
     key = of_cell(by)
-    earlier = Window.partitionBy(*key).orderBy("_k._at").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*key).orderBy("_cell._at").rowsBetween(Window.unboundedPreceding, -1)
     ends, chained, linked, outs = [], [], [], []
     for name, (expr, _) in specs.items():
         df = df.withColumn("_x_" + name, expr.cast("double"))
@@ -195,17 +195,17 @@ def ewm(df: DataFrame, specs: dict, by=SERIES) -> DataFrame:
         scale, tail, v, past = F.exp("_c_" + n), F.col("_l_" + n), F.col("_v_" + n), F.col("_a_" + n)
         whole = scale * v + tail
         step = F.struct(F.coalesce(scale * past, F.lit(0.0)).alias("a"), F.coalesce(scale * (1 - past) * v + tail, whole).alias("b"), whole.alias("whole"))
-        recent = Window.partitionBy(*key, F.col("_v_" + n).isNotNull()).orderBy("_k._at").rowsBetween(-depth, 0)
+        recent = Window.partitionBy(*key, F.col("_v_" + n).isNotNull()).orderBy("_cell._at").rowsBetween(-depth, 0)
         fold = F.aggregate(F.collect_list(step).over(recent), F.lit(None).cast("double"), lambda y, m: F.coalesce(m.a * y + m.b, m.whole))
         linked.append(F.when(v.isNotNull(), fold).alias("_o_" + n))
-    carry = df.groupBy("_k").agg(*ends).select("*", *chained).select("*", *linked)
-    carry = carry.select("_k", *[c for n in specs for c in (F.col("_a_" + n), F.col("_v_" + n), F.last("_o_" + n, ignorenulls=True).over(earlier).alias("_p_" + n))])
-    out = df.join(carry, "_k")
+    carry = df.groupBy("_cell").agg(*ends).select("*", *chained).select("*", *linked)
+    carry = carry.select("_cell", *[c for n in specs for c in (F.col("_a_" + n), F.col("_v_" + n), F.last("_o_" + n, ignorenulls=True).over(earlier).alias("_p_" + n))])
+    out = df.join(carry, "_cell")
     for n in specs:
         past, v, before = F.col("_a_" + n), F.col("_v_" + n), F.col("_p_" + n)
         start = F.coalesce(past * before + (1 - past) * v, v)
         outs.append(F.when(F.col("_f_" + n).isNull(), before).otherwise(F.exp("_c_" + n) * start + F.col("_l_" + n)).alias(n))
-    held = [c for c in out.columns if not (c[:1] == "_" and any(c == p + n for p in ("_x_", "_s_", "_g_", "_c_", "_l_", "_f_", "_a_", "_v_", "_p_") for n in specs)) and c != "_k" and c not in specs]
+    held = [c for c in out.columns if not (c[:1] == "_" and any(c == p + n for p in ("_x_", "_s_", "_g_", "_c_", "_l_", "_f_", "_a_", "_v_", "_p_") for n in specs)) and c != "_cell" and c not in specs]
     return out.select(*held, *outs)
 
 
@@ -240,19 +240,19 @@ def ranked_values(df: DataFrame, by, value: str, buckets: int | None = None) ->
     d = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
     cuts = F.percentile_approx(value, [i / buckets for i in range(1, buckets)], F.lit(max(1000, 10 * buckets))).alias("_cuts")
     if by:
-        summary = d.groupBy(F.struct(*by).alias("_g")).agg(cuts)
-        d = d.withColumn("_g", F.struct(*by)).join(summary, "_g").drop("_g")
+        summary = d.groupBy(F.struct(*by).alias("_series")).agg(cuts)
+        d = d.withColumn("_series", F.struct(*by)).join(summary, "_series").drop("_series")
     else:
         d = d.crossJoin(F.broadcast(d.agg(cuts)))
-    d = d.withColumn("_k", cell(by, F.size(F.filter("_cuts", lambda c: c < F.col(value))))).drop("_cuts")
-    sizes = d.groupBy("_k").agg(F.sum("n").alias("_bn"))
-    earlier = Window.partitionBy(*of_cell(by)).orderBy("_k._at").rowsBetween(Window.unboundedPreceding, -1)
+    d = d.withColumn("_cell", cell(by, F.size(F.filter("_cuts", lambda c: c < F.col(value))))).drop("_cuts")
+    sizes = d.groupBy("_cell").agg(F.sum("n").alias("_bn"))
+    earlier = Window.partitionBy(*of_cell(by)).orderBy("_cell._at").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*of_cell(by))
-    shift = sizes.select("_k", F.coalesce(F.sum("_bn").over(earlier), F.lit(0)).alias("_off"), F.sum("_bn").over(whole).alias("total"))
-    inner = Window.partitionBy("_k").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    shift = sizes.select("_cell", F.coalesce(F.sum("_bn").over(earlier), F.lit(0)).alias("_off"), F.sum("_bn").over(whole).alias("total"))
+    inner = Window.partitionBy("_cell").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     return (
         d.withColumn("_in", F.coalesce(F.sum("n").over(inner), F.lit(0)))
-        .join(shift, "_k")
+        .join(shift, "_cell")
         .select(*by, value, (F.col("_off") + F.col("_in")).alias("below"), "n", "total")
     )
 
