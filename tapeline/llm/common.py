@@ -52,3 +52,10 @@ def raw(column: pa.Array) -> list:
 def word_count(text: Column) -> Column:
     """Words of a text; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def pieces(batches, rows: int = 1000):
+    """Arrow batches cut to at most so many rows, so that a worker holds the Python values of few texts at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

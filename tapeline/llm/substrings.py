@@ -27,7 +27,7 @@ from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, IntegralType, LongType, StructField, StructType
 
 from tapeline.functions.lineage import store
-from tapeline.llm.common import raw
+from tapeline.llm.common import pieces, raw
 
 LENGTH, ANCHOR = 35, 8
 _LOW = np.uint64((1 << 20) - 1)
@@ -88,7 +88,7 @@ def segments_of(text: bytes | None, length: int = LENGTH):
 
 
 def _segment_rows(batches, length):
-    for batch in batches:
+    for batch in pieces(batches):
         found, owner = [], []
         for i, text in enumerate(raw(batch.column("text"))):
             got = segments_of(text, length)
@@ -103,7 +103,7 @@ def _segment_rows(batches, length):
 
 def _edge_rows(batches, length):
     """Digests of the windows of the listed segments of each text; ``weight`` 2 for a segment that is repeated as it stands."""
-    for batch in batches:
+    for batch in pieces(batches):
         digests, owner, place, weight = [], [], [], []
         for i, (text, paths) in enumerate(zip(_unpacked(batch.column("text")), batch.column("paths").to_pylist(), strict=True)):
             words = text.split()
@@ -151,7 +151,7 @@ def _covers(keyed: DataFrame, length: int) -> DataFrame:
 
 
 def _cut_rows(batches):
-    for batch in batches:
+    for batch in pieces(batches):
         n_words, n_removed, starts, stops, text = [], [], [], [], []
         for t, ranges in zip(_unpacked(batch.column("text")), batch.column("ranges").to_pylist(), strict=True):
             words = t.split()
