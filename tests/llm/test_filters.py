@@ -86,6 +86,29 @@ def test_licenses(spark):
     assert licenses.scan(frame(spark, [])).count() == 0
 
 
+#: official notices, one line for each paragraph
+NOTICES = {
+    "Apache-2.0": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at\n\nhttp://www.apache.org/licenses/LICENSE-2.0',
+    "GPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.\n\nThis program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "BSD-3-Clause": "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n\n3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "CC-BY-4.0": "Licensed under CC BY 4.0.", "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.", "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.", "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
+}
+
+
+def test_official_notices(spark):
+    """Each notice, whole and wrapped, and each rule's SPDX line above a wrapped notice of another licence."""
+    import textwrap
+
+    wrap = lambda t: "\n\n".join(textwrap.fill(p, 60) for p in t.split("\n\n"))
+    star = lambda t: "/*\n" + "\n".join(" * " + line for line in wrap(t).split("\n\n")[0].split("\n"))
+    cases = [(name, form(text)) for name, text in NOTICES.items() for form in (str, wrap)] + [("MPL-2.0", star(NOTICES["MPL-2.0"]))]
+    cases += [(",".join(sorted({name, "MIT"})), f"SPDX-License-Identifier: MIT\nint x;\n\n{wrap(text)}") for name, text in NOTICES.items()]
+    cases += [("Apache-2.0,GPL-2.0", "# SPDX-License-Identifier: Apache-2.0\nint x;\n\n" + NOTICES["GPL-2.0"].replace(" Public", "\nPublic"))]
+    got = {r["doc_id"]: r["licenses"] for r in licenses.scan(frame(spark, [(i, t, None, None, 0) for i, (_, t) in enumerate(cases)])).collect()}
+    assert [(got[i], t) for i, (_, t) in enumerate(cases)] == cases
+
+
 def brute_fingerprint(t):
     w = WORD.findall("".join(c.lower() if c.isascii() else c for c in t or ""))
     if not w:
