@@ -25,7 +25,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import LongType
 
 from tapeline.functions.lineage import cut, parts_for, store
-from tapeline.llm.common import join_same, key_of, keyed, unpack
+from tapeline.llm.common import key_of, keyed, text_of, unpack
 from tapeline.llm.graph import components
 
 SHINGLE = 3
@@ -198,21 +198,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     marked = store(fingerprints(docs, id_col, text_col))
     fps = marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    roots = components(links(fps, block)).withColumnRenamed("node", "fp")
-    classes = cut(fps.join(roots, "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root")), parts_for(marked.count()))
+    classes = _rooted(fps, marked.count(), block)
     named = classes.join(classes.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("fp", "component_id")
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def _rooted(fps: DataFrame, rows: int, block: int) -> DataFrame:
+    """``fps`` (one row for each fingerprint) with the ``root`` of its component."""
+    roots = components(links(fps.select("fp"), block)).withColumnRenamed("node", "fp")
+    return cut(fps.join(roots, "fp", "left").select(*fps.columns, F.coalesce("root", "fp").alias("root")), parts_for(rows))
+
+
 def hex_fingerprint(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each component: the smallest doc_id, and of repeated ids the smallest text hash."""
-    groups = near_duplicates(docs, id_col, text_col).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+    """``docs`` with one row of each component: the smallest doc_id (null last), and of repeated ids the smallest text hash.
+
+    Components of null ids only keep one row each. Components that share their smallest doc_id keep one row together, so ids stay unique.
+    """
     packed = keyed(docs, id_col, text_col)
-    first = join_same(packed.select("doc_id", "body"), groups, ["doc_id"]).groupBy("doc_id").agg(F.min("body").alias("body")).select(key_of("doc_id", "body").alias("key"))
+    marked = store(packed.select("doc_id", "body", _fingerprints(text_of(text_col).cast("binary")).alias("fp")))
+    least = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.col("body").isNull().alias("no_text"), "body")
+    fps = marked.groupBy("fp").agg(F.min(least).alias("least"))
+    roots = _rooted(fps, marked.count(), block).groupBy("root").agg(F.min("least").alias("least"))
+    first = roots.groupBy("least.doc_id", F.when(F.col("least.no_id"), F.col("root")).alias("root")).agg(F.min("least").alias("least")).select(key_of("least.doc_id", "least.body").alias("key"))
     chosen = packed.select(key_of("doc_id", "body").alias("key"), "row").join(first, "key", "left_semi")
     numbered = chosen.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy(F.lit(0))))
     return numbered.filter("nth = 1").select(*unpack(numbered, docs.columns))

@@ -152,6 +152,18 @@ def test_near_duplicates(spark):
     assert simhash.near_duplicates(frame(spark, [])).count() == 0
 
 
+def test_one_of_each_component(spark):
+    """Different texts without an id keep one row each; an id that is not the smallest of its other component stands for its own one only."""
+    import random
+
+    rng = random.Random(11)
+    a, b, c, d, e = (words(rng, 90) for _ in range(5))
+    rows = [(None, a, "en", "s", 0), (None, b, "en", "s", 0), (None, b, "en", "s", 0), (5, c, "en", "s", 0), (5, d, "en", "s", 0), (3, d, "en", "s", 0), (None, d, "en", "s", 0), (7, e, "en", "s", 0), (None, None, "en", "s", 0)]
+    assert len({brute_fingerprint(t) for t in (a, b, c, d, e)}) == 5
+    want = Counter([(None, a), (None, b), (5, c), (3, d), (7, e), (None, None)])
+    assert Counter((r["doc_id"], r["text"]) for r in simhash.keep_one(frame(spark, rows, CLASHES)).collect()) == want
+
+
 @pytest.mark.parametrize("block", [4096, 8])
 def test_links(spark, block):
     """A dense cluster, chains and noise; a small block forces the finer lists and the neighbour table."""
