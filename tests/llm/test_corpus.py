@@ -148,6 +148,24 @@ def test_pages(spark):
     assert html_text.main_text(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("html,own", [
+    ("<html><head><title>t</title><meta charset=utf-8><body><article><p>text</article>", ["text"]),
+    ("<!doctype html><title>t</title><head><link rel=x><script>var a</script><noscript><img>no</noscript><div><main>text</main></div>", ["text"]),
+    ("<head><title>t</title>bare <b>text</b>", ["bare text"]),
+    ("<head><title>t</title></head><body><p>text</p>", ["text"]),
+    ('<body><nav>n</nav><div class="has-sidebar"><article><header>h</header><p>text</p></article><p>beside</p></div><footer>f</footer>', ["h", "text"]),
+    ('<div class="no-footer"><p>beside</p><main><p>text</p></main></div>', ["text"]),
+    ('<main><h1>title</h1><div class="with-menu"><p>beside</p><article>text</article></div></main>', ["title", "text"]),
+    ('<p>open</p><div class="sidebar"><div class="widget"><article>teaser</article></div></div>', ["open", "teaser"]),
+    ('<main>text<div class="sidebar"><article>in main</article></div></main><div class="sidebar"><article>teaser</article></div>', ["text", "in main"]),
+    ('<p>text</p><div class="comments"><article>first!</article></div><div class="related-posts"><article>other</article></div>', ["text"]),
+    ('<article>text<div class="related"><article>other</article></div></article><div class="has-sidebar"><article>teaser</article></div>', ["text"]),
+])
+def test_page_forms(html, own):
+    """Heads that nothing closes, and articles in wrappers with class names of furniture."""
+    assert html_text.blocks(html)[1] == own
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_oracle(spark, root, name):
     assert compare(QUERIES[name](spark, root).toPandas(), connect(root).execute(ORACLES[name]).df()) == "ok"
