@@ -148,6 +148,15 @@ def test_pages(spark):
     assert html_text.main_text(df.limit(0)).count() == 0
 
 
+def test_copies_of_pages(spark):
+    """Exact copies of a page without marks keep their text; what distinct pages repeat goes."""
+    page = "<body><p>a long text of one page only that is stored twice</p></body>"
+    rows = [(i, "http://c.example/", page) for i in range(3)] + [(9, "http://c.example/9", "<body><p>another page</p></body>")]
+    rows += [(10 + i, f"http://d.example/{i}", f"<body><p>the same notice stands on each page</p><p>text {w}</p></body>") for i, w in enumerate("red green".split())]
+    got = dict(html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).select("page_id", "text").collect())
+    assert got == {**{i: "a long text of one page only that is stored twice" for i in range(3)}, 9: "another page", 10: "text red", 11: "text green"}
+
+
 @pytest.mark.parametrize("html,own", [
     ("<html><head><title>t</title><meta charset=utf-8><body><article><p>text</article>", ["text"]),
     ("<!doctype html><title>t</title><head><link rel=x><script>var a</script><noscript><img>no</noscript><div><main>text</main></div>", ["text"]),
