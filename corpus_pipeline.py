@@ -19,7 +19,10 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
+    """One document of each group of near-duplicates stays, by the rule of ``op7``: words in threes, fingerprints at most three bits apart.
+
+    Near copies are not compared by their five-word shingles at 0.8; the README has the share of such pairs that the rule links.
+    """
     return simhash.keep_one(docs)
 
 
