@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeline.llm import chat, decontaminate, html_text, licenses, line_dedup, mixing, quality_rules, secrets, simhash, substrings
+from tapeline.llm import chat, decontaminate, html_text, lexical, licenses, line_dedup, mixing, quality_rules, secrets, simhash, substrings
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -175,3 +175,21 @@ SELECT doc_id, CAST(len(l) AS BIGINT) AS n_lines, coalesce(n_removed, 0) AS n_re
 FROM doc LEFT JOIN rest USING (doc_id) LEFT JOIN n USING (doc_id)""")
 def op10_line_dedup(spark, root):
     return line_dedup.dedup_lines(table(spark, root, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+
+
+_TERMS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+
+
+@query("op11_lexical_search", sql=rf"""
+WITH t AS (SELECT doc_id, {_TERMS} AS w FROM documents),
+n AS (SELECT doc_id, len(w) AS n FROM t WHERE len(w) > 0),
+g AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS l FROM n),
+b AS (SELECT item_id, term, count(*) AS c FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY ALL),
+p AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM t) SEMI JOIN b USING (term) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM p GROUP BY term), g),
+s AS (SELECT item_id, doc_id, CAST(sum(c * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // l)))) AS BIGINT) AS score
+  FROM b JOIN w USING (term) JOIN p USING (term) JOIN n USING (doc_id), g GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= 20""")
+def op11_lexical_search(spark, root):
+    return lexical.search(table(spark, root, "documents"), table(spark, root, "benchmark"))
