@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeline.llm import chat, decontaminate, html_text, lexical, licenses, line_dedup, mixing, quality_rules, secrets, simhash, substrings
+from tapeline.llm import chat, decontaminate, html_text, lexical, licenses, line_dedup, mixing, quality_rules, secrets, simhash, spelling, substrings
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -193,3 +193,27 @@ SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC
 FROM s WHERE score > 0 QUALIFY rank <= 20""")
 def op11_lexical_search(spark, root):
     return lexical.search(table(spark, root, "documents"), table(spark, root, "benchmark"))
+
+
+_A_Z = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+
+@query("op12_spelling", sql=rf"""
+WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda x: list_reduce([x, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t),
+run AS (SELECT doc_id, run, count(*) AS c FROM (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), {_A_Z}), '[a-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents)
+  WHERE length(run) >= 7 GROUP BY ALL),
+bytes AS (SELECT run, c, flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''),
+  lambda x: CASE WHEN unicode(x) < 128 THEN [CAST(unicode(x) AS BIGINT)] ELSE [192 | (unicode(x) >> 6), 128 | (unicode(x) & 63)] END)) AS b FROM run),
+hash AS (SELECT run, c, xor(list_reduce(list_prepend(4294967295, b), lambda h, x: xor(h >> 8, t[xor(h & 255, x) + 1])), 4294967295) AS h FROM bytes, crc),
+w AS (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM (SELECT c, CASE WHEN h % 31 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM hash)
+  WHERE length(word) >= 7 GROUP BY word HAVING sum(c) >= 2),
+d AS (SELECT word, n, j, left(word, j - 1) AS a, substr(word, j + 1) AS b FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS j FROM w)),
+del AS (SELECT DISTINCT d.word, d.n, w.word AS other, w.n AS other_n FROM d JOIN w ON w.word = d.a || d.b),
+near AS (SELECT * FROM del UNION ALL SELECT other, other_n, word, n FROM del
+  UNION ALL SELECT x.word, x.n, y.word, y.n FROM d x JOIN d y ON x.a = y.a AND x.b = y.b AND x.j = y.j AND x.word <> y.word),
+best AS (SELECT word, count(*) AS n_near, first(other ORDER BY other_n DESC, other) AS form, max(other_n) AS form_n FROM near GROUP BY word),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 10 * w.n THEN form END AS form, CASE WHEN form_n >= 10 * w.n THEN form_n END AS form_n FROM w LEFT JOIN best USING (word)),
+chain AS (SELECT word, word AS root FROM f UNION ALL SELECT chain.word, f.form FROM chain JOIN f ON f.word = chain.root WHERE f.form IS NOT NULL)
+SELECT f.*, root FROM f JOIN chain USING (word) SEMI JOIN (SELECT word AS root FROM f WHERE form IS NULL) AS done USING (root)""")
+def op12_spelling(spark, root):
+    return spelling.group_variants(table(spark, root, "documents"))
