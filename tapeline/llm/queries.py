@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeline.llm import chat, decontaminate, html_text, lexical, licenses, line_dedup, mixing, quality_rules, secrets, simhash, spelling, substrings
+from tapeline.functions.lineage import shared_folder
+from tapeline.llm import chat, decontaminate, html_text, lexical, licenses, line_dedup, mixing, quality_rules, secrets, simhash, spelling, substrings, token_files
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -217,3 +220,13 @@ chain AS (SELECT word, word AS root FROM f UNION ALL SELECT chain.word, f.form F
 SELECT f.*, root FROM f JOIN chain USING (word) SEMI JOIN (SELECT word AS root FROM f WHERE form IS NULL) AS done USING (root)""")
 def op12_spelling(spark, root):
     return spelling.group_variants(table(spark, root, "documents"))
+
+
+@query("op13_token_files")
+def op13_token_files(spark, root):
+    import public_tokenizers
+
+    docs = table(spark, root, "documents")
+    folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    token_files.write(docs, folder, public_tokenizers.path("word_bpe_49k.json"), end=1, by_word=True)
+    return token_files.read(spark, folder, docs).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
