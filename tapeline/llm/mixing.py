@@ -66,15 +66,27 @@ def _pivot(size: list[float], frac: list[float], draw: list[float]) -> list[floa
     return frac
 
 
-def _round_group(table: pa.Table) -> pa.Table:
+def _draws(h: np.ndarray, level: int) -> np.ndarray:
+    """Numbers in [0, 1) from hashes, new ones on each level of the tree."""
+    x = h + np.uint64((level + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) / 2.0**53
+
+
+def _round_group(table: pa.Table, level: int) -> pa.Table:
     h = table["h"].to_numpy().astype(np.uint64)
     order = np.lexsort((table["size"].to_numpy(), h))
-    draw = ((h[order] * np.uint64(0xD1342543DE82EF95) + np.uint64(0x63652A4CD374B267)) >> np.uint64(11)).astype(np.float64) / 2.0**53
+    draw = _draws(h[order], level)
     done = np.empty(len(order))
     done[order] = _pivot(table["size"].to_numpy()[order].astype(float).tolist(), table["frac"].to_numpy()[order].tolist(), draw.tolist())
     return table.set_column(table.schema.get_field_index("frac"), "frac", pa.array(done))
 
 
+def _rounding(level: int):
+    return lambda table: _round_group(table, level)
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: float = MOST, leaf: int = LEAF, fan: int = FAN, seed: int = SEED) -> DataFrame:
     """(doc_id, body, nth, source, size, source_size, target, copies, part, taken).
 
@@ -91,13 +103,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     buckets = F.greatest(F.ceil(F.col("n_docs") / leaf), F.lit(1)).cast("long")
     rows = rows.withColumn("frac", F.when(F.col("frac") < _SNAP, 0.0).otherwise(F.col("frac"))).withColumn("bucket", F.pmod("h", buckets)).withColumn("n_docs", buckets)
     parts = parts_for(sized.count(), 100_000)
-    settled, level = [], store(rows.groupBy("source", "bucket").applyInArrow(_round_group, rows.schema), parts)
+    settled, depth, level = [], 0, store(rows.groupBy("source", "bucket").applyInArrow(_rounding(0), rows.schema), parts)
     n = level.agg(F.max("n_docs")).first()[0] or 1
     is_open = (F.col("frac") > 0) & (F.col("frac") < 1)
     while n > 1:
         settled.append(level.filter(~is_open))
         again = level.filter(is_open).withColumn("bucket", F.floor(F.col("bucket") / fan).cast("long"))
-        level, n = store(again.groupBy("source", "bucket").applyInArrow(_round_group, again.schema), parts), -(-n // fan)
+        depth += 1
+        level, n = store(again.groupBy("source", "bucket").applyInArrow(_rounding(depth), again.schema), parts), -(-n // fan)
     every = level
     for part in settled:
         every = every.unionByName(part)

@@ -4,6 +4,8 @@ import hashlib
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -137,6 +139,24 @@ def test_mix(spark, leaf, fan):
     assert mixing.mix(frame(spark, [])).count() == 0 and mixing.mixed_documents(frame(spark, [])).count() == 0
 
 
+def test_mix_is_fair():
+    """Over many seeds every document gets its fraction on average, also those that meet again further up the tree."""
+    rng = np.random.default_rng(5)
+    frac, size, trials = rng.uniform(0.1, 0.9, 9), rng.integers(1, 40, 9), 6000
+    total = np.zeros(9)
+    for _ in range(trials):
+        h = rng.integers(-(1 << 63), 1 << 63, 9, dtype=np.int64)
+        now = frac.copy()
+        for level, groups in enumerate(([range(0, 3), range(3, 6), range(6, 9)], [range(9)])):
+            for g in groups:
+                rows = [k for k in g if level == 0 or 0 < now[k] < 1]
+                if rows:
+                    now[rows] = mixing._round_group(pa.table({"h": h[rows], "size": size[rows], "frac": now[rows]}), level)["frac"].to_numpy()
+        assert abs((now * size).sum() - (frac * size).sum()) < 1e-6 and sum(0 < x < 1 for x in now) <= 1
+        total += now
+    assert (np.abs(total / trials - frac) < 4.5 * np.sqrt(frac * (1 - frac) / trials)).all()
+
+
 def test_pages(spark):
     shell = '<html><head><title>t</title><script>x("</p>")</script></head><body><nav><a>Home</a></nav><div class="cookie-notice">We use cookies here now</div>{}<footer>f</footer></body></html>'
     marked = shell.format('<article><h1>Head &amp; more</h1><p>one\n two<br>three<p><b>four<div class="ad">buy</div><section id="comments"><p>first!</p></section></article>')
