@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
-from pyspark.sql.types import ArrayType, BinaryType, IntegerType, IntegralType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
 from tapeline.functions.lineage import store
 from tapeline.llm.common import pieces, raw
@@ -32,6 +32,7 @@ from tapeline.llm.common import pieces, raw
 LENGTH, ANCHOR = 35, 8
 _LOW = np.uint64((1 << 20) - 1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_SEED = 20_26
 _PIECE = 1 << 19  # windows handled at once
 
 
@@ -122,18 +123,16 @@ def _edge_rows(batches, length):
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, body, rest, text): a key without nulls, a short text hash for ids that occur twice, the other columns, the text."""
-    c = F.col(id_col)
-    doc = F.coalesce(c.cast("long"), F.lit(-(1 << 63))) if isinstance(docs.schema[id_col].dataType, IntegralType) else F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("-"))
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    """(doc, body, rest, text): two independent 64-bit hashes of id and text, which together name a document; the other columns; the text."""
+    doc, text = F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rest = F.struct(*[F.col(f"`{x}`") for x in docs.columns if x != text_col])
-    return docs.select(doc.alias("doc"), F.hash(text).alias("body"), rest.alias("rest"), text.cast("binary").alias("text"))
+    known = F.coalesce(doc.cast("string"), F.lit("")), doc.isNull(), text, F.octet_length(text)
+    return docs.select(F.xxhash64(*known).alias("doc"), F.xxhash64(F.lit(_SEED), *known).alias("body"), rest.alias("rest"), text.cast("binary").alias("text"))
 
 
 def _covers(keyed: DataFrame, length: int) -> DataFrame:
     """(doc, body, first, stop): repeated word ranges at their source coordinates, not merged."""
-    key_type = keyed.schema["doc"].dataType.simpleString()
-    seg = keyed.select("doc", "body", "text").mapInArrow(lambda b: _segment_rows(b, length), f"anchor long, content long, doc {key_type}, body int, first int, n int")
+    seg = keyed.select("doc", "body", "text").mapInArrow(lambda b: _segment_rows(b, length), "anchor long, content long, doc long, body long, first int, n int")
     # stored, so that both sides of the join are plain shuffles and a hot anchor can be split
     nodes = seg.groupBy("anchor").agg(F.count("*").alias("c"), F.min("content").alias("low"), F.max("content").alias("high")).filter("c > 1").select("anchor", (F.col("low") != F.col("high")).alias("branching"))
     met = store(seg.join(store(nodes), "anchor"))
@@ -142,7 +141,7 @@ def _covers(keyed: DataFrame, length: int) -> DataFrame:
     contents = store(contents)
     whole = branching.join(contents.filter("c > 1").select("anchor", "content"), ["anchor", "content"])
     paths = contents.select("at.doc", "at.body", F.struct("at.first", "at.n", F.least("c", F.lit(2)).cast("int").alias("weight")).alias("p")).groupBy("doc", "body").agg(F.collect_list("p").alias("paths"))
-    expanded = keyed.select("doc", "body", _packed("text").alias("text")).join(paths, ["doc", "body"]).mapInArrow(lambda b: _edge_rows(b, length), f"w1 long, w2 long, doc {key_type}, body int, first int, weight int")
+    expanded = keyed.select("doc", "body", _packed("text").alias("text")).join(paths, ["doc", "body"]).mapInArrow(lambda b: _edge_rows(b, length), "w1 long, w2 long, doc long, body long, first int, weight int")
     edges = store(expanded)
     repeated = edges.groupBy("w1", "w2").agg(F.sum("weight").alias("c")).filter("c > 1").select("w1", "w2")
     lone = edges.filter("weight = 1").join(store(repeated), ["w1", "w2"]).select("doc", "body", "first", (F.col("first") + length).alias("stop"))
@@ -175,7 +174,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     ``rest`` holds the columns other than the text, ``starts`` and ``stops`` the merged spans that go (in words, stop exclusive), ``kept`` the remaining words
     joined by one space. All occurrences go, the first included. Null, empty and short texts (fewer than ``length`` words) lose nothing. Repeated rows
-    are documents of their own, so each repeats the other and both lose all windows.
+    are documents of their own, so each repeats the other and both lose all windows. An empty table gives no rows.
     """
     keyed = _keyed(docs, id_col, text_col)
     ranges = _covers(keyed, length).groupBy("doc", "body").agg(F.collect_set(F.struct("first", "stop")).alias("ranges"))

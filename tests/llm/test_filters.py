@@ -198,6 +198,17 @@ def brute_substrings(rows, length=35):
     return sorted(out, key=repr)
 
 
+def test_substrings_same_hash(spark):
+    """Two texts with one null id whose 32-bit hashes agree: the shorter must not get the ranges of the longer."""
+    tail = " ".join(f"w{i}" for i in range(60))
+    short = spark.range(150_000).select(F.concat(F.lit("short "), F.col("id")).alias("a")).withColumn("h", F.hash("a"))
+    long = spark.range(150_000).select(F.concat(F.col("id"), F.lit(" " + tail)).alias("b")).withColumn("h", F.hash("b"))
+    pair = short.join(long, "h").first()
+    rows = [(None, pair["a"], None, None, None), (None, pair["b"], None, None, None), (3, f"other {tail}", None, None, None)]
+    got = {(r["doc_id"], r["n_words"]): r["n_removed"] for r in substrings.remove_repeats(frame(spark, rows)).select("rest.doc_id", "n_words", "n_removed").collect()}
+    assert got == {(None, 2): 0, (None, 61): 60, (3, 61): 60}
+
+
 def test_substrings(spark):
     import random
 
