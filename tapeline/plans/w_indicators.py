@@ -243,11 +243,12 @@ _CAT = (SMA + list(_E) + "wma_10 wma_20 hma_20 rsi_14 rsi_21 macd macd_signal ma
         + ["ichimoku_" + c for c in _IC.split()] + ["supertrend_10_3"])
 
 
+# prices picked as they are, or halves of two, are exact and stay unrounded (rounding meets ties); sums of many are not
 _PARTS = "w01_sma w02_ema w03_wma_hma w04_rsi w05_macd w06_stochastic w07_roc w08_cci w09_mfi w10_bollinger w11_atr w12_rolling_std w13_channels w14_volume_lines w15_vwap w16_cmf w17_adx w18_aroon w20_ichimoku w21_supertrend".split()
 _PICK = {"ichimoku_" + c: f"w20_ichimoku.{c}" for c in _IC.split()} | {"supertrend_10_3": "w21_supertrend.supertrend"}
 _JOINED = " JOIN ".join(f"({re.sub('bars_[dh]', 'bars_b', ORACLES[n][1])}) {n}" + (" USING (symbol, seq)" if i else "") for i, n in enumerate(_PARTS))
 
 
-@query("w23_catalogue", "bars_b", f"SELECT symbol, seq, {', '.join(_PICK.get(c, c) + ' AS ' + c for c in _CAT)} FROM {_JOINED}", " ".join(_CAT), d=3)
+@query("w23_catalogue", "bars_b", f"SELECT symbol, seq, {', '.join(_PICK.get(c, c) + ' AS ' + c for c in _CAT)} FROM {_JOINED}", " ".join(c for c in _CAT if not c.startswith(("dc_", "ichimoku_"))), d=3)
 def w23(spark, root):
     return keep(ind.catalogue(bars_b(spark, root)), *_CAT)
