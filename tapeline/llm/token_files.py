@@ -15,12 +15,15 @@ A key that has documents in several shards has one entry for each, numbered from
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 from functools import cache
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 import xxhash
 from pyspark import TaskContext
@@ -36,7 +39,8 @@ MAGIC = b"TAPEIDS1"
 SHARD, BUCKET = 32 << 20, 1 << 16
 #: bits of a level for each key that is still without a place
 GAMMA = 2
-_CACHED = 400_000  # words whose ids a worker remembers
+_CACHED = 400_000  # words of a generation whose ids a worker remembers
+_LINE = 200  # words encoded at once
 _TAIL = b".,;:!?)\"]}"
 _LETTERS = set(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
 _FLUSH = 8 << 20
@@ -53,39 +57,94 @@ def _open(path: str):
 # ---------------------------------------------------------------- token ids
 
 
+class WordIds:
+    """Ids of words as little-endian integers, for tokenizers that drop white space and split there first.
+
+    A word that a worker meets again is not encoded again: the ids of the last words are kept in two generations of at most ``_CACHED`` words, and what is
+    used moves to the younger one. ASCII punctuation behind an ASCII letter, which such tokenizers split off, is encoded on its own. If the model marks
+    ends of words, words of Latin letters are encoded many to a line and parted at the marks.
+    """
+
+    def __init__(self, tokenizer, kind: np.dtype):
+        self.tokenizer, self.kind = tokenizer, kind
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        mark = json.loads(tokenizer.to_str())["model"].get("end_of_word_suffix")
+        self.ends = None
+        if mark:
+            self.ends = np.zeros(tokenizer.get_vocab_size(), bool)
+            self.ends[[i for t, i in tokenizer.get_vocab().items() if t.endswith(mark)]] = True
+
+    def learn(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """The table of ids, with all of ``words`` in it."""
+        if len(self.young) > _CACHED:
+            self.old, self.young = self.young, {}
+        known = self.young
+        new = self._kept(words)
+        cut = []
+        for w in [w for w in new if not w.isalpha()]:
+            core = w.rstrip(_TAIL)
+            if core and core[-1] in _LETTERS and len(core) < len(w):
+                cut.append((w, core, w[len(core) :]))
+        new.difference_update([w for w, *_ in cut])
+        self._encode(list(new | self._kept({p for _, *both in cut for p in both})))
+        for w, core, tail in cut:
+            known[w] = known[core] + known[tail]
+        return known
+
+    def _kept(self, words: set[bytes]) -> set[bytes]:
+        """Those of ``words`` that neither generation has; what the older has goes to the younger."""
+        new = words.difference(self.young)
+        again = new.intersection(self.old)
+        self.young.update(zip(again, map(self.old.__getitem__, again)))
+        return new - again
+
+    def _encode(self, words: list[bytes]) -> None:
+        text = b"\n".join(words).decode().split("\n") if words else []  # words hold no white space of ASCII
+        latin = [self.ends is not None and t.isalpha() and (t.isascii() or max(t) <= "\xff") for t in text]
+        known, size = self.young, self.kind.itemsize
+        keys, plain = list(compress(words, latin)), list(compress(text, latin))
+        lines = [" ".join(plain[i : i + _LINE]) for i in range(0, len(plain), _LINE)]
+        for i in range(0, len(lines), 50):
+            for j, e in enumerate(self.tokenizer.encode_batch_fast(lines[i : i + 50], add_special_tokens=False), i):
+                line, ids = keys[j * _LINE : (j + 1) * _LINE], np.array(e.ids)
+                stops = ((np.flatnonzero(self.ends[ids]) + 1) * size).tolist()
+                if len(stops) != len(line):
+                    raise ValueError("the tokenizer does not end every word with its mark")
+                data = ids.astype(self.kind).tobytes()
+                known.update(zip(line, map(data.__getitem__, map(slice, [0, *stops], stops))))
+        other = [not x for x in latin]
+        for w, e in zip(compress(words, other), self.tokenizer.encode_batch_fast(list(compress(text, other)), add_special_tokens=False), strict=True):
+            known[w] = np.array(e.ids, self.kind).tobytes()
+
+
 @cache
-def _tokenizer(path: str):
+def _tokenizer(path: str, width: int) -> WordIds:
     from tokenizers import Tokenizer
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core for each task
-    return Tokenizer.from_file(path), {}
-
+    return WordIds(Tokenizer.from_file(path), np.dtype(f"<u{width}"))
 
-def token_ids(texts: list[bytes], path: str, end: int, width: int, by_word: bool) -> list[bytes]:
-    """Ids of each text and the end id, as little-endian integers.
 
-    ``by_word`` is for tokenizers that drop white space and split there first: words between ASCII white space are then encoded once and remembered,
-    and ASCII punctuation behind an ASCII letter on its own, which such tokenizers split off as well. Otherwise texts are encoded whole.
-    """
-    tokenizer, known = _tokenizer(path)
-    kind = np.dtype(f"<u{width}")
-    stop = np.array([end], kind).tobytes()
-    encoded = lambda parts: [np.array(e.ids, kind).tobytes() for e in tokenizer.encode_batch_fast([p.decode() for p in parts], add_special_tokens=False)]
+def token_ids(texts: pa.Array, path: str, end: int, width: int, by_word: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts, the end id after each, one after the other, and how many each text has; ``by_word`` as for ``WordIds``, else texts are encoded whole."""
+    words = _tokenizer(path, width)
     if not by_word:
-        return [ids + stop for ids in encoded(texts)]
-    split = [t.split() for t in texts]
-    if len(known) > _CACHED:
-        known.clear()
-    whole = [w for w in set().union(*split) if w not in known]
-    cores = {}
-    for w in whole:
-        core = w.rstrip(_TAIL)
-        cores[w] = (core, w[len(core) :]) if core and core[-1] in _LETTERS and len(core) < len(w) else (w,)
-    new = list({p for parts in cores.values() for p in parts if p not in known})
-    known.update(zip(new, encoded(new), strict=True))
-    for w, parts in cores.items():
-        known[w] = b"".join([known[p] for p in parts])
-    return [b"".join([known[w] for w in words] + [stop]) for words in split]
+        whole = [np.array([*e.ids, end], words.kind) for e in words.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+        return np.concatenate([np.zeros(0, words.kind), *whole]), np.array([len(x) for x in whole], np.int64)
+    split = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
+    each = split.flatten().dictionary_encode()
+    distinct = raw(each.dictionary)
+    known = words.learn(set(distinct))
+    own = [known[w] for w in distinct] + [np.array([end], words.kind).tobytes()]
+    size = np.fromiter(map(len, own), np.int64, len(own)) // width
+    first, ids = np.cumsum(size) - size, np.frombuffer(b"".join(own), words.kind)
+    stop = np.cumsum(split.value_lengths().to_numpy(zero_copy_only=False))
+    codes = np.insert(each.indices.to_numpy(zero_copy_only=False).astype(np.int64), stop, len(distinct))
+    n = size[codes]
+    at = np.repeat(first[codes] - np.cumsum(n) + n, n) + np.arange(n.sum())
+    total = np.concatenate(([0], np.cumsum(n)))[np.concatenate(([0], stop + np.arange(1, len(stop) + 1)))]
+    return ids[at], np.diff(total)
 
 
 def _write_shard(batches, folder, path, end, width, by_word):
@@ -95,12 +154,12 @@ def _write_shard(batches, folder, path, end, width, by_word):
     out, ends, n, run = None, [], 0, None
     for batch in pieces(batches):
         keys, rows = batch.column("doc").to_pylist(), []
+        ids, sizes = token_ids(batch.column("text"), path, end, width, by_word)
         if out is None:
             out = system.open_output_stream(f"{root}/ids/{name}")
             out.write(MAGIC)
-        for key, ids in zip(keys, token_ids(raw(batch.column("text")), path, end, width, by_word), strict=True):
-            out.write(ids)
-            size = len(ids) // width
+        out.write(ids.tobytes())
+        for key, size in zip(keys, sizes.tolist(), strict=True):
             if run is None or run[0] != key:
                 rows += [run] if run else []
                 run = [key, len(ends), 0, 0]
