@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 
 import numpy as np
 import pandas as pd
@@ -190,32 +189,11 @@ def information_gain(dist: DataFrame, labels: DataFrame, owner: Column) -> DataF
     return d.groupBy("shapelet").agg(F.max("gain").alias("gain"), F.max_by((F.col("distance") + F.col("_next")) / 2, F.struct("gain", -F.col("seq"))).alias("threshold"))
 
 
-def matrix_profile(bars: DataFrame, m: int, block=256) -> DataFrame:
-    """Nearest neighbour of every window of the same symbol outside m/4 rows.
+def matrix_profile(bars: DataFrame, m: int) -> DataFrame:
+    """Nearest neighbour of every window of the same symbol outside m/4 rows."""
+    from tapeline.operators.profiles import sided_profile
 
-    Windows are cut into blocks; each pair of blocks is one task that keeps the
-    best neighbour per window, so no window pairs are shuffled.
-    """
-    w = windows(bars, m).withColumn("b", F.floor(F.col("seq") / block))
-    top = w.groupBy("symbol").agg(F.max("b").alias("_z"))
-    pair = F.transform(F.sequence(F.lit(0), F.col("_z")), lambda o: F.struct(F.least(o, F.col("b")).alias("p"), F.greatest(o, F.col("b")).alias("q")))
-    w = w.join(top, "symbol").withColumn("_t", F.explode(pair)).select("symbol", "seq", "v", "b", "_t.p", "_t.q")
-    zone = math.ceil(m / 4)
-
-    def tile(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right = pdf[pdf.b == pdf.p], pdf[pdf.b == pdf.q]
-        d = K.nearest_windows(np.stack(left.v.to_list()), np.stack(right.v.to_list()))
-        ls, rs = left.seq.to_numpy(), right.seq.to_numpy()
-        d[np.abs(ls[:, None] - rs[None, :]) <= zone] = np.inf
-        i, j = d.argmin(1), d.argmin(0)
-        out = pd.DataFrame({"symbol": pdf.symbol.iloc[0], "seq": np.r_[ls, rs], "nn": np.r_[rs[i], ls[j]], "distance": np.r_[d.min(1), d.min(0)]})
-        return out[np.isfinite(out.distance)]
-
-    kind = bars.schema["symbol"].dataType.simpleString()
-    # little data, much work: an explicit count keeps adaptive execution from merging the tasks
-    tasks = max(64, int(bars.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    t = w.repartition(tasks, "symbol", "p", "q").groupBy("symbol", "p", "q").applyInPandas(tile, f"symbol {kind}, seq long, nn long, distance double")
-    return t.groupBy("symbol", "seq").agg(F.min("distance").alias("distance"), F.min_by("nn", F.struct("distance", "nn")).alias("nn"))
+    return sided_profile(bars, m).select("symbol", "seq", "distance", "nn")
 
 
 def discords(profile: DataFrame, k=3) -> DataFrame:

@@ -7,10 +7,11 @@ from tapeline.operators import detection as DT
 from tapeline.operators import formations as FM
 from tapeline.operators import joins as J
 from tapeline.operators import patterns as PT
+from tapeline.operators import profiles as PR
 from tapeline.operators import vectors as V
 from tapeline.plans.derived_sql import window_sql
 from tapeline.plans.k_kernels import dtw_cte, library
-from tapeline.plans.registry import cte, query
+from tapeline.plans.registry import CTES, cte, query
 from tapeline.plans.w_indicators import W, keep
 from tapeline.sources import derived as D
 from tapeline.sources.tables import bars_b, bars_d, bars_h, series, table
@@ -58,10 +59,10 @@ def d03(spark, root):
 cte("calm", "SELECT symbol, ts, seq - 19 AS seq, m AS close FROM (SELECT *, avg(close) OVER (PARTITION BY symbol ORDER BY seq ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS m FROM bars_b) WHERE seq >= 19", "bars_b")
 
 
-def calm(spark, root):
+def calm(spark, root, bars=bars_b):
     from tapeline.functions.frames import rmean, rolled
 
-    b = rolled(bars_b(spark, root), lambda h, w: h.withColumn("_m", rmean(F.col("close"), 20, w)), 20).filter("seq >= 19")
+    b = rolled(bars(spark, root), lambda h, w: h.withColumn("_m", rmean(F.col("close"), 20, w)), 20).filter("seq >= 19")
     return b.select("symbol", "ts", (F.col("seq") - 19).alias("seq"), F.col("_m").alias("close"))
 
 
@@ -226,6 +227,94 @@ def d21(spark, root):
     return DT.arc_curve(DT.matrix_profile(bars_h(spark, root), 16), 16)
 
 
+def sides_sql(bars):
+    """Nearest earlier and later windows of each window of 16 closes."""
+    return f"""WITH w AS (SELECT symbol, seq, list(close) OVER (PARTITION BY symbol ORDER BY seq ROWS BETWEEN CURRENT ROW AND 15 FOLLOWING) AS v FROM {bars}), z AS MATERIALIZED (SELECT symbol, seq, v, [(x - list_avg(v)) / list_stddev_pop(v) for x in v] AS z FROM w WHERE len(v) = 16)
+  SELECT a.symbol, a.seq, any_value(a.v) AS v, any_value(a.z) AS z, sqrt(greatest(32 - 2 * max(list_dot_product(a.z, b.z)), 0)) AS distance, arg_max(b.seq, list_dot_product(a.z, b.z)) FILTER (b.seq < a.seq) AS l, arg_max(b.seq, list_dot_product(a.z, b.z)) FILTER (b.seq > a.seq) AS r
+  FROM z a JOIN z b ON a.symbol = b.symbol AND abs(a.seq - b.seq) > 4 GROUP BY a.symbol, a.seq"""
+
+
+cte("sides", sides_sql("bars_h"), "bars_h")
+# 20-hour means, whose windows come back within two deviations
+cte("calm_h", CTES["calm"][len("calm AS ("):-1].replace("bars_b", "bars_h"), "bars_h")
+cte("calm_sides", sides_sql("calm_h"), "calm_h")
+cte("links", "SELECT a.symbol, a.seq AS before, b.seq, list_distance(a.v, b.v) AS d FROM sides a JOIN sides b ON a.symbol = b.symbol AND a.r = b.seq AND b.l = a.seq", "sides")
+cte("chain_members", """SELECT symbol, before AS start, 0 AS pos, before AS seq, CAST(NULL AS DOUBLE) AS d FROM links a WHERE NOT EXISTS (SELECT 1 FROM links b WHERE b.symbol = a.symbol AND b.seq = a.before)
+  UNION ALL SELECT c.symbol, c.start, c.pos + 1, l.seq, l.d FROM chain_members c JOIN links l ON l.symbol = c.symbol AND l.before = c.seq""", "links")
+
+
+@query("d19_chains", "chain_members", """WITH c AS (SELECT symbol, start, max(seq) AS stop, count(*) AS length, avg(d) AS mean_transition, stddev_pop(d) AS std_transition FROM chain_members GROUP BY symbol, start)
+  SELECT c.*, list_distance(a.v, b.v) AS total_evolution, row_number() OVER (PARTITION BY c.symbol ORDER BY length DESC, start) = 1 AS unanchored FROM c JOIN sides a ON a.symbol = c.symbol AND a.seq = start JOIN sides b ON b.symbol = c.symbol AND b.seq = stop""", "mean_transition std_transition total_evolution")
+def d19_chains(spark, root):
+    bars = store(bars_h(spark, root))
+    return PR.chains(bars, store(PR.sided_profile(bars, 16)), 16)
+
+
+@query("d19_chain_members", "chain_members", "SELECT symbol, start, CAST(pos AS BIGINT) AS pos, seq FROM chain_members")
+def d19_chain_members(spark, root):
+    return PR.chain_members(store(PR.sided_profile(store(bars_h(spark, root)), 16)))
+
+
+# a round: the best free window, its nearest windows apart from each other, and the rows around them are taken
+cte("motif_rounds", """SELECT symbol, -1 AS motif, CAST(NULL AS BIGINT) AS primary_, CAST([] AS STRUCT(d DOUBLE, s BIGINT)[]) AS hits, CAST([] AS BIGINT[]) AS taken, 2 * stddev_pop(distance) AS lim FROM calm_sides GROUP BY symbol
+  UNION ALL SELECT symbol, motif, primary_, hits, list_concat(taken, [h.s for h in hits]), lim FROM (
+    SELECT symbol, motif, primary_, taken, lim, list_reduce(list_prepend(CAST([] AS STRUCT(d DOUBLE, s BIGINT)[]), [[h] for h in list_sort(near)]), lambda a, b: CASE WHEN len(a) < 10 AND len([x for x in a if abs(x.s - b[1].s) <= 4]) = 0 THEN list_concat(a, b) ELSE a END) AS hits FROM (
+     SELECT c.symbol, c.motif, c.primary_, c.taken, c.lim, list({'d': CASE WHEN w.seq = p.seq THEN 0 ELSE sqrt(greatest(32 - 2 * list_dot_product(p.z, w.z), 0)) END, 's': w.seq}) FILTER (w.seq = p.seq OR sqrt(greatest(32 - 2 * list_dot_product(p.z, w.z), 0)) <= c.lim) AS near FROM (
+      SELECT r.symbol, r.motif + 1 AS motif, arg_min(s.seq, (s.distance, s.seq)) AS primary_, min(s.distance) AS best, any_value(r.taken) AS taken, any_value(r.lim) AS lim FROM motif_rounds r JOIN calm_sides s ON s.symbol = r.symbol WHERE r.motif < 9 AND len([x for x in r.taken if abs(x - s.seq) <= 4]) = 0 GROUP BY r.symbol, r.motif) c
+      JOIN calm_sides p ON p.symbol = c.symbol AND p.seq = c.primary_ JOIN calm_sides w ON w.symbol = c.symbol WHERE c.best <= least(c.lim, 10) GROUP BY ALL))""", "calm_sides")
+
+
+@query("d19_motif_occurrences", "motif_rounds", """SELECT m.symbol, motif, primary_ AS "primary", CAST(k - 1 AS INT) AS rank, hits[k].s AS seq, hits[k].d AS distance, list_distance(p.v, w.v) AS raw FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS k FROM motif_rounds WHERE motif >= 0) m
+  JOIN calm_sides p ON p.symbol = m.symbol AND p.seq = primary_ JOIN calm_sides w ON w.symbol = m.symbol AND w.seq = hits[k].s""", "distance raw")
+def d19_motif_occurrences(spark, root):
+    bars = store(calm(spark, root, bars_h))
+    return PR.motifs(bars, store(PR.sided_profile(bars, 16)), 16)
+
+
+@query("d19_motifs", "motif_rounds", """SELECT m.symbol, motif, primary_ AS "primary", count(*) AS occurrences, coalesce(avg(list_distance(p.v, w.v)) FILTER (k > 1), 0) AS mean_distance, coalesce(stddev_pop(list_distance(p.v, w.v)) FILTER (k > 1), 0) AS std_distance FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS k FROM motif_rounds WHERE motif >= 0) m
+  JOIN calm_sides p ON p.symbol = m.symbol AND p.seq = primary_ JOIN calm_sides w ON w.symbol = m.symbol AND w.seq = hits[k].s GROUP BY ALL""", "mean_distance std_distance")
+def d19_motifs(spark, root):
+    bars = store(calm(spark, root, bars_h))
+    return PR.motif_summary(PR.motifs(bars, store(PR.sided_profile(bars, 16)), 16))
+
+
+_Z = lambda c: f"[(x - list_avg({c})) / list_stddev_pop({c}) for x in {c}] AS {c}"
+cte("multi", f"""WITH w AS (SELECT symbol, seq, list(close) OVER f AS close, list(high) OVER f AS high, list(low) OVER f AS low FROM bars_h WINDOW f AS (PARTITION BY symbol ORDER BY seq ROWS BETWEEN CURRENT ROW AND 15 FOLLOWING)), z AS MATERIALIZED (SELECT symbol, seq, {_Z("close")}, {_Z("high")}, {_Z("low")} FROM w WHERE len(close) = 16),
+  p AS (SELECT a.symbol, a.seq, b.seq AS nn, list_sort([{{'d': sqrt(greatest(32 - 2 * list_dot_product(a.close, b.close), 0)), 'i': 0, 'c': 'close'}}, {{'d': sqrt(greatest(32 - 2 * list_dot_product(a.high, b.high), 0)), 'i': 1, 'c': 'high'}}, {{'d': sqrt(greatest(32 - 2 * list_dot_product(a.low, b.low), 0)), 'i': 2, 'c': 'low'}}]) AS s
+   FROM z a JOIN z b ON a.symbol = b.symbol AND abs(a.seq - b.seq) > 4),
+  b AS (SELECT symbol, seq, k, min(list_avg([x.d for x in s[1:k]])) AS distance, arg_min(nn, list_avg([x.d for x in s[1:k]])) AS nn, arg_min([x for x in s[1:k]], list_avg([x.d for x in s[1:k]])) AS best FROM p, (VALUES (1), (2), (3)) t(k) GROUP BY ALL)
+  SELECT symbol, seq, k, distance, nn, array_to_string([x[2] for x in list_sort([[CAST(y.i AS VARCHAR), y.c] for y in best])], ',') AS dims FROM b""", "bars_h")
+
+
+@query("d22_multi_profile", "multi", "SELECT * FROM multi", "distance")
+def d22_multi_profile(spark, root):
+    return PR.multi_profile(store(bars_h(spark, root)), 16, ["close", "high", "low"])
+
+
+@query("d22_multi_motifs", "multi", "SELECT symbol, k, seq, nn, distance, dims FROM multi QUALIFY row_number() OVER (PARTITION BY symbol, k ORDER BY distance, seq) = 1", "distance")
+def d22_multi_motifs(spark, root):
+    p = PR.multi_profile(store(bars_h(spark, root)), 16, ["close", "high", "low"])
+    best = p.groupBy("symbol", "k").agg(F.min(F.struct("distance", "seq", "nn", "dims")).alias("m"))
+    return best.select("symbol", "k", "m.seq", "m.nn", "m.distance", "m.dims")
+
+
+_ARC = """WITH e AS (SELECT symbol, s AS seq, sum(x) AS x FROM (SELECT symbol, least(seq, nn) AS s, 1 AS x FROM profile UNION ALL SELECT symbol, greatest(seq, nn), -1 FROM profile) GROUP BY ALL), c AS (SELECT p.symbol, p.seq, CAST(sum(coalesce(x, 0)) OVER (PARTITION BY p.symbol ORDER BY p.seq) AS BIGINT) AS arcs, max(p.seq) OVER (PARTITION BY p.symbol) + 1 AS n
+   FROM profile p LEFT JOIN e USING (symbol, seq)) SELECT symbol, seq, CASE WHEN seq < 16 OR seq >= n - 16 THEN 1.0 ELSE least(1.0, arcs / nullif(2 * seq * (n - seq) / n, 0)) END AS curve FROM c"""
+cte("borders", f"""SELECT symbol, list_reduce(list_prepend(CAST([] AS STRUCT(c DOUBLE, s BIGINT)[]), [[h] for h in list_sort(spots)]), lambda a, b: CASE WHEN len(a) < 4 AND len([x for x in a if abs(x.s - b[1].s) <= 40]) = 0 THEN list_concat(a, b) ELSE a END) AS hits
+  FROM (SELECT symbol, list({{'c': curve, 's': seq}}) AS spots FROM ({_ARC}) WHERE curve < 1 GROUP BY symbol)""", "profile")
+
+
+@query("d21_borders", "borders", "SELECT symbol, CAST(k - 1 AS INT) AS rank, hits[k].s AS seq, hits[k].c AS curve FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS k FROM borders)", "curve")
+def d21_borders(spark, root):
+    return PR.borders(DT.arc_curve(store(DT.matrix_profile(store(bars_h(spark, root)), 16)), 16), 16)
+
+
+@query("d21_regimes", "borders", "SELECT p.symbol, p.seq, CAST(len([h for h in hits if h.s <= p.seq]) AS BIGINT) AS regime FROM profile p JOIN borders USING (symbol)")
+def d21_regimes(spark, root):
+    curve = store(DT.arc_curve(store(DT.matrix_profile(store(bars_h(spark, root)), 16)), 16))
+    return PR.regimes(curve, store(PR.borders(curve, 16)))
+
+
 @query("d30_alerts", "", """WITH f AS (SELECT * FROM events WHERE floor(epoch(ts)) > floor(epoch((SELECT max(ts) FROM events))) - 86400) SELECT event_id, event_type AS kind, value AS score FROM f JOIN (VALUES ('click', 20.0, TRUE), ('purchase', 50.0, TRUE), ('error', 0.0, FALSE)) r(kind, threshold, enabled) ON event_type = kind WHERE enabled AND value >= threshold""", "score")
 def d30(spark, root):
     rules = spark.createDataFrame([("click", 20.0, True), ("purchase", 50.0, True), ("error", 0.0, False)], "kind string, threshold double, enabled boolean")
