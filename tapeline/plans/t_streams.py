@@ -1,37 +1,97 @@
 """Streaming queries and their batch forms."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tapeline.functions.lineage import store
 from tapeline.operators import health as H
 from tapeline.plans.registry import cte, query
 from tapeline.plans.s_sources import folder
 from tapeline.plans.w_indicators import W, keep
 from tapeline.sources import derived as D
-from tapeline.sources.tables import bars_h, build_bars, epoch, event_ticks, table, ticks_u, with_seq
+from tapeline.sources.tables import build_bars, event_ticks, table, ticks_u, with_seq
 from tapeline.streaming import bars as SB
 from tapeline.streaming import monitor as MO
 
 
-def minute_bars(spark, root):
-    """Bars the monitor watches: hourly, with time in minutes scaled to seconds per bar."""
-    return bars_h(spark, root).select("symbol", "seq", (F.col("seq") * 60).cast("double").alias("t"), "close", "volume")
+#: the widest gap of event times that the replayed files may show; the clock row behind them moves the watermark past the last bar
+_LATE, _CLOCK = 45 * 86_400, 120 * 86_400
+
+
+def monitor_bars(spark, root):
+    """Ten-minute bars of the events at their own times, gaps included."""
+    bars = with_seq(build_bars(event_ticks(spark, root), 600), 600)
+    return bars.select("symbol", "seq", F.col("ts").cast("timestamp").alias("ts"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"), "close", "volume")
+
+
+def all_alerts(spark, root):
+    """Events of the finished series, expiries after the last bar included."""
+    return MO.batch_alerts(store(monitor_bars(spark, root)), horizon=1e18)
 
 
 @query("t05_monitor_alerts")
 def t05(spark, root):
-    return MO.batch_alerts(minute_bars(spark, root)).drop("levels")
+    return all_alerts(spark, root).drop("levels")
 
 
 @query("t09_alert_views")
 def t09(spark, root):
-    a = MO.batch_alerts(minute_bars(spark, root))
-    return a.groupBy("kind", "event").agg(F.count(F.lit(1)).alias("n"), F.avg("confidence").alias("mean_confidence"))
+    return all_alerts(spark, root).groupBy("kind", "event").agg(F.count(F.lit(1)).alias("n"), F.avg("confidence").alias("mean_confidence"))
 
 
 @query("t10_key_levels")
 def t10(spark, root):
-    a = MO.batch_alerts(minute_bars(spark, root))
-    return a.select("symbol", "seq", "kind", F.posexplode("levels").alias("pos", "level"))
+    return all_alerts(spark, root).select("symbol", "t", "kind", "event", F.posexplode("levels").alias("pos", "level"))
+
+
+def replay(bars, path, parts=6):
+    """The bars as files of a stream in any order, and last a clock row that has no price."""
+    spark = bars.sparkSession
+    bars = bars.select("symbol", "ts", "close", "volume")
+    bars.repartition(parts).write.parquet(path)
+    clock = bars.agg((F.max("ts") + F.make_dt_interval(secs=F.lit(_CLOCK))).alias("ts")).select(F.lit("").alias("symbol"), "ts", F.lit(None).cast("double").alias("close"), F.lit(None).cast("double").alias("volume"))
+    clock.coalesce(1).write.mode("append").parquet(path)
+    return SB.tick_stream(spark, path, bars.schema, max_files=2)
+
+
+def streamed(spark, bars, history=None, sink=SB.run_once):
+    out = folder(spark)
+    with MO.rocks_store(spark):
+        sink(MO.stream_alerts(replay(bars, out + "/in"), f"{_LATE} seconds", history), out + "/alerts", out + "/ck")
+    return spark.read.parquet(out + "/alerts")
+
+
+@query("t02_backfill")
+def t02(spark, root):
+    """The first half of the time is history; the stream starts from its state and gives the events of the second half."""
+    bars = store(monitor_bars(spark, root))
+    middle = bars.agg(((F.min("t") + F.max("t")) / 2).alias("m")).first()["m"]
+    return streamed(spark, bars.filter(F.col("t") > middle), bars.filter(F.col("t") <= middle).select("symbol", "ts", "close", "volume")).drop("levels")
+
+
+@query("t03_stream_alerts")
+def t03(spark, root):
+    return streamed(spark, store(monitor_bars(spark, root))).drop("levels")
+
+
+@query("t06_raised_once")
+def t06(spark, root):
+    """Detections of each formation with the time since the one before: never under 1.5 times its duration unless that one completed."""
+    a = all_alerts(spark, root).filter("event = 'detected'")
+    before = F.lag("t").over(Window.partitionBy("symbol", "kind", F.floor(F.col("t") / 86400)).orderBy("t"))
+    return a.select("symbol", "kind", "t", (F.col("t") - before).alias("since"))
+
+
+@query("t07_progress")
+def t07(spark, root):
+    """How formations end, by the stage and progress they were in."""
+    a = all_alerts(spark, root)
+    return a.groupBy("kind", "event", "stage", "progress").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("t") - F.col("started")).alias("mean_age"))
+
+
+@query("t08_alert_sink")
+def t08(spark, root):
+    return streamed(spark, store(monitor_bars(spark, root)), sink=SB.sink_once).drop("levels", "batch")
 
 
 @query("t11_score_trend", "predictions", """SELECT symbol, seq, CASE WHEN y_pred > b AND b > a THEN 'increasing' WHEN y_pred < b AND b < a THEN 'decreasing' ELSE 'stable' END AS trend, y_pred - b AS change, ma AS moving_average FROM (
@@ -87,27 +147,14 @@ def t16(spark, root):
     return H.adaptation_report(errs(spark, root), 30)
 
 
-def event_stream(spark, root, out):
-    """The event table as a file stream of one symbol per event type."""
-    events = table(spark, root, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
-    events.repartitionByRange(4, "ts").write.parquet(out + "/in")
-    s = SB.tick_stream(spark, out + "/in", events.schema, max_files=100)
-    return s.select(F.col("event_type").alias("symbol"), "ts", F.struct("event_id").alias("tie"), F.col("value").alias("price"), F.lit(1).alias("size"))
-
-
-@query("t17_event_time_bars", "bars_h", "SELECT symbol, ts, open, high, low, close, volume FROM bars_h WHERE ts + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE")
+@query("t17_event_time_bars", "bars_h", "SELECT symbol, ts, open, high, low, close, volume FROM bars_h")
 def t17(spark, root):
+    """The events as files in any order; the watermark waits for all of them, and a clock row behind closes the last window."""
     out = folder(spark)
-    SB.run_once(SB.event_time_bars(event_stream(spark, root, out)), out + "/bars", out + "/ck")
-    d = spark.read.parquet(out + "/bars")
-    return d.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
-
-
-@query("t03_stream_alerts")
-def t03(spark, root):
-    out = folder(spark)
-    b = minute_bars(spark, root)
-    b.write.parquet(out + "/in")
-    s = SB.tick_stream(spark, out + "/in", b.schema, max_files=1000)
-    SB.run_once(MO.stream_alerts(s), out + "/alerts", out + "/ck")
-    return spark.read.parquet(out + "/alerts").drop("levels")
+    ticks = table(spark, root, "events").select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.struct("event_id").alias("tie"), F.col("value").alias("price"), F.lit(1).alias("size"))
+    ticks.repartition(6).write.parquet(out + "/in")
+    clock = ticks.agg((F.max("ts") + F.make_dt_interval(secs=F.lit(_CLOCK))).alias("ts")).select(F.lit("").alias("symbol"), "ts", F.lit(None).cast(ticks.schema["tie"].dataType).alias("tie"), F.lit(None).cast("double").alias("price"), F.lit(None).cast("int").alias("size"))
+    clock.coalesce(1).write.mode("append").parquet(out + "/in")
+    stream = SB.tick_stream(spark, out + "/in", ticks.schema, max_files=2)
+    SB.run_once(SB.event_time_bars(stream, late=f"{_LATE} seconds"), out + "/bars", out + "/ck")
+    return spark.read.parquet(out + "/bars").withColumn("ts", F.col("ts").cast("timestamp_ntz"))

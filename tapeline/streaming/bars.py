@@ -25,12 +25,22 @@ def event_time_bars(ticks: DataFrame, step="1 hour", late="10 minutes") -> DataF
     return g.select("symbol", F.col("w.start").alias("ts"), "open", "high", "low", "close", "volume")
 
 
-def with_backfill(history: DataFrame, live: DataFrame) -> DataFrame:
-    """History rows in front of the live rows of a batch (used by ``foreachBatch`` sinks)."""
-    return history.select(*live.columns).unionByName(live)
-
-
 def run_once(stream: DataFrame, path: str, checkpoint: str) -> None:
     """Process everything available into parquet and stop."""
     q = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
+
+
+def keep_batch(path: str):
+    """Writer for ``foreachBatch``: the rows of a batch go to a folder of its number, and a batch that is played again replaces them."""
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+    return write
+
+
+def sink_once(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Process everything available into an exactly-once alert table (column ``batch``) and stop."""
+    q = stream.writeStream.foreachBatch(keep_batch(path)).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
