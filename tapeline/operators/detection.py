@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -129,30 +131,36 @@ def weighted_forecast(outcomes: DataFrame, by, levels=(0.68, 0.95)) -> DataFrame
     return d.groupBy(*by).agg(F.first("mean_forecast").alias("mean_forecast"), *cols)
 
 
-def shapelets(bars: DataFrame, size=16, step=8, segments=4, alphabet=4, least=3, ahead=5):
-    """(candidates, shapelets): SAX-labelled windows, and per (symbol, word) the one nearest the centroid."""
+def shapelets(bars: DataFrame, sizes=(16,), step=1, segments=4, alphabet=4, least=3, ahead=5):
+    """(candidates, shapelets): SAX-labelled windows of each of ``sizes`` at every ``step``-th start, and per (symbol, length, word) the one nearest the centroid."""
+    both = [_shapelets(bars, n, step, segments, alphabet, least, ahead) for n in sizes]
+    return reduce(DataFrame.unionByName, [c for c, _ in both]), reduce(DataFrame.unionByName, [g for _, g in both])
+
+
+def _shapelets(bars, size, step, segments, alphabet, least, ahead):
     stats = bars.groupBy("symbol").agg(F.avg("close").alias("_mu"), F.stddev_pop("close").alias("_sd"))
 
     def build(h, w):
         f = w.rowsBetween(0, size - 1)
         return h.select("symbol", "seq", "_c", F.collect_list("close").over(f).alias("raw"), F.lead(C(), size).over(w).alias("_a"), F.lead(C(), size + ahead).over(w).alias("_b"))
 
-    d = rolled(bars, build, 0, size + ahead).filter((F.size("raw") == size) & (F.col("seq") % step == 0)).join(stats, "symbol")
+    d = rolled(bars, build, 0, size + ahead).filter(F.size("raw") == size)
+    d = (d if step == 1 else d.filter(F.col("seq") % step == 0)).join(stats, "symbol")
     d = A.hold(d, v=F.transform("raw", lambda x: (x - F.col("_mu")) / F.col("_sd"))).withColumn("ret", (F.col("_b") - F.col("_a")) / F.col("_a")).drop("raw", "_mu", "_sd", "_a", "_b")
-    cand = sax(d, segments, alphabet)
+    cand = sax(d, segments, alphabet).withColumn("length", F.lit(size))
     mean = cand.select("symbol", "sax", F.posexplode("v").alias("pos", "x")).groupBy("symbol", "sax", "pos").agg(F.avg("x").alias("m"), one().alias("_k")).filter(F.col("_k") >= least)
     mid = mean.groupBy("symbol", "sax").agg(F.array_sort(F.collect_list(F.struct("pos", "m"))).alias("_c0"))
     near = A.hold(cand.join(mid, ["symbol", "sax"]), gap=F.sqrt(A.total(F.zip_with("v", "_c0", lambda a, b: (a - b.m) * (a - b.m)))))
-    g = near.groupBy("symbol", "sax").agg(one().alias("frequency"), F.min_by("seq", F.struct("gap", "seq")).alias("start"), F.min_by("v", F.struct("gap", "seq")).alias("shape"), F.coalesce(F.avg("ret"), F.lit(0.0)).alias("avg_return"),
-                                          F.coalesce(F.stddev_pop("ret"), F.lit(0.0)).alias("std_return"), F.coalesce(F.avg((F.col("ret") > 0).cast("double")).alias("w"), F.lit(0.5)).alias("win_rate"))
+    g = near.groupBy("symbol", "length", "sax").agg(one().alias("frequency"), F.min_by("seq", F.struct("gap", "seq")).alias("start"), F.min_by("v", F.struct("gap", "seq")).alias("shape"), F.coalesce(F.avg("ret"), F.lit(0.0)).alias("avg_return"),
+                                                    F.coalesce(F.stddev_pop("ret"), F.lit(0.0)).alias("std_return"), F.coalesce(F.avg((F.col("ret") > 0).cast("double")).alias("w"), F.lit(0.5)).alias("win_rate"))
     return cand, g
 
 
 def match_shapelets(cand: DataFrame, shapes: DataFrame, least=0.9) -> DataFrame:
-    """Candidates with a shapelet's word and (correlation+1)/2 of at least ``least``."""
-    j = cand.join(shapes.select("symbol", "sax", F.col("start").alias("shapelet"), "shape"), ["symbol", "sax"])
+    """Candidates with a shapelet's length and word and (correlation+1)/2 of at least ``least``."""
+    j = cand.join(shapes.select("symbol", "length", "sax", F.col("start").alias("shapelet"), "shape"), ["symbol", "length", "sax"])
     j = A.hold(j, similarity=(A.correlation("v", "shape") + 1) / 2)
-    return j.filter(F.col("similarity") >= least).select("symbol", "seq", "sax", "shapelet", "similarity")
+    return j.filter(F.col("similarity") >= least).select("symbol", "seq", "length", "sax", "shapelet", "similarity")
 
 
 def closest_positions(series: DataFrame, shapes: DataFrame) -> DataFrame:

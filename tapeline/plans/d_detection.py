@@ -101,7 +101,7 @@ _NEAR = lambda pos, spots: f"CASE WHEN len({spots}) > 0 THEN v[list_min([{{'d':
 _AT = lambda p: f"CAST(floor({p} * 49) AS INT)"
 _DIFF = lambda a, b, f, tol: f"1 - least(1.0, abs({a} - {b}) / {f}({a}, {b}) / {tol})"
 _KINDS = f"""WITH w AS (SELECT symbol, seq, list(close) OVER (PARTITION BY symbol ORDER BY seq ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING) AS v FROM bars_h QUALIFY len(v) = 50),
-  t AS (SELECT symbol, seq, v, [i for i in range(2, 50) if v[i] > v[i - 1] AND v[i] > v[i + 1]] AS pk, [i for i in range(2, 50) if v[i] < v[i - 1] AND v[i] < v[i + 1]] AS vl FROM w WHERE seq % 10 = 0),
+  t AS (SELECT symbol, seq, v, [i for i in range(2, 50) if v[i] > v[i - 1] AND v[i] > v[i + 1]] AS pk, [i for i in range(2, 50) if v[i] < v[i - 1] AND v[i] < v[i + 1]] AS vl FROM w),
   k AS (SELECT *, {_NEAR(_AT(0.2), "pk")} AS ls, {_NEAR(_AT(0.5), "pk")} AS hd, {_NEAR(_AT(0.8), "pk")} AS rs, [v[{_AT(0.25)} + 1], v[{_AT(0.5)} + 1], v[{_AT(0.75)} + 1]] AS res, {_NEAR(_AT(0.25), "vl")} AS b1, {_NEAR(_AT(0.75), "vl")} AS b2 FROM t),
   s AS (SELECT *, ((CASE WHEN hd > ls AND hd > rs THEN least(1.0, least(hd / ls, hd / rs) - 1) ELSE 0 END) + ({_DIFF("ls", "rs", "greatest", 0.1)}) + 1.0) / 4 AS c1, (1 - least(1.0, list_stddev_pop(res) / list_avg(res) / 0.02) + 1.5) / 4 AS c2, (({_DIFF("b1", "b2", "least", 0.02)}) + 1.5) / 4 AS c4 FROM k),
   best AS (SELECT *, list_max([x for x in [{{'c': c1, 'n': 'Head and Shoulders'}}, {{'c': c2, 'n': 'Ascending Triangle'}}, {{'c': c4, 'n': 'Double Bottom'}}] if x.c >= 0.7 - 1e-12]) AS b FROM s),
@@ -113,7 +113,7 @@ _KINDS = f"""WITH w AS (SELECT symbol, seq, list(close) OVER (PARTITION BY symbo
 
 
 def classified_windows(spark, root):
-    return DT.windows(bars_h(spark, root), 50).filter(F.col("seq") % 10 == 0)
+    return DT.windows(bars_h(spark, root), 50)
 
 
 @query("d08_rule_classifier", "bars_h", _KINDS, "confidence")
@@ -126,15 +126,15 @@ CUSTOM = {"Wide Bottom": ("custom", [(0.1, "first_bottom"), (0.9, "second_bottom
 
 
 @query("x05_custom_definition", "bars_h", f"""WITH w AS (SELECT symbol, seq, list(close) OVER (PARTITION BY symbol ORDER BY seq ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING) AS v FROM bars_h QUALIFY len(v) = 50),
-  t AS (SELECT symbol, seq, v, [i for i in range(2, 50) if v[i] < v[i - 1] AND v[i] < v[i + 1]] AS vl FROM w WHERE seq % 10 = 0), k AS (SELECT *, {_NEAR(_AT(0.1), "vl")} AS b1, {_NEAR(_AT(0.9), "vl")} AS b2 FROM t)
+  t AS (SELECT symbol, seq, v, [i for i in range(2, 50) if v[i] < v[i - 1] AND v[i] < v[i + 1]] AS vl FROM w), k AS (SELECT *, {_NEAR(_AT(0.1), "vl")} AS b1, {_NEAR(_AT(0.9), "vl")} AS b2 FROM t)
   SELECT symbol, seq, 'Wide Bottom' AS name, {_DIFF("b1", "b2", "least", 0.5)} AS confidence FROM k WHERE {_DIFF("b1", "b2", "least", 0.5)} >= 0.7""", "confidence")
 def x05(spark, root):
     library = FM.definitions(spark, CUSTOM)
     return FM.classify(classified_windows(spark, root), library.filter("category = 'custom'")).filter("category = 'custom'").select("symbol", "seq", "name", "confidence")
 
 
-# all 16-point parts of the label means
-cte("parts", "SELECT rid * 4096 + st AS pid, y[st + 1:st + 16] AS v FROM label_means, (VALUES (0), (16), (32), (48)) t(st)", "label_means")
+# all 16-point parts of the label means, at every start
+cte("parts", "SELECT rid * 4096 + st AS pid, y[st + 1:st + 16] AS v FROM label_means, range(49) t(st)", "label_means")
 cte("parts_z", "SELECT pid, [(x - list_avg(v)) / list_stddev_pop(v) for x in v] AS z FROM parts", "parts")
 cte("near_parts", """WITH w AS (SELECT symbol, seq, list(close) OVER (PARTITION BY symbol ORDER BY seq ROWS BETWEEN CURRENT ROW AND 15 FOLLOWING) AS v FROM bars_h), wz AS (SELECT symbol, seq, [(x - list_avg(v)) / list_stddev_pop(v) for x in v] AS z FROM w WHERE len(v) = 16),
   s AS (SELECT symbol, seq, pid, wz.z AS x, p.z AS y, list_dot_product(wz.z, p.z) / 16 AS c FROM wz, parts_z p), r AS (SELECT *, 0.6 * c + 0.2 / (1 + sqrt(greatest(32 * (1 - c), 0))) AS part FROM s)
@@ -160,32 +160,38 @@ def d12(spark, root):
     return DT.weighted_forecast(o, ["type"])
 
 
-cte("cand", """SELECT symbol, seq, v, ret, array_to_string([CASE WHEN p <= -0.67 THEN 'a' WHEN p <= 0 THEN 'b' WHEN p <= 0.67 THEN 'c' ELSE 'd' END for p in [list_avg(z[k * 4 + 1:k * 4 + 4]) for k in range(4)]], '') AS sax FROM (
-  SELECT *, [(x - list_avg(v)) / list_stddev_pop(v) for x in v] AS z FROM (SELECT symbol, seq, [(x - mu) / sd for x in raw] AS v, (b - a) / a AS ret FROM (SELECT symbol, seq, list(close) OVER f AS raw, lead(close, 16) OVER w AS a, lead(close, 21) OVER w AS b, avg(close) OVER (PARTITION BY symbol) AS mu,
-   stddev_pop(close) OVER (PARTITION BY symbol) AS sd FROM bars_b WINDOW w AS (PARTITION BY symbol ORDER BY seq), f AS (PARTITION BY symbol ORDER BY seq ROWS BETWEEN CURRENT ROW AND 15 FOLLOWING)) WHERE len(raw) = 16 AND seq % 8 = 0))""", "bars_b")
-cte("shapes", """WITH m AS (SELECT symbol, sax, list(m ORDER BY k) AS c FROM (SELECT symbol, sax, k, avg(v[k]) AS m, count(*) AS n FROM cand, range(1, 17) t(k) GROUP BY ALL HAVING count(*) >= 3) GROUP BY ALL)
-  SELECT symbol, sax, count(*) AS frequency, arg_min(seq, list_distance(v, c)) AS start, arg_min(v, list_distance(v, c)) AS shape, coalesce(avg(ret), 0) AS avg_return, coalesce(stddev_pop(ret), 0) AS std_return, coalesce(avg(CAST(ret > 0 AS DOUBLE)), 0.5) AS win_rate FROM cand JOIN m USING (symbol, sax) GROUP BY symbol, sax""", "cand")
+#: lengths of shapelets
+SIZES = (16, 24, 32, 48)
+cte("cand", " UNION ALL ".join(f"""SELECT symbol, seq, {n} AS length, v, ret, array_to_string([CASE WHEN p <= -0.67 THEN 'a' WHEN p <= 0 THEN 'b' WHEN p <= 0.67 THEN 'c' ELSE 'd' END for p in [list_avg(z[k * {n // 4} + 1:k * {n // 4} + {n // 4}]) for k in range(4)]], '') AS sax FROM (
+  SELECT *, [(x - list_avg(v)) / list_stddev_pop(v) for x in v] AS z FROM (SELECT symbol, seq, [(x - mu) / sd for x in raw] AS v, (b - a) / a AS ret FROM (SELECT symbol, seq, list(close) OVER f AS raw, lead(close, {n}) OVER w AS a, lead(close, {n + 5}) OVER w AS b, avg(close) OVER (PARTITION BY symbol) AS mu,
+   stddev_pop(close) OVER (PARTITION BY symbol) AS sd FROM bars_b WINDOW w AS (PARTITION BY symbol ORDER BY seq), f AS (PARTITION BY symbol ORDER BY seq ROWS BETWEEN CURRENT ROW AND {n - 1} FOLLOWING)) WHERE len(raw) = {n}))""" for n in SIZES), "bars_b")
+cte("shapes", """WITH m AS (SELECT symbol, length, sax, list(m ORDER BY k) AS c FROM (SELECT symbol, length, sax, k, avg(x) AS m, count(*) AS n FROM (SELECT symbol, length, sax, unnest(v) AS x, generate_subscripts(v, 1) AS k FROM cand) GROUP BY ALL HAVING count(*) >= 3) GROUP BY ALL)
+  SELECT symbol, length, sax, count(*) AS frequency, arg_min(seq, (list_distance(v, c), seq)) AS start, arg_min(v, (list_distance(v, c), seq)) AS shape, coalesce(avg(ret), 0) AS avg_return, coalesce(stddev_pop(ret), 0) AS std_return, coalesce(avg(CAST(ret > 0 AS DOUBLE)), 0.5) AS win_rate FROM cand JOIN m USING (symbol, length, sax) GROUP BY symbol, length, sax""", "cand")
 
 
-@query("d14_sax_shapelets", "shapes", "SELECT symbol, sax, frequency, start, avg_return, std_return, win_rate FROM shapes", "avg_return std_return win_rate")
+def found_shapelets(spark, root):
+    return DT.shapelets(store(bars_b(spark, root)), SIZES)
+
+
+@query("d14_sax_shapelets", "shapes", "SELECT symbol, length, sax, frequency, start, avg_return, std_return, win_rate FROM shapes", "avg_return std_return win_rate")
 def d14(spark, root):
-    return DT.shapelets(bars_b(spark, root))[1].drop("shape")
+    return found_shapelets(spark, root)[1].drop("shape")
 
 
-@query("d15_shapelet_matches", "shapes", """SELECT symbol, seq, sax, shapelet, similarity FROM (SELECT c.symbol, c.seq, c.sax, s.start AS shapelet, (corr(c.v[k], s.shape[k]) + 1) / 2 AS similarity FROM cand c JOIN shapes s USING (symbol, sax), range(1, 17) t(k) GROUP BY ALL) WHERE similarity >= 0.9""", "similarity")
+@query("d15_shapelet_matches", "shapes", """SELECT symbol, seq, length, sax, shapelet, similarity FROM (SELECT symbol, seq, length, sax, shapelet, (corr(x, y) + 1) / 2 AS similarity FROM (SELECT c.symbol, c.seq, length, sax, s.start AS shapelet, unnest(c.v) AS x, unnest(s.shape) AS y FROM cand c JOIN shapes s USING (symbol, length, sax)) GROUP BY ALL) WHERE similarity >= 0.9""", "similarity")
 def d15(spark, root):
-    return DT.match_shapelets(*DT.shapelets(bars_b(spark, root)))
+    return DT.match_shapelets(*found_shapelets(spark, root))
 
 
-@query("a29_shapelet_summary", "shapes", "SELECT sax, count(*) AS shapelets, CAST(sum(frequency) AS BIGINT) AS occurrences FROM shapes GROUP BY sax ORDER BY occurrences DESC, sax LIMIT 10")
+@query("a29_shapelet_summary", "shapes", "SELECT length, sax, count(*) AS shapelets, CAST(sum(frequency) AS BIGINT) AS occurrences FROM shapes GROUP BY length, sax ORDER BY occurrences DESC, length, sax LIMIT 10")
 def a29(spark, root):
-    s = DT.shapelets(bars_b(spark, root))[1]
-    return s.groupBy("sax").agg(DT.one().alias("shapelets"), F.sum("frequency").alias("occurrences")).orderBy(F.col("occurrences").desc(), "sax").limit(10)
+    s = found_shapelets(spark, root)[1]
+    return s.groupBy("length", "sax").agg(DT.one().alias("shapelets"), F.sum("frequency").alias("occurrences")).orderBy(F.col("occurrences").desc(), "length", "sax").limit(10)
 
 
 def shapes(spark, root):
-    """All 16-point parts of the label means, side by side."""
-    return V.strided(library(spark, root), 16, 16).select(F.col("sid").alias("id"), "v")
+    """All 16-point parts of the label means, at every start."""
+    return V.strided(library(spark, root), 16, 1).select(F.col("sid").alias("id"), "v")
 
 
 @query("d17_shapelet_transform", "series parts_z", """WITH w AS (SELECT id, p, v[p + 1:p + 16] AS w FROM series, range(49) t(p)), z AS (SELECT id, p, [(x - list_avg(w)) / list_stddev_pop(w) for x in w] AS z FROM w)

@@ -81,14 +81,18 @@ def d11(spark, root):
 
 
 def sub_distances(spark, root):
-    """(id, start, rid, d): normalised warping distance of every sub-window to every reference, the first 16 points of the label means."""
+    """(id, start, rid, d): normalised warping distance of every sub-window to every reference pattern.
+
+    Reference patterns are sub-windows of the label means at half-length steps; ``rid`` is label * 4096 + start.
+    """
     parts = store(V.strided(series(spark, root), PART, STEP))
-    refs = library(spark, root).select("id", F.slice("v", 1, PART).alias("v"))
+    refs = store(V.strided(library(spark, root), PART, STEP)).select(F.col("sid").alias("id"), "v")
     d = PR.cross_distances(parts.select(F.col("sid").alias("id"), "v"), refs)
     return store(parts.select("id", "sid", "start").join(d.select(F.col("a").alias("sid"), F.col("b").alias("rid"), F.col("normalized").alias("d")), "sid").drop("sid"))
 
 
-cte("sub_pairs", "SELECT id || '-' || st AS id, rid, s.id AS sid, st, v[st + 1:st + 16] AS x, y[1:16] AS y FROM series s, (VALUES (0), (8), (16), (24), (32), (40), (48)) t(st), label_means", "series label_means")
+_STARTS = "(VALUES (0), (8), (16), (24), (32), (40), (48))"
+cte("sub_pairs", f"SELECT id || '-' || t.st AS id, rid * 4096 + u.st AS rid, s.id AS sid, t.st, v[t.st + 1:t.st + 16] AS x, y[u.st + 1:u.st + 16] AS y FROM series s, {_STARTS} t(st), label_means, {_STARTS} u(st)", "series label_means")
 dtw_cte("sub_dtw", "SELECT * FROM sub_pairs", "sub_pairs", 16)
 cte("sub_dist", "SELECT p.sid AS id, p.st AS start, p.rid, d.distance / 32 AS d FROM sub_pairs p JOIN sub_dtw d USING (id, rid)", "sub_dtw")
 cte("sub_near", "SELECT id, start, arg_min(rid, (d, rid)) AS rid FROM sub_dist GROUP BY id, start", "sub_dist")
@@ -102,10 +106,10 @@ def d27(spark, root):
 
 
 @query("d27_sequence_features", "sub_near", """WITH m AS (SELECT *, rid <> lag(rid) OVER (PARTITION BY id ORDER BY start) AS moved FROM sub_near), c AS (SELECT id, rid, count(*) AS c FROM sub_near GROUP BY id, rid), t AS (SELECT id, arg_max(rid, (c, -rid)) AS dominant, max(c) AS c FROM c GROUP BY id)
-  SELECT id, coalesce(sum(CAST(moved AS BIGINT)), 0)::BIGINT AS transitions, 1 - coalesce(sum(CAST(moved AS BIGINT)), 0) / greatest(count(*) - 1, 1) AS stability, any_value(dominant) AS dominant, any_value(c) / count(*) AS dominant_share, count(DISTINCT rid) / 10 AS diversity, regr_slope(rid, start / 64) AS trend_slope, regr_r2(rid, start / 64) AS trend_r2
+  SELECT id, coalesce(sum(CAST(moved AS BIGINT)), 0)::BIGINT AS transitions, 1 - coalesce(sum(CAST(moved AS BIGINT)), 0) / greatest(count(*) - 1, 1) AS stability, any_value(dominant) AS dominant, any_value(c) / count(*) AS dominant_share, count(DISTINCT rid) / 70 AS diversity, regr_slope(rid, start / 64) AS trend_slope, regr_r2(rid, start / 64) AS trend_r2
   FROM m JOIN t USING (id) GROUP BY id""", "stability dominant_share diversity trend_slope trend_r2")
 def d27_sequence(spark, root):
-    return V.sequence_features(V.nearest_reference(sub_distances(spark, root)), 64, 10)
+    return V.sequence_features(V.nearest_reference(sub_distances(spark, root)), 64, 70)
 
 
 @query("d28_reference_sequence", "sub_near", "SELECT id, string_agg(CAST(rid AS VARCHAR), '-' ORDER BY start) AS sequence FROM sub_near GROUP BY id")

@@ -47,10 +47,11 @@ def d13(spark, root):
     return HK.indexed_search(items(spark, root), library(spark, root), 3, 2.0).select("a", "b", "similarity", F.col("rank").cast("long").alias("rank"))
 
 
-@query("d23_motif_features", "shapes", """SELECT symbol, sax, list_avg(shape) AS mean, list_stddev_pop(shape) AS std, list_min(shape) AS min, list_max(shape) AS max, list_sum([shape[k] * (k - 8.5) for k in range(1, 17)]) / 340 AS slope, list_sum([x * x for x in shape]) AS energy FROM shapes""", "mean std min max slope energy")
+@query("d23_motif_features", "shapes", """SELECT symbol, length, sax, list_avg(shape) AS mean, list_stddev_pop(shape) AS std, list_min(shape) AS min, list_max(shape) AS max, list_sum([shape[k] * (k - (length + 1) / 2) for k in range(1, length + 1)]) / ((length ** 3 - length) / 12) AS slope, list_sum([x * x for x in shape]) AS energy FROM shapes""", "mean std min max slope energy")
 def d23(spark, root):
     from tapeline.functions import arrays as A
+    from tapeline.plans.d_detection import found_shapelets
 
-    s = DT.shapelets(bars_b(spark, root))[1].select("symbol", "sax", F.col("shape").alias("v"))
+    s = found_shapelets(spark, root)[1].select("symbol", "length", "sax", F.col("shape").alias("v"))
     s = A.hold(s, energy=A.total("v", lambda x: x * x))
-    return SH.statistics(s).select("symbol", "sax", "mean", "std", "min", "max", "slope", "energy")
+    return SH.statistics(s).select("symbol", "length", "sax", "mean", "std", "min", "max", "slope", "energy")
