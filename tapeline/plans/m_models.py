@@ -3,8 +3,10 @@
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
+from tapeline.functions.lineage import store
 from tapeline.operators import aggregates as A
 from tapeline.operators import learned as ML
+from tapeline.operators import linkage as LK
 from tapeline.operators import regimes as R
 from tapeline.operators import transitions as T
 from tapeline.plans.a_transitions import states
@@ -31,6 +33,23 @@ def m04(spark, root):
     return R.bisecting(R.scaled(embedded(spark, root)), 5).groupBy("cluster").agg(A.one().alias("n"))
 
 
+#: distance of the cut
+NEAR = 1.1
+_NEAR = f"near_links AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM series a JOIN series b ON a.id <> b.id AND list_distance(a.v, b.v) <= {NEAR}), reach AS (SELECT id, id AS at_ FROM series UNION SELECT reach.id, b FROM reach JOIN near_links ON a = at_)"
+
+
+@query("m04_linkage", "series", f"WITH RECURSIVE {_NEAR} SELECT id AS node, min(at_) AS cluster FROM reach GROUP BY id")
+def m04_linkage(spark, root):
+    s = store(series(spark, root).select("id", "v"))
+    return LK.single_linkage(s.select(F.col("id").alias("node")), LK.close_pairs(s, NEAR), distance=NEAR)
+
+
+@query("m04_clusters")
+def m04_clusters(spark, root):
+    s = store(series(spark, root).select("id", "v"))
+    return LK.single_linkage(s.select(F.col("id").alias("node")), LK.close_pairs(s, 1.25), clusters=8)
+
+
 _M5 = "mean std skew down_share relative_volume position range rsi atr_ratio sma_gap"
 
 
