@@ -23,10 +23,6 @@ def share(cond: Column) -> Column:
     return F.avg(cond.cast("double"))
 
 
-def with_total(df: DataFrame, name="total") -> DataFrame:
-    return df.crossJoin(F.broadcast(df.agg(one().alias(name))))
-
-
 def type_statistics(patterns: DataFrame) -> DataFrame:
     """Count, means and share per pattern type; absent types show zeros."""
     dim = patterns.sparkSession.createDataFrame([(t,) for t in PATTERN_TYPES], "type string")

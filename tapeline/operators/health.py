@@ -63,10 +63,13 @@ def running_statistics(values: DataFrame, column: str, alpha=0.01) -> DataFrame:
 
 
 def adaptation_report(errors: DataFrame, rows=100) -> DataFrame:
-    """MAE and RMSE over the last rows, over the rows before them, and the direction."""
+    """MAE and RMSE over the last rows, over the rows before them, the direction, and how often each detector saw a drift begin."""
     last = errors.groupBy("symbol").agg(F.max("seq").alias("_z"))
     d = errors.join(last, "symbol").withColumn("_age", F.col("_z") - F.col("seq"))
     e = F.col("error")
     new, old = F.when(F.col("_age") < rows, e), F.when((F.col("_age") >= rows) & (F.col("_age") < 2 * rows), e)
     g = d.groupBy("symbol").agg(F.avg(F.abs(new)).alias("mae"), F.sqrt(F.avg(new * new)).alias("rmse"), F.avg(F.abs(old)).alias("_p"), F.count(F.lit(1)).alias("n"))
-    return g.select("symbol", "n", "mae", "rmse", F.when(F.col("mae") < F.col("_p"), "improving").when(F.col("mae") > F.col("_p"), "degrading").otherwise("stable").alias("trend"))
+    for name, found in (("shifts", mean_shift(errors)), ("page_hinkley", page_hinkley(errors))):
+        begins = rolled(found.select("symbol", "seq", "drift"), lambda h, w: h.withColumn("_b", F.col("drift") & ~F.coalesce(F.lag("drift").over(w), F.lit(False))), 1)
+        g = g.join(begins.groupBy("symbol").agg(F.count_if("_b").alias(name)), "symbol", "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    return g.select("symbol", "n", "mae", "rmse", F.when(F.col("mae") < F.col("_p"), "improving").when(F.col("mae") > F.col("_p"), "degrading").otherwise("stable").alias("trend"), "shifts", "page_hinkley")

@@ -53,11 +53,14 @@ def kmeans(df: DataFrame, k: int, name="scaled", seed=42) -> DataFrame:
     return m.transform(df).withColumn("inertia", F.lit(float(m.summary.trainingCost)))
 
 
-def elbow(df: DataFrame, ks, name="scaled", seed=42) -> int:
-    """k with the largest second difference of the cost."""
-    cost = [KMeans(featuresCol=name, k=k, seed=seed).fit(df).summary.trainingCost for k in ks]
+def elbow(df: DataFrame, ks, name="scaled", seed=42) -> DataFrame:
+    """(k, cost, chosen): cost of k-means for each of ``ks``; the k with the largest second difference is chosen. One fit for each k when the frame is built."""
+    df, ks = df.select(name).cache(), list(ks)
+    cost = [float(KMeans(featuresCol=name, k=k, seed=seed).fit(df).summary.trainingCost) for k in ks]
+    df.unpersist()
     second = [cost[i - 1] - 2 * cost[i] + cost[i + 1] for i in range(1, len(cost) - 1)]
-    return list(ks)[1 + max(range(len(second)), key=second.__getitem__)]
+    best = ks[1 + max(range(len(second)), key=second.__getitem__)]
+    return df.sparkSession.createDataFrame([(k, c, k == best) for k, c in zip(ks, cost)], "k int, cost double, chosen boolean")
 
 
 def bisecting(df: DataFrame, k: int, name="scaled", seed=42) -> DataFrame:

@@ -28,6 +28,11 @@ def m01(spark, root):
     return d.groupBy("cluster").agg(A.one().alias("n"), F.first("inertia").alias("inertia"))
 
 
+@query("m01_elbow")
+def m01_elbow(spark, root):
+    return R.elbow(R.scaled(embedded(spark, root)), range(2, 9))
+
+
 @query("m04_bisecting")
 def m04(spark, root):
     return R.bisecting(R.scaled(embedded(spark, root)), 5).groupBy("cluster").agg(A.one().alias("n"))
@@ -211,6 +216,13 @@ def labelled(spark, root):
     return s.select("id", "label", *[F.col("v")[i].alias(n) for i, n in enumerate(DIMENSIONS)])
 
 
+@query("a34_elimination")
+def a34_elimination(spark, root):
+    """The eight coordinates that recursive elimination keeps, best first."""
+    kept = ML.recursive_elimination(store(labelled(spark, root)), DIMENSIONS, 8)
+    return spark.createDataFrame([(i, f) for i, f in enumerate(kept)], "place int, feature string")
+
+
 @query("a34_forest_importance")
 def a34(spark, root):
     return ML.forest_importance(R.vectors(labelled(spark, root), DIMENSIONS), DIMENSIONS)

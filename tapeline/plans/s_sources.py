@@ -14,7 +14,7 @@ from tapeline.plans.registry import query
 from tapeline.plans.w_indicators import W, g, keep
 from tapeline.sources import derived as D
 from tapeline.sources import io
-from tapeline.sources.tables import DAY, bars_b, bars_d, bars_h, build_bars, epoch, event_ticks, series, table
+from tapeline.sources.tables import DAY, bars_b, bars_d, bars_h, build_bars, epoch, event_ticks, series, table, with_seq
 
 
 def folder(spark):
@@ -24,7 +24,8 @@ def folder(spark):
 
 @query("s01_bar_scan", "bars_h", f"SELECT symbol, seq, open, high, low, close, volume, coalesce(close / lag(close) OVER w - 1, 0) AS returns FROM bars_h {W}", "returns")
 def s01(spark, root):
-    return P.with_returns(bars_h(spark, root)).drop("ts")
+    raw = build_bars(event_ticks(spark, root), 3600).withColumnsRenamed({"ts": "Date", "open": "Open", "close": "CLOSE", "volume": "Volume"})
+    return P.with_returns(with_seq(io.scan_bars(raw), 3600)).drop("ts")
 
 
 @query("s02_bar_builder", "bars_h", "SELECT symbol, ts, open, high, low, close, volume FROM bars_h")
@@ -44,6 +45,17 @@ def s04(spark, root):
     return io.upsert(base, new, ["custkey", "ts"]).drop("loaded_at")
 
 
+@query("s04_partitions", "", """SELECT CAST(year(o_orderdate) AS INT) AS year, o_custkey AS custkey, CAST(o_orderdate AS TIMESTAMP) AS ts, last(o_totalprice ORDER BY o_orderkey) AS price FROM orders GROUP BY ALL""")
+def s04_partitions(spark, root):
+    """The table by year on disk; orders that came later replace only the years they touch."""
+    path = folder(spark)
+    o = table(spark, root, "orders").select(F.year("o_orderdate").alias("year"), F.col("o_custkey").alias("custkey"), F.col("o_orderdate").alias("ts"), F.col("o_totalprice").alias("price"), F.col("o_orderkey").alias("loaded_at"), "o_orderstatus")
+    keys = ["year", "custkey", "ts"]
+    io.write_partitions(io.latest(o.filter("o_orderstatus = 'F'").drop("o_orderstatus"), keys), path, "year")
+    io.upsert_partitions(o.filter("o_orderstatus <> 'F'").drop("o_orderstatus"), path, keys, "year")
+    return spark.read.parquet(path).drop("loaded_at")
+
+
 @query("s05_fresh_lookup", "", """WITH z AS (SELECT max(ts) AS z FROM events), d AS (SELECT user_id, max(ts) AS last_updated, count(*) AS n FROM events GROUP BY 1) SELECT event_id, user_id, n FROM events JOIN d USING (user_id), z WHERE epoch(last_updated) // 1 > epoch(z) // 1 - 86400""".replace("epoch(last_updated) // 1", "floor(epoch(last_updated))").replace("epoch(z) // 1", "floor(epoch(z))"))
 def s05(spark, root):
     e = table(spark, root, "events")

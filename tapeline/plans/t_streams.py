@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tapeline.functions.lineage import store
 from tapeline.operators import health as H
-from tapeline.plans.registry import cte, query
+from tapeline.plans.registry import ORACLES, cte, query
 from tapeline.plans.s_sources import folder
 from tapeline.plans.w_indicators import W, keep
 from tapeline.sources import derived as D
@@ -141,10 +141,13 @@ def t15(spark, root):
     return keep(H.running_statistics(ticks_u(spark, root), "price"), "mean", "min", "max")
 
 
-@query("t16_adaptation_report", "errs", """SELECT symbol, n, mae, rmse, CASE WHEN mae < p THEN 'improving' WHEN mae > p THEN 'degrading' ELSE 'stable' END AS trend FROM (SELECT symbol, count(*) AS n, avg(error) FILTER (age < 30) AS mae, sqrt(avg(error * error) FILTER (age < 30)) AS rmse, avg(error) FILTER (age >= 30 AND age < 60) AS p
-  FROM (SELECT *, max(seq) OVER (PARTITION BY symbol) - seq AS age FROM errs) GROUP BY symbol)""", "mae rmse")
+cte("drifts", f"""SELECT symbol, seq, kind, drift, lag(drift) OVER (PARTITION BY symbol, kind ORDER BY seq) AS before FROM (SELECT symbol, seq, 'shifts' AS kind, drift FROM ({ORACLES["t14_mean_shift"][1]}) UNION ALL SELECT symbol, seq, 'page_hinkley', drift FROM ({ORACLES["t14_page_hinkley"][1]}))""", "errs")
+
+
+@query("t16_adaptation_report", "drifts", """SELECT symbol, n, mae, rmse, CASE WHEN mae < p THEN 'improving' WHEN mae > p THEN 'degrading' ELSE 'stable' END AS trend, shifts, page_hinkley FROM (SELECT symbol, count(*) AS n, avg(error) FILTER (age < 30) AS mae, sqrt(avg(error * error) FILTER (age < 30)) AS rmse, avg(error) FILTER (age >= 30 AND age < 60) AS p
+  FROM (SELECT *, max(seq) OVER (PARTITION BY symbol) - seq AS age FROM errs) GROUP BY symbol) JOIN (SELECT symbol, count(*) FILTER (kind = 'shifts' AND drift AND NOT coalesce(before, FALSE)) AS shifts, count(*) FILTER (kind = 'page_hinkley' AND drift AND NOT coalesce(before, FALSE)) AS page_hinkley FROM drifts GROUP BY symbol) USING (symbol)""", "mae rmse")
 def t16(spark, root):
-    return H.adaptation_report(errs(spark, root), 30)
+    return H.adaptation_report(store(errs(spark, root)), 30)
 
 
 @query("t17_event_time_bars", "bars_h", "SELECT symbol, ts, open, high, low, close, volume FROM bars_h")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tapeline.functions.frames import div, number_rows, quantiles, rmean, rolled, rstd
+from tapeline.functions.lineage import store
 
 # Days per period name.
 PERIOD_DAYS = {"1d": 1, "5d": 5, "1mo": 30, "3mo": 90, "6mo": 180, "1y": 365, "2y": 730, "5y": 1825, "10y": 3650, "max": 36500}
@@ -36,11 +37,24 @@ def recent(bars: DataFrame, period: str) -> DataFrame:
     return bars.crossJoin(F.broadcast(newest)).filter(F.col("ts") >= F.col("_z") - days).drop("_z")
 
 
-def upsert(base: DataFrame, changes: DataFrame, keys, loaded="loaded_at") -> DataFrame:
+def latest(rows: DataFrame, keys, loaded="loaded_at") -> DataFrame:
     """Latest version of every key (one reduction, no window)."""
-    cols = [c for c in base.columns if c not in keys]
-    rec = F.max_by(F.struct(*cols), F.col(loaded)).alias("_r")
-    return base.unionByName(changes).groupBy(*keys).agg(rec).select(*keys, *[F.col("_r." + c) for c in cols])
+    rec = F.max_by(F.struct(*[c for c in rows.columns if c not in keys]), F.col(loaded)).alias("_r")
+    return rows.groupBy(*keys).agg(rec).select(*[c if c in keys else F.col("_r." + c) for c in rows.columns])
+
+
+def upsert(base: DataFrame, changes: DataFrame, keys, loaded="loaded_at") -> DataFrame:
+    """Latest version of every key of both tables."""
+    return latest(base.unionByName(changes), keys, loaded)
+
+
+def upsert_partitions(changes: DataFrame, path: str, keys, by: str, loaded="loaded_at") -> None:
+    """Merge ``changes`` into the partitioned table at ``path``; only partitions that they touch are read, and only these are replaced."""
+    spark = changes.sparkSession
+    touched = changes.select(F.struct(by).alias("_k")).distinct()
+    base = spark.read.parquet(path).withColumn("_k", F.struct(by)).join(touched, "_k", "left_semi").drop("_k")
+    # stored, since the partitions that are read are replaced
+    write_partitions(store(upsert(base.select(*changes.columns), changes, keys, loaded)), path, by)
 
 
 def write_partitions(df: DataFrame, path: str, by: str) -> None:

@@ -11,12 +11,6 @@ def tick_stream(spark: SparkSession, path: str, schema, fmt="parquet", max_files
     return spark.readStream.format(fmt).schema(schema).option("maxFilesPerTrigger", max_files).load(path)
 
 
-def kafka_ticks(spark: SparkSession, servers: str, topic: str, schema) -> DataFrame:
-    """Ticks from a Kafka topic (needs the Kafka package on the cluster)."""
-    raw = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).load()
-    return raw.select(F.from_json(F.col("value").cast("string"), schema).alias("x")).select("x.*")
-
-
 def event_time_bars(ticks: DataFrame, step="1 hour", late="10 minutes") -> DataFrame:
     """Bars from (symbol, ts timestamp, tie, price, size); rows later than the watermark are dropped."""
     order = F.struct("ts", "tie")
