@@ -1,11 +1,15 @@
 """Chat formatting in budgeted windows, in DataFrame functions only.
 
-Each turn costs its tokens plus a fixed overhead. Prefix sums of the costs along a conversation place every turn; the turns that end between two multiples
-of ``stride`` form a span, so spans are turn-aligned and every turn is new in exactly one. A window holds the system turn, the last turns of the
-span before up to ``history`` tokens, and its span. Only the assistant turns of the span itself carry loss: what is repeated is masked.
+Each turn costs its tokens plus a fixed overhead. A window of ``budget`` tokens has room for a system turn of ``system`` tokens, ``history`` tokens of repeated
+turns and a span of new ones. Prefix sums of the costs along a conversation place every turn; the turns that end between two multiples of the
+span's room form a span if they fit. If not, those that end in each half do, but a turn above half the room has a span of its own: a span of others
+then starts at most half the room before its half. So spans are turn-aligned, every turn is new in exactly one, and a span that is not a single turn
+fits its room. A window holds the system turn, the last turns of the span before as far as history and budget allow, and its span. It is over
+the budget only if the system turn is over its share or a single turn over the room. Only the assistant turns of the span itself carry loss: what is
+repeated is masked.
 
 The prefix sums are taken in chunks of turns, with the sums of the earlier chunks added, so a very long conversation is spread over tasks; a window
-is bounded by stride + history + two turns.
+is bounded by the budget or by its system turn and one turn.
 """
 
 from __future__ import annotations
@@ -13,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-STRIDE, HISTORY, OVERHEAD = 512, 128, 4
+BUDGET, SYSTEM, HISTORY, OVERHEAD = 512, 80, 64, 4
 CHUNK = 64  # turn numbers of one chunk
 #: The template.
 START, END, TARGET = "<|im_start|>", "<|im_end|>\n", "assistant"
@@ -53,21 +57,30 @@ def placed_turns(conversations: DataFrame, conv: str = "conv_id", turn: str = "t
     return rows.join(offsets, ["key", "chunk"]).withColumn("stop", stop).select("key", "conv_id", "role", "text", (F.col("stop") - F.col("cost")).alias("start"), "stop")
 
 
-def format_windows(conversations: DataFrame, stride: int = STRIDE, history: int = HISTORY, **columns: str) -> DataFrame:
+def half_room(budget: int = BUDGET, system: int = SYSTEM, history: int = HISTORY) -> int:
+    return max(1, (budget - system - history) // 2)
+
+
+def format_windows(conversations: DataFrame, budget: int = BUDGET, system: int = SYSTEM, history: int = HISTORY, **columns: str) -> DataFrame:
     """(conv_id, window, formatted, n_repeated, loss array<struct<start, stop>>, tokens).
 
     ``n_repeated`` leading turns of the window are repeats; ``loss`` holds code point ranges of the formatted text, stop exclusive. An empty table gives no
-    windows. A turn longer than the stride is a span of its own and is never cut.
+    windows. A turn is never cut.
     """
-    turns = placed_turns(conversations, **columns).withColumn("window", F.floor((F.col("stop") - 1) / stride).cast("long"))
-    spans = turns.groupBy("key", "window").agg(F.max("stop").alias("hi"))
-    spans = spans.withColumn("next", F.lead("window").over(Window.partitionBy("key").orderBy("window")))
-    system = (F.col("start") == 0) & (F.col("role") == "system")
-    again = (F.col("hi") - F.col("start") <= history) & F.col("next").isNotNull() & ~system
+    half, cost = half_room(budget, system, history), F.col("stop") - F.col("start")
+    turns = placed_turns(conversations, **columns).withColumn("part", F.floor((F.col("stop") - 1) / half).cast("long"))
+    # a room holds at most 2 * half / OVERHEAD turns
+    whole = F.sum(cost).over(Window.partitionBy("key", F.floor(F.col("part") / 2))) <= 2 * half
+    turns = turns.withColumn("window", F.when(whole, 4 * F.floor(F.col("part") / 2)).otherwise(2 * F.col("part") + (cost <= half).cast("long"))).drop("part")
+    spans = turns.groupBy("key", "window").agg(F.max("stop").alias("hi"), F.sum(cost).alias("new"))
+    along = Window.partitionBy("key").orderBy("window")
+    spans = spans.select("key", "window", "hi", F.lead("window").over(along).alias("next"), F.least(F.lit(history), budget - system - F.lead("new").over(along)).alias("room"))
+    first_system = (F.col("start") == 0) & (F.col("role") == "system")
+    again = (F.col("hi") - F.col("start") <= F.col("room")) & F.col("next").isNotNull() & ~first_system
     uses = F.array_compact(F.array(F.struct(F.lit(2).alias("kind"), F.col("window").alias("window")), F.when(again, F.struct(F.lit(1).alias("kind"), F.col("next").alias("window")))))
     part = F.struct("kind", "start", "role", "text", (F.col("stop") - F.col("start")).alias("cost"))
     body = turns.join(spans, ["key", "window"]).withColumn("use", F.explode(uses)).select("key", "conv_id", "use.window", F.col("use.kind").alias("kind"), "start", "stop", "role", "text")
-    first = turns.filter(system).select("key", "conv_id", F.col("window").alias("own"), F.lit(0).alias("kind"), "start", "stop", "role", "text")
+    first = turns.filter(first_system).select("key", "conv_id", F.col("window").alias("own"), F.lit(0).alias("kind"), "start", "stop", "role", "text")
     head = spans.select("key", "window").join(first, "key").filter("window <> own").select(*body.columns)
     packed = body.unionByName(head).groupBy("key", "conv_id", "window").agg(F.array_sort(F.collect_list(part)).alias("parts"))
 

@@ -74,9 +74,9 @@ cost AS (SELECT *, len(regexp_extract_all(text, '[\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{
  ]')) + {chat.OVERHEAD} AS cost,
   {len(chat.START) + 1 + len(chat.END)} + length(replace({_ESC('role')}, chr(10), chr(92) || 'n')) + length({_ESC('text')}) AS chars FROM raw),
 pos AS (SELECT *, sum(cost) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING) AS stop FROM cost),
-at_ AS (SELECT *, stop - cost AS start, (stop - 1) // {chat.STRIDE} AS span, role = 'system' AND stop = cost AS sys FROM pos),
-span AS (SELECT conv_id, span, max(stop) AS hi, lead(span) OVER (PARTITION BY conv_id ORDER BY span) AS nxt FROM at_ GROUP BY conv_id, span),
-again AS (SELECT conv_id, sum(chars) AS chars FROM at_ JOIN span USING (conv_id, span) WHERE hi - start <= {chat.HISTORY} AND nxt IS NOT NULL AND NOT sys GROUP BY conv_id),
+at_ AS (SELECT *, stop - cost AS start, CASE WHEN sum(cost) OVER (PARTITION BY conv_id, (stop - 1) // {2 * chat.half_room()}) <= {2 * chat.half_room()} THEN 4 * ((stop - 1) // {2 * chat.half_room()}) ELSE 2 * ((stop - 1) // {chat.half_room()}) + CAST(cost <= {chat.half_room()} AS INT) END AS span, role = 'system' AND stop = cost AS sys FROM pos),
+span AS (SELECT *, lead(span) OVER w AS nxt, least({chat.HISTORY}, {chat.BUDGET - chat.SYSTEM} - lead(new) OVER w) AS room FROM (SELECT conv_id, span, max(stop) AS hi, sum(cost) AS new FROM at_ GROUP BY conv_id, span) WINDOW w AS (PARTITION BY conv_id ORDER BY span)),
+again AS (SELECT conv_id, sum(chars) AS chars FROM at_ JOIN span USING (conv_id, span) WHERE hi - start <= room AND nxt IS NOT NULL AND NOT sys GROUP BY conv_id),
 head AS (SELECT conv_id, sum(a.chars) AS chars FROM at_ a JOIN span s USING (conv_id) WHERE a.sys AND a.span <> s.span GROUP BY conv_id),
 whole AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY stop)) AS turns_sha256,
   CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,

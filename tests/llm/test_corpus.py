@@ -98,7 +98,12 @@ def test_chat(spark):
     assert got == want
     back = windows.filter("conv_id = 1").orderBy("window").collect()
     assert len(back) > 5 and all(w["formatted"].startswith("<|im_start|>system\nbe brief") for w in back)
-    assert all(w["tokens"] <= chat.STRIDE + chat.HISTORY + 2 * 250 for w in back) and any(w["n_repeated"] > 1 for w in back)
+    assert all(w["tokens"] <= chat.BUDGET for w in back) and any(w["n_repeated"] > 1 for w in back)
+    for params in ({}, {"budget": 200, "system": 10, "history": 30}, {"budget": 900, "history": 200}):
+        budget, room = params.get("budget", chat.BUDGET), 2 * chat.half_room(**params)
+        cost = {c: [len(re.findall(r"[^\W_]+|[^\w\s]|_", t or "")) + chat.OVERHEAD for k, _, _, t in rows if k == c] for c in by}
+        for w in chat.format_windows(df, **params).collect():
+            assert w["tokens"] <= budget or max(cost[w["conv_id"]]) > room
     assert chat.digests(chat.format_windows(df.limit(0))).count() == 0
 
 
@@ -218,6 +223,16 @@ def test_pipeline(spark, root):
     assert all(df.columns == raw.columns for df in seen[:-1]) and len(corpus_pipeline.STAGES) == 5
     assert ids[1] == sorted(r["doc_id"] for r in QUERIES["op9_quality_rules"](spark, root).filter("kept").collect())
     texts = dict(seen[2].select("doc_id", "text").collect())
+    spots, gone, before = set(), defaultdict(set), dict(seen[1].select("doc_id", "text").collect())
+    for d, t in sorted(before.items()):
+        lines = [(i, x.strip(" \t\n\x0b\x0c\r")) for i, x in enumerate(t.split("\n"))]
+        lines = [x for x in lines if x[1]]
+        for a, b, c in zip(lines, lines[1:], lines[2:]):
+            if (window := (a[1], b[1], c[1])) in spots:
+                gone[d] |= set(range(a[0], c[0] + 1))
+            spots.add(window)
+    left = {d: "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[d]) for d, t in before.items()}
+    assert texts == {d: t for d, t in left.items() if re.search(r"[^\x20\x09-\x0D]", t)}
     fps = {d: brute_fingerprint(t) for d, t in texts.items()}
     comp = classes(fps, [(a, b) for a, b in combinations(sorted(fps), 2) if (fps[a] ^ fps[b]).bit_count() <= 3])
     assert ids[3] == sorted(set(comp.values()))
