@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeline.functions.frames import rolled
-from tapeline.operators.pairs import row_kernel, tiles
+from tapeline.operators.pairs import row_kernel, stacked_rows, tiles
 
 
 def rolling_apply(df: DataFrame, column: str, n: int, fn, name: str) -> DataFrame:
@@ -31,17 +31,27 @@ def apply_features(df: DataFrame, extractor, schema: str) -> DataFrame:
     return row_kernel(df, extractor, schema)
 
 
-def random_kernels(series: DataFrame, count=50, seed=42, pooling="max") -> DataFrame:
-    """Features of seeded random convolutions of length 7, 9 or 11 (same kernels for every row)."""
+def kernel_bank(count=50, seed=42) -> list[np.ndarray]:
+    """Seeded random kernels of length 7, 9 or 11."""
     rng = np.random.default_rng(seed)
-    bank = [rng.normal(size=rng.choice([7, 9, 11])) for _ in range(count)]
+    return [rng.normal(size=rng.choice([7, 9, 11])) for _ in range(count)]
+
+
+def random_kernels(series: DataFrame, count=50, seed=42, pooling="max") -> DataFrame:
+    """Features of seeded random convolutions (same kernels for every row): windows times a matrix of the kernels of one length, pooled; 0 for shorter series."""
+    bank = kernel_bank(count, seed)
+    by_size = {n: [k for k, w in enumerate(bank) if len(w) == n] for n in {len(w) for w in bank}}
 
     def fn(pdf):
-        rows = []
-        for i, v in zip(pdf.id, pdf.v):
-            v = np.asarray(v, float)
-            rows.append((i, [float(getattr(np.convolve(v, k[::-1], "valid"), pooling)()) if len(v) >= len(k) else 0.0 for k in bank]))
-        return pd.DataFrame(rows, columns=["id", "features"])
+        parts = []
+        for rows, v in stacked_rows(pdf):
+            out = np.zeros((len(v), count))
+            for n, ks in by_size.items():
+                if v.shape[1] >= n:
+                    windows = np.lib.stride_tricks.sliding_window_view(v, n, axis=1)
+                    out[:, ks] = getattr(windows @ np.stack([bank[k] for k in ks], axis=1), pooling)(axis=1)
+            parts.append(pd.DataFrame({"id": rows.id.to_numpy(), "features": list(out)}))
+        return pd.concat(parts) if parts else pd.DataFrame({"id": [], "features": []})
 
     return row_kernel(series.select("id", "v"), fn, "id long, features array<double>")
 

@@ -228,6 +228,9 @@ def merged_predictions(predictions: DataFrame) -> DataFrame:
 
 # ---- template match
 
+#: templates of one match: the bound of its broadcast
+MOST_TEMPLATES = 10_000
+
 
 def _template_features(v: np.ndarray) -> np.ndarray:
     d = np.diff(v, axis=1)
@@ -240,9 +243,11 @@ def _template_features(v: np.ndarray) -> np.ndarray:
 def template_match(queries: DataFrame, templates: DataFrame, top: int = 5, least: float = 0.7, window: int = 10) -> DataFrame:
     """(id, rid, similarity, rank): best templates per query among the 3 x ``top`` that are nearest by the cosine of ten features.
 
-    Score: 0.4 warping + 0.3 correlation + 0.2 features + 0.1 length, for z-scored series of equal length. The templates are a library of bounded
-    size and broadcast as one array; queries of any number stream past it in batches.
+    Score: 0.4 warping + 0.3 correlation + 0.2 features + 0.1 length, for z-scored series of equal length. The templates are a library of at most
+    ``MOST_TEMPLATES`` rows, broadcast as one array (more are refused: match against them in parts); queries of any number stream past it in batches.
     """
+    if templates.limit(MOST_TEMPLATES + 1).count() > MOST_TEMPLATES:
+        raise ValueError(f"more than {MOST_TEMPLATES} templates; match against them in parts")
     packed = templates.agg(F.array_sort(F.collect_list(F.struct("id", "v"))).alias("lib"))
 
     def z(v):

@@ -59,7 +59,8 @@ def ridge_points(cwt: DataFrame, scales, threshold=0.1) -> DataFrame:
     """Local maxima in time and scale above a share of the symbol's largest magnitude."""
     top = cwt.groupBy("symbol").agg(F.max(F.abs("coef")).alias("_top"))
     idx = F.array_position(F.array(*[F.lit(float(s)) for s in scales]), F.col("scale")).cast("int") - 1
-    d = cwt.join(F.broadcast(top), "symbol").select("symbol", "seq", idx.alias("s"), "scale", (F.abs("coef") / F.col("_top")).alias("m"))
+    # one row for each symbol: joined as its size allows
+    d = cwt.join(top, "symbol").select("symbol", "seq", idx.alias("s"), "scale", (F.abs("coef") / F.col("_top")).alias("m"))
     d = rolled(d, lambda h, w: h.select("*", F.lag("m").over(w).alias("l"), F.lead("m").over(w).alias("r")), 1, 1, ("symbol", "s"))
     near = d.select("symbol", "seq", "s", "m")
     up, down = near.select("symbol", "seq", (F.col("s") - 1).alias("s"), F.col("m").alias("u")), near.select("symbol", "seq", (F.col("s") + 1).alias("s"), F.col("m").alias("d"))

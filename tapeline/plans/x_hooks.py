@@ -27,7 +27,11 @@ def x01(spark, root):
     return HK.apply_features(items(spark, root), spread, "id long, spread double")
 
 
-@query("f30_random_kernels", nums="value")
+_TAPS = ", ".join(f"({i}, {w.tolist()})" for i, w in enumerate(HK.kernel_bank()))
+
+
+@query("f30_random_kernels", "series", f"""WITH taps(kernel, w) AS (VALUES {_TAPS}), at_ AS (SELECT id, kernel, w, v, unnest(range(1, len(v) - len(w) + 2)) AS p FROM series, taps)
+  SELECT id, CAST(kernel AS INT) AS kernel, max(list_dot_product(v[p:p + len(w) - 1], w)) AS value FROM at_ GROUP BY id, kernel""", "value")
 def f30(spark, root):
     return HK.random_kernels(series(spark, root)).select("id", F.posexplode("features").alias("kernel", "value"))
 
