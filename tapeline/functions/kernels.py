@@ -36,6 +36,46 @@ def dtw(x: np.ndarray, y: np.ndarray, allowed: np.ndarray | None = None, square:
     return last[n].copy()
 
 
+def dtw_paths(x: np.ndarray, y: np.ndarray, allowed: np.ndarray | None = None):
+    """(distances, paths) of row k of ``x`` with row k of ``y``, all rows at once; an end that cannot be reached has no path.
+
+    The sweep of ``dtw`` also keeps where each cell came from, one byte a cell (ties: up, left, diagonal), and all rows are traced back together.
+    ``allowed`` is a mask (n, m) of usable cells, or (n, m, rows) with one for each row.
+    """
+    rows, n = x.shape
+    m = y.shape[1]
+    xt, yt = np.ascontiguousarray(x.T), np.ascontiguousarray(y.T[::-1])
+    before, last, now = (np.full((n + 1, rows), np.inf) for _ in range(3))
+    before[0] = 0.0
+    move = np.empty((n, m, rows), np.uint8)
+    for d in range(n + m - 1):
+        lo, hi = max(0, d - m + 1), min(n - 1, d) + 1
+        i = np.arange(lo, hi)
+        cost = np.abs(xt[lo:hi] - yt[m - 1 - d + lo : m - 1 - d + hi])
+        if allowed is not None:
+            cost[~allowed[i, d - i]] = np.inf
+        up, left, back = last[lo:hi], last[lo + 1 : hi + 1], before[lo:hi]
+        side = np.minimum(left, back)
+        move[i, d - i] = np.where(up <= side, 0, np.where(left <= back, 1, 2))
+        best = cost + np.minimum(up, side)
+        now[:] = np.inf
+        now[lo + 1 : hi + 1] = best
+        before, last, now = last, now, before
+    distance = last[n].copy()
+    i, j, k = np.full(rows, n - 1), np.full(rows, m - 1), np.arange(rows)
+    steps, live = [(i.copy(), j.copy())], np.isfinite(distance) & ((i > 0) | (j > 0))
+    size = np.where(np.isfinite(distance), 1, 0)
+    while live.any():
+        way = move[i, j, k]
+        i = np.where(live & (way != 1), i - 1, i)
+        j = np.where(live & (way != 0), j - 1, j)
+        size += live
+        steps.append((i.copy(), j.copy()))
+        live &= (i > 0) | (j > 0)
+    path = np.stack([np.stack(s, axis=1) for s in steps])
+    return distance, [path[:c, r][::-1] for r, c in enumerate(size.tolist())]
+
+
 def dtw_table(x: np.ndarray, y: np.ndarray, allowed: np.ndarray | None = None) -> np.ndarray:
     """Accumulated cost table of one pair."""
     cost = np.abs(x[:, None] - y[None, :])
@@ -90,6 +130,26 @@ def fast_dtw(x: np.ndarray, y: np.ndarray, radius: int = 1):
     return t[-1, -1], warping_path(t)
 
 
+def fast_paths(x: np.ndarray, y: np.ndarray, radius: int = 1):
+    """``fast_dtw`` of row k of ``x`` with row k of ``y``, all rows at once: every pair has its own mask of cells near its coarse path."""
+    rows, n = x.shape
+    m = y.shape[1]
+    if min(n, m) <= radius + 2:
+        return dtw_paths(x, y)
+    half = lambda a: (a[:, : a.shape[1] // 2 * 2 : 2] + a[:, 1::2]) / 2
+    _, coarse = fast_paths(half(x), half(y), radius)
+    at = 2 * np.concatenate(coarse)
+    row = np.repeat(np.arange(rows), [len(p) for p in coarse])
+    near = np.zeros((n, m, rows), dtype=bool)
+    for di in range(-radius, radius + 1):
+        for dj in range(-radius, radius + 1):
+            i, j = at[:, 0] + di, at[:, 1] + dj
+            own = (i >= 0) & (j >= 0) & (i < n) & (j < m)
+            near[i[own], j[own], row[own]] = True
+    near[2 * (n // 2 - 1) :, 2 * (m // 2 - 1) :] = True
+    return dtw_paths(x, y, near)
+
+
 def morlet(scale: float) -> np.ndarray:
     """Real Morlet wavelet exp(-t^2/2) cos(5t) sampled on [-8, 8] at one scale."""
     t = np.arange(-math.ceil(8 * scale), math.ceil(8 * scale) + 1) / scale

@@ -156,20 +156,24 @@ def row_kernel(df: DataFrame, fn, schema: str) -> DataFrame:
 
 
 def alignments(pairs: DataFrame, mode="exact", radius=1, width=8) -> DataFrame:
-    """Distance, path length and path of (id, rid, x, y) pairs; exact, fast, band or itakura."""
-    def one(x, y):
-        x, y = np.asarray(x, float), np.asarray(y, float)
-        if mode == "fast":
-            d, p = K.fast_dtw(x, y, radius)
-        else:
-            ok = {"band": lambda: K.band(len(x), len(y), width), "itakura": lambda: K.parallelogram(len(x), len(y))}.get(mode, lambda: None)()
-            t = K.dtw_table(x, y, ok)
-            d, p = t[-1, -1], (K.warping_path(t) if np.isfinite(t[-1, -1]) else [])
-        return float(d), len(p), [{"i": int(i), "j": int(j)} for i, j in p]
+    """Distance, path length and path of (id, rid, x, y) pairs; exact, fast, band or itakura. Pairs of equal lengths are swept and traced back together."""
+    masks = {"exact": lambda n, m: None, "band": lambda n, m: K.band(n, m, width), "itakura": K.parallelogram}
+
+    def solve(pdf):
+        for (n, m), g in pdf.groupby([pdf.x.map(len), pdf.y.map(len)]):
+            step = max(1, (1 << 22) // (n * m))
+            for at in range(0, len(g), step):
+                part = g.iloc[at : at + step]
+                x, y = (np.stack(part[c].to_list()).astype(float) for c in ("x", "y"))
+                distance, paths = K.fast_paths(x, y, radius) if mode == "fast" else K.dtw_paths(x, y, masks[mode](n, m))
+                yield part, list(zip(distance.tolist(), paths))
 
     def fn(pdf):
-        r = [one(x, y) for x, y in zip(pdf.x, pdf.y)]
-        return pd.DataFrame({"id": pdf.id, "rid": pdf.rid, "distance": [a for a, _, _ in r], "steps": [b for _, b, _ in r], "path": [c for _, _, c in r]})
+        out = [pd.DataFrame({"id": [], "rid": [], "distance": [], "steps": [], "path": []})]
+        for part, found in solve(pdf):
+            paths = [[{"i": int(i), "j": int(j)} for i, j in p] for _, p in found]
+            out.append(pd.DataFrame({"id": part.id.to_numpy(), "rid": part.rid.to_numpy(), "distance": [float(d) for d, _ in found], "steps": [len(p) for p in paths], "path": paths}))
+        return pd.concat(out[1:]) if len(out) > 1 else out[0]
 
     return row_kernel(pairs, fn, "id long, rid long, distance double, steps long, path array<struct<i:int,j:int>>")
 

@@ -89,3 +89,18 @@ def test_formations_by_matrix():
             want |= {(s, "rising_wedge")} if pr > 0.8 and vr > 0.8 and ps > 0 and vs > ps else set()
             want |= {(s, "falling_wedge")} if pr > 0.8 and vr > 0.8 and ps < 0 and vs < ps else set()
         assert want and got == want
+
+
+def test_paths_by_batch():
+    """Distances and paths of many pairs at once against one pair at a time, ties included."""
+    rng = np.random.default_rng(1)
+    for n, m in ((5, 7), (16, 16), (9, 3), (1, 4), (33, 20)):
+        x, y = rng.integers(0, 4, (30, n)).astype(float), rng.integers(0, 4, (30, m)).astype(float)
+        for ok in (None, K.band(n, m, 2), K.parallelogram(n, m)):
+            for k, (d, p) in enumerate(zip(*K.dtw_paths(x, y, ok))):
+                t = K.dtw_table(x[k], y[k], ok)
+                assert t[-1, -1] == d and [tuple(q) for q in p.tolist()] == (K.warping_path(t) if np.isfinite(d) else [])
+        for radius in (1, 3):
+            for k, (d, p) in enumerate(zip(*K.fast_paths(x, y, radius))):
+                one, path = K.fast_dtw(x[k], y[k], radius)
+                assert one == d and [tuple(q) for q in p.tolist()] == [tuple(q) for q in path]
