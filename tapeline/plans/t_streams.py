@@ -14,8 +14,18 @@ from tapeline.streaming import bars as SB
 from tapeline.streaming import monitor as MO
 
 
-#: the widest gap of event times that the replayed files may show; the clock row behind them moves the watermark past the last bar
-_LATE, _CLOCK = 45 * 86_400, 120 * 86_400
+_DAY = 86_400
+
+
+def span(rows):
+    """Seconds from the first to the last ``ts``, rounded up: how late a row of files in any order can be."""
+    return int(rows.agg(F.max(F.unix_timestamp("ts")) - F.min(F.unix_timestamp("ts"))).first()[0] or 0) + 1
+
+
+def clock(rows, late):
+    """One row behind all others, with no values: it moves the watermark a day past the last of them."""
+    ts = (F.max("ts") + F.make_dt_interval(secs=F.lit(late + _DAY))).alias("ts")
+    return rows.agg(ts).select(*[F.lit("").alias(c) if c == "symbol" else F.col("ts") if c == "ts" else F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns])
 
 
 def monitor_bars(spark, root):
@@ -44,20 +54,18 @@ def t10(spark, root):
     return all_alerts(spark, root).select("symbol", "t", "kind", "event", F.posexplode("levels").alias("pos", "level"))
 
 
-def replay(bars, path, parts=6):
-    """The bars as files of a stream in any order, and last a clock row that has no price."""
-    spark = bars.sparkSession
-    bars = bars.select("symbol", "ts", "close", "volume")
-    bars.repartition(parts).write.parquet(path)
-    clock = bars.agg((F.max("ts") + F.make_dt_interval(secs=F.lit(_CLOCK))).alias("ts")).select(F.lit("").alias("symbol"), "ts", F.lit(None).cast("double").alias("close"), F.lit(None).cast("double").alias("volume"))
-    clock.coalesce(1).write.mode("append").parquet(path)
-    return SB.tick_stream(spark, path, bars.schema, max_files=2)
+def replay(rows, path, late, parts=6):
+    """The rows as files of a stream in any order, and last the clock row."""
+    rows.repartition(parts).write.parquet(path)
+    clock(rows, late).coalesce(1).write.mode("append").parquet(path)
+    return SB.tick_stream(rows.sparkSession, path, rows.schema, max_files=2)
 
 
 def streamed(spark, bars, history=None, sink=SB.run_once):
-    out = folder(spark)
+    out, bars = folder(spark), bars.select("symbol", "ts", "close", "volume")
+    late = span(bars)
     with MO.rocks_store(spark):
-        sink(MO.stream_alerts(replay(bars, out + "/in"), f"{_LATE} seconds", history), out + "/alerts", out + "/ck")
+        sink(MO.stream_alerts(replay(bars, out + "/in", late), f"{late} seconds", history), out + "/alerts", out + "/ck")
     return spark.read.parquet(out + "/alerts")
 
 
@@ -155,9 +163,6 @@ def t17(spark, root):
     """The events as files in any order; the watermark waits for all of them, and a clock row behind closes the last window."""
     out = folder(spark)
     ticks = table(spark, root, "events").select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.struct("event_id").alias("tie"), F.col("value").alias("price"), F.lit(1).alias("size"))
-    ticks.repartition(6).write.parquet(out + "/in")
-    clock = ticks.agg((F.max("ts") + F.make_dt_interval(secs=F.lit(_CLOCK))).alias("ts")).select(F.lit("").alias("symbol"), "ts", F.lit(None).cast(ticks.schema["tie"].dataType).alias("tie"), F.lit(None).cast("double").alias("price"), F.lit(None).cast("int").alias("size"))
-    clock.coalesce(1).write.mode("append").parquet(out + "/in")
-    stream = SB.tick_stream(spark, out + "/in", ticks.schema, max_files=2)
-    SB.run_once(SB.event_time_bars(stream, late=f"{_LATE} seconds"), out + "/bars", out + "/ck")
+    late = span(ticks)
+    SB.run_once(SB.event_time_bars(replay(ticks, out + "/in", late), late=f"{late} seconds"), out + "/bars", out + "/ck")
     return spark.read.parquet(out + "/bars").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
