@@ -64,6 +64,50 @@ def test_distance_tiles(spark):
     assert all(r.a == r.b for r in top if r["rank"] == 1)
 
 
+def test_tile_copies(spark):
+    """More series make larger blocks: the number of tiles, and with it the copies of a series, is bounded."""
+    import pandas as pd
+
+    df = spark.range(100).selectExpr("id", "array(double(id)) AS v")
+    # each part is met once; a part holds at most three ids, a tile's parts come to one row
+    count = lambda a, b: pd.DataFrame({"n": [len(a) * len(b)], "most": [max(len(a), len(b))]})
+    got = pairs.tiles(df, None, count, "n long, most long", size=2, step=3, reduce=lambda d: pd.DataFrame({"n": [d.n.sum()], "most": [d.most.max()]})).toPandas()
+    assert len(got) <= 32 * 33 // 2 and got.most.max() <= 3
+    d = {frozenset((r.a, r.b)) for r in pairs.tiles(df, None, pairs._distance_kernel(True), pairs._PAIR, size=2, step=3).collect()}
+    assert len(d) == 100 * 99 // 2 and all(len(x) == 2 for x in d)
+    near = pairs.tiles(df, df.selectExpr("id + 0 AS id", "array(v[0]) AS v"), pairs._distance_kernel(False), pairs._PAIR, size=2, step=7).filter("a = b").count()
+    assert near == 100
+
+
+def test_repeated_ids(spark):
+    """Rows of one id meet all others and not each other, whatever the part size; carried columns follow their side."""
+    df = spark.createDataFrame([(i // 2, [float(i), 0.0], i) for i in range(40)], "id long, v array<double>, k int")
+    got = pairs.tiles(df, None, pairs._distance_kernel(True, carry=["k"]), pairs._PAIR + ", k_a int, k_b int", size=4, step=3).toPandas()
+    assert len(got) == 40 * 39 // 2 - 20 and (got.a < got.b).all() and (got.k_a // 2 == got.a).all() and (got.k_b // 2 == got.b).all()
+    assert sorted(zip(got.k_a, got.k_b)) == [(i, j) for i in range(40) for j in range(i + 1, 40) if i // 2 != j // 2]
+
+
+def test_cluster_queries_by_pairs(spark):
+    """Statistics from carried clusters and density clusters from near pairs, against the distance matrix."""
+    from tapeline.operators import regimes as R
+
+    x = np.sort(np.concatenate([rng.normal(0, 1, 30), rng.normal(20, 1, 30), [9.0]]))
+    near = lambda a, b: np.abs(np.subtract.outer(a, b)) / 2
+    d = near(x, x)
+    df = spark.createDataFrame([(i, [float(v)], int(v > 10)) for i, v in enumerate(x)], "id long, v array<double>, cluster int")
+    p = pairs.distance_pairs(df, carry=["cluster"]).withColumn("distance", pairs.F.col("normalized"))
+    s = {r.cluster: r for r in R.cluster_statistics(p).collect()}
+    own = x > 10
+    assert np.isclose(s[1].intra_mean, d[own][:, own].sum() / (30 * 29)) and np.isclose(s[1].inter_mean, d[own][:, ~own].mean()) and s[0].size == 31
+    eps = 0.75
+    few = pairs.distance_pairs(df.drop("cluster"), within=eps).select("a", "b", pairs.F.col("normalized").alias("distance"))
+    assert few.count() == (d[np.triu_indices(61, 1)] <= eps).sum()
+    best = lambda some, core: pairs.nearest(df.select("id", "v").join(some, "id", "left_semi"), df.selectExpr("id + 0 AS id", "array(v[0]) AS v").join(core, "id", "left_semi"), 1).select("a", "b", pairs.F.col("normalized").alias("distance"))
+    one = {tuple(r) for r in R.density(few, df.select("id"), eps, 5, best).collect()}
+    assert one == {tuple(r) for r in R.density(p.select("a", "b", "distance"), df.select("id"), eps, 5).collect()} and len(one) == 61
+    assert {i for i, _, noise in one if noise} == {i for i in range(61) if (d[i] <= eps).sum() < 5 and not (d[i][(d <= eps).sum(1) >= 5] <= eps).any()}
+
+
 def test_formations_by_matrix():
     """The matrix form against a plain loop over windows with the greedy kernel."""
     from tapeline.operators.formations import _shapes_of
