@@ -59,22 +59,19 @@ def random_kernels(series: DataFrame, count=50, seed=42, pooling="max") -> DataF
 def label_medoids(series: DataFrame) -> DataFrame:
     """Per label the member with the smallest distance sum, and the distance statistics inside the label.
 
-    A tile returns one partial row per member, never the pairs.
+    Tiles are made inside a label and return one partial row per member, never the pairs.
     """
-    def kernel(a, b):
-        out = []
-        same = a.index.equals(b.index)
-        for lab in set(a.label) & set(b.label):
-            x, y = a[a.label == lab], b[b.label == lab]
-            vx, vy = np.stack(x.v.to_list()), np.stack(y.v.to_list())
-            d = np.sqrt(((vx[:, None, :] - vy[None, :, :]) ** 2).sum(2))
-            off = (x.id.to_numpy()[:, None] != y.id.to_numpy()[None, :])
-            out.append(pd.DataFrame({"label": lab, "id": x.id, "s": (d * off).sum(1), "n": off.sum(1), "mx": np.where(off, d, 0).max(1)}))
-            if not same:
-                out.append(pd.DataFrame({"label": lab, "id": y.id, "s": (d * off).sum(0), "n": off.sum(0), "mx": np.where(off, d, 0).max(0)}))
-        return pd.concat(out) if out else pd.DataFrame({"label": [], "id": [], "s": [], "n": [], "mx": []})
-
-    t = tiles(series.select("id", "label", "v"), None, kernel, "label int, id long, s double, n long, mx double")
+    def kernel(x, y):
+        vx, vy = np.stack(x.v.to_list()), np.stack(y.v.to_list())
+        d = np.sqrt(((vx[:, None, :] - vy[None, :, :]) ** 2).sum(2))
+        off = x.id.to_numpy()[:, None] != y.id.to_numpy()[None, :]
+        sides = [(x, 1)] if x.index.equals(y.index) else [(x, 1), (y, 0)]
+        return pd.concat([pd.DataFrame({"label": s.label, "id": s.id, "s": (d * off).sum(axis), "n": off.sum(axis), "mx": np.where(off, d, 0).max(axis)}) for s, axis in sides])
+
+    def reduce(d):
+        return d.groupby(["label", "id"], as_index=False).agg({"s": "sum", "n": "sum", "mx": "max"})
+
+    t = tiles(series.select("id", "label", "v").filter("label IS NOT NULL"), None, kernel, "label int, id long, s double, n long, mx double", reduce=reduce, by=["label"])
     m = t.groupBy("label", "id").agg(F.sum("s").alias("s"), F.sum("n").alias("n"), F.max("mx").alias("mx"))
     return m.groupBy("label").agg(F.count(F.lit(1)).alias("members"), F.min_by("id", F.struct("s", "id")).alias("medoid"), (F.sum("s") / F.sum("n")).alias("mean_distance"), F.max("mx").alias("max_distance"))
 
