@@ -46,13 +46,13 @@ _NEAR = f"near_links AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM series a
 @query("m04_linkage", "series", f"WITH RECURSIVE {_NEAR} SELECT id AS node, min(at_) AS cluster FROM reach GROUP BY id")
 def m04_linkage(spark, root):
     s = store(series(spark, root).select("id", "v"))
-    return LK.single_linkage(s.select(F.col("id").alias("node")), LK.close_pairs(s, NEAR), distance=NEAR)
+    return LK.single_linkage(s.select(F.col("id").alias("node")), LK.close_pairs(s, NEAR, forest=True), distance=NEAR)
 
 
 @query("m04_clusters")
 def m04_clusters(spark, root):
     s = store(series(spark, root).select("id", "v"))
-    return LK.single_linkage(s.select(F.col("id").alias("node")), LK.close_pairs(s, 1.25), clusters=8)
+    return LK.single_linkage(s.select(F.col("id").alias("node")), LK.close_pairs(s, 1.25, forest=True), clusters=8)
 
 
 _M5 = "mean std skew down_share relative_volume position range rsi atr_ratio sma_gap"
