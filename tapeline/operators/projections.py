@@ -279,6 +279,11 @@ def complexity(skew, kurt, entropy) -> Column:
     return F.when(score < 0.3, "Simple").when(score < 0.6, "Moderate").otherwise("Complex")
 
 
+def ratio(a, b) -> Column:
+    """a / b of doubles; a zero below gives infinity, or NaN for 0 / 0, instead of an error."""
+    return F.when(b == 0, F.when(a == 0, math.nan).otherwise(F.signum(a) * math.inf)).otherwise(F.try_divide(a, b))
+
+
 def insight_tags(trend, accuracy, occurrences) -> Column:
     return F.array_compact(F.array(
         F.when(trend > 0.02, "Strong upward trend detected").when(trend < -0.02, "Strong downward trend detected"),

@@ -201,6 +201,6 @@ def p20(spark, root):
 def p21(spark, root):
     s = D.predictions(spark, root).groupBy("symbol", "pred").agg(
         F.skewness("y_true").alias("g"), F.kurtosis("y_true").alias("k"), F.avg((F.col("pred") == F.col("actual")).cast("int")).alias("acc"),
-        F.avg(F.col("up").cast("int")).alias("hit"), F.count(F.lit(1)).alias("n"), F.avg(F.col("y_true") / F.col("y_pred") - 1).alias("trend")).filter("n > 3")
+        F.avg(F.col("up").cast("int")).alias("hit"), F.count(F.lit(1)).alias("n"), F.avg(P.ratio(F.col("y_true"), F.col("y_pred")) - 1).alias("trend")).filter("n > 3")
     return s.select("symbol", "pred", "n", P.complexity(F.col("g"), F.col("k") + 3, F.col("acc")).alias("complexity"),
                     F.array_join(P.insight_tags(F.col("trend"), F.col("acc"), F.col("n")), "|").alias("tags"), P.recommendation(F.col("acc"), F.col("hit")).alias("advice"))

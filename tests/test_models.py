@@ -18,3 +18,11 @@ def test_boosting_rounds(spark, root, monkeypatch, name, model):
     with pytest.raises(Seen) as seen:
         entry.queries()[name](spark, root)
     assert seen.value.args == (100,)
+
+
+def test_ratio_of_zero(spark):
+    """Ratios with a zero below follow IEEE, as in the statement of p21, and do not end the job."""
+    from tapeline.operators.projections import F, ratio
+
+    rows = spark.createDataFrame([(1.0, 2.0), (3.0, 0.0), (-3.0, 0.0), (0.0, 0.0), (None, 0.0)], "a double, b double")
+    assert [str(r.q) for r in rows.select(ratio(F.col("a"), F.col("b")).alias("q")).collect()] == ["0.5", "inf", "-inf", "nan", "None"]
