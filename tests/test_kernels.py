@@ -148,3 +148,15 @@ def test_paths_by_batch():
             for k, (d, p) in enumerate(zip(*K.fast_paths(x, y, radius))):
                 one, path = K.fast_dtw(x[k], y[k], radius)
                 assert one == d and [tuple(q) for q in p.tolist()] == [tuple(q) for q in path]
+
+
+def test_alignment_rows(spark, monkeypatch):
+    """Paths leave the worker sweep by sweep as flat columns; ends that cannot be reached have no path."""
+    x = [rng.normal(size=n).tolist() for n in (6, 6, 9, 4)]
+    df = spark.createDataFrame([(i, 7, v, x[0]) for i, v in enumerate(x)], "id long, rid long, x array<double>, y array<double>").coalesce(1)
+    monkeypatch.setattr(pairs, "row_kernel", None)  # whole batches of Python paths went through it
+    for mode, width in (("exact", 0), ("band", 2), ("fast", 0)):
+        for r in pairs.alignments(df, mode, width=width).collect():
+            a, b = np.array(x[r.id]), np.array(x[0])
+            d, path = K.fast_dtw(a, b) if mode == "fast" else (lambda t: (t[-1, -1], K.warping_path(t) if np.isfinite(t[-1, -1]) else []))(K.dtw_table(a, b, K.band(len(a), 6, 2) if mode == "band" else None))
+            assert np.isclose(r.distance, d) and r.steps == len(path) and [(p.i, p.j) for p in r.path] == [tuple(q) for q in path] and r.rid == 7
