@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapeline.functions.frames import rolled
-from tapeline.functions.lineage import cut
+from tapeline.functions.lineage import cut, parts_for
 from tapeline.operators.regimes import vectors
 
 
@@ -32,7 +32,9 @@ def next_pattern(train: DataFrame, test: DataFrame, trees=100, depth=10, rounds=
     ix = StringIndexer(inputCol="next", outputCol="label", handleInvalid="skip").fit(train)
     a, b = ix.transform(train), ix.transform(test)
     rf = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, probabilityCol="_rf").fit(a)
-    gb = OneVsRest(classifier=GBTClassifier(maxIter=rounds, maxDepth=boosted_depth, seed=seed), predictionCol="_gb").fit(a)
+    # boosting runs thousands of short jobs one after the other: the classes side by side, in few tasks while there are few rows
+    few = cut(a, parts_for(a.count(), 50_000))
+    gb = OneVsRest(classifier=GBTClassifier(maxIter=rounds, maxDepth=boosted_depth, seed=seed), predictionCol="_gb", parallelism=len(ix.labels)).fit(few)
     d = gb.transform(rf.transform(b).drop("prediction", "rawPrediction"))
     p = F.transform(vector_to_array("_rf"), lambda x, i: (x + (F.col("_gb") == i).cast("double")) / 2)
     best = F.array_position(p, F.array_max(p)) - 1
