@@ -182,6 +182,71 @@ def test_copies_of_pages(spark):
     assert got == {**{i: "a long text of one page only that is stored twice" for i in range(3)}, 9: "another page", 10: "text red", 11: "text green"}
 
 
+def random_words(rng, n):
+    return " ".join(f"w{k}" for k in rng.integers(0, 100_000, n))
+
+
+def test_repeats_inside_articles(spark):
+    """A notice of unknown name inside the articles of a host goes; near copies, copies, headings, rarer lines and articles that mostly recur stay."""
+    rng = np.random.default_rng(3)
+    notice, line = "Read this daily letter and never miss a story again", "a line that some of the texts of a host quote"
+    copied, template = random_words(rng, 60), random_words(rng, 30)
+    pages, want = [], {}
+
+    def add(host, parts, kept):
+        pages.append((len(pages), f"https://{host}/{len(pages)}", "<nav>menu</nav><article>" + "".join(f"<p class='x{i}'>{p}</p>" for i, p in enumerate(parts)) + "</article><p>beside</p>"))
+        want[pages[-1][0]] = "\n".join(kept)
+
+    for i in range(8):
+        one, two = random_words(rng, 40), random_words(rng, 40)
+        add("all.example", [f"{one}. {notice}", "Summary", two, notice], [f"{one}.", "Summary", two])
+        some = [one, line, two] if i < 3 else [one, two]
+        add("some.example", some, some)
+        if i < 2:
+            add("two.example", [one, notice], [one, notice])
+        changed = copied.split()
+        changed[5 + 6 * i] = "changed"
+        add("near.example", [" ".join(changed)], [" ".join(changed)])
+        add("copy.example", [copied], [copied])
+        add("template.example", [template, one[:40]], [template, one[:40]])
+    pages += [(r[0] + 1000, r[1], r[2]) for r in pages]
+    want |= {k + 1000: v for k, v in want.items()}
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(5)
+    assert dict(html_text.main_text(df).select("page_id", "text").collect()) == want
+
+
+def test_chunks_of_articles(monkeypatch):
+    """The chunks of a host name every run that half of its articles hold, and little else."""
+    monkeypatch.setattr(html_text, "CHUNK", 1000)
+    rng = np.random.default_rng(4)
+    often, rare = random_words(rng, 9), random_words(rng, 9)
+    rows = [("a.example", i, 0, [random_words(rng, 30)] + [often] * (i % 2) + [rare] * (i % 10 == 0)) for i in range(200)]
+    rows += [("b.example", i, 0, [f"{random_words(rng, 8)} {rare}"]) for i in range(3)] + [("c.example", i, 0, [rare, often]) for i in range(2)] + [("d.example", 0, 0, [random_words(rng, 10)])]
+    batches = pa.table(dict(zip(("host", "sketch", "content", "own"), zip(*rows), strict=True))).to_batches()
+    parts = list(html_text._chunk_repeats(html_text._short_rows(batches), 6, 3, 0.5))
+    found = {h: set(p for part in parts for g, p in zip(*(c.to_pylist() for c in part.columns), strict=True) if g == h) for h in ("a.example", "b.example", "c.example", "d.example")}
+    shorts = lambda text: set(html_text._runs(html_text._short(html_text._tokens([text])[1]), 6).tolist())
+    assert len(parts) > 5 and found["a.example"] >= shorts(often) and len(found["a.example"]) < 20
+    assert found["b.example"] == shorts(rare) and not found["c.example"] and len(found["d.example"]) == 5
+
+
+def test_article_boilerplate(spark):
+    """Runs of two tokens against a count over all articles, pages of one sketch counted once."""
+    rng = np.random.default_rng(6)
+    rows = [(f"h{i % 9}", k, c, [" ".join(map(str, rng.integers(0, 5 + i % 9, n))) for n in rng.integers(1, 12, 3)]) for i in range(300) for k in [int(rng.integers(0, 20))] for c in [i]]
+    rows += rows[:50]
+    want, first = set(), {}
+    for h, k, c, own in sorted(rows):
+        first.setdefault((h, k), own)
+    for host in {r[0] for r in rows}:
+        articles = [own for (h, _), own in first.items() if h == host]
+        held = Counter(p for own in articles for p in {tuple(t[i : i + 2]) for t in (b.split(" ") for b in own) for i in range(len(t) - 1)})
+        want |= {(host, int(html_text._runs(html_text._tokens([" ".join(p)])[1], 2)[0])) for p, n in held.items() if n >= max(4, 0.3 * len(articles))}
+    df = spark.createDataFrame(rows, "host string, sketch long, content long, own array<string>").repartition(7)
+    got = [(r["host"], p) for r in html_text.article_boilerplate(df, depth=2, least=4, share=0.3).collect() for p in r["prefixes"]]
+    assert len(got) == len(set(got)) > 20 and set(got) == want
+
+
 @pytest.mark.parametrize("html,own", [
     ("<html><head><title>t</title><meta charset=utf-8><body><article><p>text</article>", ["text"]),
     ("<!doctype html><title>t</title><head><link rel=x><script>var a</script><noscript><img>no</noscript><div><main>text</main></div>", ["text"]),
