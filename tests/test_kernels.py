@@ -51,6 +51,33 @@ def test_peaks():
     assert list(K.peaks(x, 4)) == [1, 6]
 
 
+def test_sweep_in_place():
+    """The sweep that overwrites the last but one diagonal gives the cell-by-cell table's corner to the last bit, for any shape and mask."""
+    for n, m in ((1, 1), (1, 6), (6, 1), (2, 9), (9, 2), (7, 7), (13, 8)):
+        x, y = rng.normal(size=(5, n)), rng.normal(size=(5, m))
+        y[4, -1] = np.nan
+        for mask in (None, K.band(n, m, abs(n - m) + 1), K.band(n, m, 0)):
+            want = [K.dtw_table(a, b, mask)[-1, -1] for a, b in zip(x[:4], y[:4])]
+            got = K.dtw(x, y, mask)
+            assert got[:4].tolist() == want and (np.isnan(got[4]) or np.isinf(got[4]))
+
+
+def test_one_frame_for_a_part(monkeypatch):
+    """A pair of parts is one frame of pairs, however many sweeps it takes."""
+    import pandas as pd
+
+    part = lambda at: pd.DataFrame({"id": np.arange(at, at + 64), "v": list(rng.normal(size=(64, 4)))}, index=np.arange(at, at + 64))
+    a, b, made, real = part(0), part(64), [], pd.DataFrame
+
+    def counted(*args, **kw):
+        made.append(1)
+        return real(*args, **kw)
+
+    monkeypatch.setattr(pairs.pd, "DataFrame", counted)
+    got = pairs._distance_kernel(True)(a, b)
+    assert len(got) == 64 * 64 and len(made) == 1
+
+
 def test_distance_tiles(spark):
     v = rng.normal(size=(40, 12))
     df = spark.createDataFrame([(i, [float(a) for a in r]) for i, r in enumerate(v)], "id long, v array<double>")
