@@ -392,7 +392,7 @@ def average_cost(trades: DataFrame, by="symbol") -> DataFrame:
         st = state or {"open": False, "qty": 0.0, "cost": 0.0, "avg": 0.0}
         held, qty, cost, avg = st["open"], st["qty"], st["cost"], st["avg"]
         out = {"position": [], "average_price": [], "realized_pnl": []}
-        for side, q, p, fee in zip(a["side"], a["quantity"], a["price"], a["commission"]):
+        for side, q, p, fee in zip(*(a[c].tolist() for c in ("side", "quantity", "price", "commission"))):
             pnl = None
             if not held:
                 held, qty, cost, avg = True, side * q, q * p, p

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tapeline.functions.frames import number_rows, rolled
+from tapeline.functions.lineage import store
 from tapeline.operators import joins as J
 from tapeline.operators import panel as PN
 from tapeline.operators import risk as R
@@ -361,12 +362,15 @@ cte("fills", _FILL)
 
 
 def fills(spark, root):
+    """Numbered fills, stored twice on the way: the join and the numbering each shuffle every line item, and so never lie on the disks together."""
     p = table(spark, root, "part").select("p_partkey", F.col("p_brand").alias("symbol"))
     d = table(spark, root, "lineitem").join(p, F.col("l_partkey") == F.col("p_partkey"))
     tie = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax"]
-    d = d.select("symbol", *tie, F.when(F.col("l_returnflag") == "R", -1).otherwise(1).alias("side"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"))
+    d = store(d.select("symbol", *tie, (F.col("l_returnflag") == "R").alias("sale")), release=True)
     d = number_rows(d, tie, F.floor(epoch("l_shipdate") / DAY)).withColumn("quantity", F.col("l_quantity"))
-    return d.withColumn("commission", F.greatest(F.col("quantity") * F.col("price") * 0.001, F.lit(1.0))).select("symbol", "seq", F.col("l_shipdate").alias("ts"), "side", "quantity", "price", "commission")
+    d = d.withColumn("side", F.when(F.col("sale"), -1).otherwise(1)).withColumn("price", F.col("l_extendedprice") / F.col("l_quantity"))
+    d = d.withColumn("commission", F.greatest(F.col("quantity") * F.col("price") * 0.001, F.lit(1.0)))
+    return store(d.select("symbol", "seq", F.col("l_shipdate").alias("ts"), "side", "quantity", "price", "commission"), release=True)
 
 
 cte("priced", f"""SELECT symbol, seq, quantity, fp AS price, greatest(quantity * fp * 0.001, 1.0) AS commission, abs(fp - close) * quantity AS slippage, imp AS market_impact, pnl FROM (SELECT *, close * (1 + side * 0.0001) * (1 + side * imp) AS fp FROM (

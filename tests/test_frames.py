@@ -91,6 +91,46 @@ def test_scan_matches_serial_loop(spark, data):
         np.testing.assert_allclose(out[out.symbol == s].psar, line)
 
 
+@pytest.mark.parametrize("every", [0, 50, 300])
+def test_scan_keeps_states_only(spark, monkeypatch, every):
+    """A sum that starts anew at multiples of ``every`` (0: never) equals the serial one, however many partitions hold its pieces; between its runs only one narrow row a piece is kept."""
+    from tapeline.functions import scan as S
+
+    kept, many = [], "spark.sql.adaptive.coalescePartitions.enabled"
+    monkeypatch.setattr(S, "cut", lambda df, real=S.cut: kept.append(df.schema.simpleString()) or real(df))
+
+    def kernel(a, state):
+        total, out = (state or {"t": 0.0})["t"], []
+        for x in a["x"].tolist():
+            total = (0.0 if every and x % every == 0 else total) + x / 3
+            out.append(total)
+        return {"s": out}, {"t": total}
+
+    rows = [(k, i, float(i + 7 * j)) for j, k in enumerate(["a", "b"]) for i in range(900 if k == "a" else 40)]
+    spark.conf.set(many, "false")
+    try:
+        got = {(r.symbol, r.seq): r.s for r in S.scan(spark.createDataFrame(rows, "symbol string, seq long, x double"), ["x"], kernel, {"s": "double"}, "struct<t:double>", chunk=4).collect()}
+    finally:
+        spark.conf.unset(many)
+    want, total = {}, {}
+    for k, i, x in rows:
+        total[k] = (0.0 if i == 0 or every and x % every == 0 else total[k]) + x / 3
+        want[k, i] = total[k]
+    assert got == want
+    assert kept and not any("array" in x for x in kept)
+
+
+def test_store_releases_shuffles(spark):
+    """The shuffle files of a released write are gone when it returns, and the session's setting is as it was."""
+    from tapeline.functions import lineage
+
+    managers = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {f for f in (str(x) for x in managers.getAllFiles().mkString("|").split("|")) if "shuffle_" in f}
+    old, was = files(), spark.conf.get(lineage._CLEANUP, None)
+    got = lineage.store(spark.range(1000).repartition(7, "id"), release=True)
+    assert not files() - old and spark.conf.get(lineage._CLEANUP, None) == was and got.count() == 1000
+
+
 def test_nulls_stay(spark):
     """Rows with a NULL key or order value are numbered, cumulated and ranked like others."""
     df = spark.createDataFrame([("a", 3), ("a", None), (None, 1), (None, 2), ("a", 1), (None, None)], "symbol string, t long")
