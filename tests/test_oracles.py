@@ -19,3 +19,13 @@ def test_query(spark, root, name):
 def test_contract(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).count() > 0
+
+
+def test_fills_are_read_not_joined_again(spark, root):
+    """Both book queries read stored fills: every reader of them would else join and number all line items once more."""
+    from tapeline.plans.r_reports import fills
+
+    f = fills(spark, root)
+    assert "Exchange" not in f._jdf.queryExecution().executedPlan().toString()
+    name = "r30_mark_to_market"
+    assert compare(entry.queries()[name](spark, root).toPandas(), connect(root).execute(entry.oracle_sql()[name]).df()) == "ok"
